@@ -51,7 +51,7 @@ DEFAULT_POLICY = 2
 def _repeats(df: DataFrame) -> DataFrame:
     """n_repeat_words: words inside three-word windows that occur twice or more, each word once."""
     w, s, p = F.col("words"), F.col("sorted"), F.col("places")
-    windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+    windows = F.when(F.size(w) >= 3, F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
     df = df.withColumn("sorted", F.sort_array(windows))
     twice = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
     df = df.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"])))
@@ -70,11 +70,11 @@ def ledger(docs: DataFrame) -> DataFrame:
         "doc_id",
         "words",
         long(F.size("words")).alias("n_words"),
-        long(F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))).alias("word_chars"),
-        long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
+        long(F.length(F.array_join("words", ""))).alias("word_chars"),
+        long(F.regexp_count("text", F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"),
         long(F.size("lines")).alias("n_lines"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        long(F.length("text") - F.length(F.translate("text", "!", ""))).alias("n_exclaim"),
+        long(F.regexp_count("text", F.lit("!"))).alias("n_exclaim"),
         long(F.regexp_count("text", F.lit(r"\p{Lu}"))).alias("n_upper"),
     )
     df = _repeats(df)
