@@ -154,11 +154,11 @@ def fit(docs: DataFrame) -> Model | None:
     return train(sample(docs))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score, accepted) of every document; lang is not read."""
-    texts = only(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
+def predict(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
+    """(doc_id, lang_pred, score, accepted) of every document, and carried boolean columns; lang is not read."""
+    texts = only(docs, "doc_id", "text", *carried).select("doc_id", F.lower("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), *carried)
     if model is None:
-        return texts.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
+        return texts.select("doc_id", *carried, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +179,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best, score = p.argmax(axis=1), p.max(axis=1)
                 letter = np.array(batch.column(2).slice(first, end - first).to_pylist(), bool)
                 best, score = np.where(letter, best, len(m.langs)), np.where(letter, score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(names[best], pa.string()), pa.array(score), pa.array(letter & (score >= m.limit))], names=["doc_id", "lang_pred", "score", "accepted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(names[best], pa.string()), pa.array(score), pa.array(letter & (score >= m.limit)), *[batch.column(3 + k).slice(first, end - first) for k in range(len(carried))]], names=["doc_id", "lang_pred", "score", "accepted", *carried])
 
-    return texts.mapInArrow(run, PREDICTED)
+    return texts.mapInArrow(run, PREDICTED + "".join(f", {c} boolean" for c in carried))
 
 
 def held_out() -> Column:

@@ -8,30 +8,86 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import hosts, jaccard, rules
-
-_WORD = r"[^\x20\x09-\x0D]+"
+from . import decontam, hosts, jaccard, langid, licences, packing, pii, rules, slots, suffixes
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_paragraphs", F.round("score", 4).alias("score"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "policy")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards and returns where each sequence lies, with the checksum of its bytes as read back."""
+    out = slots.materialise(table(spark, sf_dir, "documents"))
+    rows = spark.read.parquet(out)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "shard", "at", F.crc32("payload").alias("payload_crc32"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = hosts.judge(pages, hosts.outcomes_by_number(pages, table(spark, sf_dir, "labels")))
-    return found.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), "n_labelled")
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    split = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    found = langid.predict(split, model, "held_out")
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
-    "op3_quality_rules": op3_quality_rules,
-    "op6_url_filters": op6_url_filters,
+    f.__name__: f
+    for f in (op1_ngram_jaccard, op2_licence_scan, op3_quality_rules, op4_suffix_dedup, op5_token_shards, op6_url_filters, op7_benchmark_decontamination, op8_language_id, op9_pii, op10_best_fit_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LETTERS = "[^\\x20\\x09-\\x0D]"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""
+with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, text, regexp_extract_all(text, '{_LETTERS}+') as w,
+        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_LETTERS}')) as lines from t),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+      from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from g) where n > 1),
+c as (select doc_id, count(distinct i + k) as n from r, (values (0), (1), (2)) k(k) group by 1),
+m as (select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, len(lines)::bigint as n_lines,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+        len(regexp_extract_all(text, '!'))::bigint as n_exclaim, len(regexp_extract_all(text, '\p{{Lu}}'))::bigint as n_upper
+      from w left join c using (doc_id)),
+f as (select *, ((n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (n_symbols * 4 > n_words)::bigint
+        + 8 * (n_dup_lines * 2 > n_lines)::bigint + 16 * (word_chars < 2 * n_words or word_chars > 15 * n_words)::bigint
+        + 32 * (n_exclaim * 5 > n_words)::bigint + 64 * (n_upper * 2 > word_chars)::bigint)::bigint as failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from f
+""",
+}
