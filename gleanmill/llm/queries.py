@@ -75,7 +75,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rf"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '{_LETTERS}+') as w,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{_LETTERS}')) as lines from t),
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_LETTERS}')) as lines from t),
 g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
       from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
 r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from g) where n > 1),
