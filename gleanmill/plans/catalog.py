@@ -1,11 +1,10 @@
-"""Names of queries, the functions that plan them, and the SQL that they are held against."""
+"""All registered queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import relational, retrieval, stateful, text  # noqa: F401  they register themselves
+from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "agg11_bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
