@@ -11,6 +11,7 @@ are compared by 64-bit hashes of the words in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,15 +49,19 @@ POLICIES = {1: 0b0011111, 2: 0b1111111}
 DEFAULT_POLICY = 2
 
 
-def _repeats(df: DataFrame) -> DataFrame:
-    """n_repeat_words: words inside three-word windows that occur twice or more, each word once."""
-    w, s, p = F.col("words"), F.col("sorted"), F.col("places")
-    windows = F.when(F.size(w) >= 3, F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    df = df.withColumn("sorted", F.sort_array(windows))
-    twice = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-    df = df.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("words", "sorted", "places")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where the optimiser moves or copies the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated_words(words: Column) -> Column:
+    """Words inside three-word windows that occur twice or more, each word once."""
+    windows = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    twice = lambda s: F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+    places = lambda s: F.sort_array(F.transform(twice(s), lambda x: x["i"]))
+    reach = lambda p: F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
+    total = lambda p: F.aggregate(reach(p), F.lit(0), lambda a, x: a + x)
+    return _let(words, lambda w: _let(F.sort_array(windows(w)), lambda s: _let(places(s), total)))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -68,7 +73,6 @@ def ledger(docs: DataFrame) -> DataFrame:
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.select(
         "doc_id",
-        "words",
         long(F.size("words")).alias("n_words"),
         long(F.length(F.array_join("words", ""))).alias("word_chars"),
         long(F.regexp_count("text", F.lit(f"[{SYMBOLS}]"))).alias("n_symbols"),
@@ -76,8 +80,8 @@ def ledger(docs: DataFrame) -> DataFrame:
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         long(F.regexp_count("text", F.lit("!"))).alias("n_exclaim"),
         long(F.regexp_count("text", F.lit(r"\p{Lu}"))).alias("n_upper"),
+        long(repeated_words(F.col("words"))).alias("n_repeat_words"),
     )
-    df = _repeats(df)
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails) if isinstance(rule.fails, str) else rule.fails, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
