@@ -297,7 +297,7 @@ def _trimmed(text: str, span: Span) -> Span:
 def _plausible(text: str, span: Span) -> bool:
     kind, s, e = span
     digits = sum("0" <= c <= "9" for c in text[s : min(e, s + 200)])
-    return s < e and {"email": "@" in text[s:e], "ip": digits >= 4, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
+    return s < e and {"email": "@" in text[s:e], "ip": digits >= 4, "card": 13 <= digits <= 19 and luhn("".join(c for c in text[s:e] if "0" <= c <= "9")), "phone": 7 <= digits <= 15}[kind]
 
 
 def examples(seed: int = 5, n: int = 900) -> tuple[list[str], list[list[Span]]]:
