@@ -83,7 +83,7 @@ def materialise(docs: DataFrame, out: str | None = None, length: int = LENGTH, p
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     staged = f"{out}-staged"
-    pieces(docs, path, length, with_ids=True).write.parquet(staged)
+    pieces(docs, path, length, with_ids=True).write.option("compression", "zstd").parquet(staged)
     rows = spark.read.parquet(staged).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     counts = sorted((r["file"], r["n"]) for r in rows.groupBy("file").agg((F.max("row") + 1).alias("n")).collect())  # a row for each written file
     n = sum(c for _, c in counts)
@@ -95,7 +95,7 @@ def materialise(docs: DataFrame, out: str | None = None, length: int = LENGTH, p
     shards = max(1, -(-n // per_shard))
     ordered = dealt.repartitionByRange(min(shards, max(1, n * stride // (64 << 20)) + 8), "shard").sortWithinPartitions("slot")
     placed = ordered.select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "shard", ((F.col("slot") % per_shard) * stride).alias("at"), F.lit(stride).alias("stride"), "ids")
-    _padded(placed, stride).write.parquet(out)
+    _padded(placed, stride).write.option("compression", "zstd").parquet(out)
     return out
 
 
