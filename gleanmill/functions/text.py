@@ -81,7 +81,7 @@ def masked_variables(text: Column) -> Column:
 
 def top_frame(stack: Column, project: str) -> Column:
     """The first frame of the project, else the first frame, else the first line."""
-    lines = F.transform(F.split(stack, "\n"), F.trim)
+    lines = F.transform(F.split(stack, "\n"), lambda x: F.trim(x))  # F.trim takes a second argument
     return F.coalesce(F.get(F.filter(lines, lambda x: x.contains(project)), F.lit(0)), F.get(F.filter(lines, lambda x: x.startswith("at ")), F.lit(0)), F.get(lines, F.lit(0)))
 
 
