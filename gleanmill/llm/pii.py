@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import least_by_hash, only
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
@@ -343,8 +343,7 @@ def examples(seed: int = 5, n: int = 900) -> tuple[list[str], list[list[Span]]]:
 
 def fit(docs: DataFrame) -> Field:
     texts, labels = examples()
-    rows = only(docs, "doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES)).select("text", F.xxhash64("doc_id", F.lit("pii")).alias("h")).orderBy("h", "text").limit(SAMPLE).collect()
-    more = [r["text"] for r in rows]
+    more = least_by_hash(only(docs, "doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES)), "pii", SAMPLE)
     return train(texts + more, labels + [base_spans(t) for t in more])
 
 
