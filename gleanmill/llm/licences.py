@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, only, word_hashes
+from .common import U64, chunks, least_by_hash, mix, only, word_hashes
 from .decontam import SEPARATOR
 
 #: Usual statements of each family, as they occur in texts.
@@ -130,8 +130,8 @@ def train(lines: list[str], seed: int = 3) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    rows = only(docs, "doc_id", "text").filter("text is not null").filter(F.octet_length("text") <= SAMPLE_BYTES).select("text", F.xxhash64("doc_id", F.lit("licences")).alias("h")).orderBy("h", "text").limit(SAMPLE).collect()
-    return train([x for row in rows for x in row["text"].split("\n") if x.strip()][:4000])
+    texts = least_by_hash(only(docs, "doc_id", "text").filter("text is not null").filter(F.octet_length("text") <= SAMPLE_BYTES), "licences", SAMPLE)
+    return train([x for t in texts for x in t.split("\n") if x.strip()][:4000])
 
 
 def confirmed(line: str, family: str) -> bool:
