@@ -119,8 +119,8 @@ def question_fault(question: Column) -> Column:
 def validate_patches(patches: DataFrame, fields: DataFrame, allowed: DataFrame, version: Column) -> DataFrame:
     """patches (patch_id, field_id, text_hash, evidence_ids, risk_flags) with the sorted names of what is wrong.
 
-    fields: (field_id, version, text_hash, unsupported, required), once each; allowed: (evidence_id). A field's first
-    patch, by patch_id, is no duplicate. Evidence is joined by id, never collected.
+    fields: (field_id, version, text_hash, unsupported, required), once each; allowed: (evidence_id). A patch_id stands
+    for one patch: rows that share it share their faults. A field's first patch, by patch_id, is no duplicate. Evidence is joined by id, never collected.
     """
     f = fields.select("field_id", F.col("version").alias("_v"), F.col("text_hash").alias("_h"), "unsupported", "required", F.lit(True).alias("_known"))
     cited = patches.select("patch_id", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))

@@ -62,7 +62,7 @@ def sf51(spark, d):
 
 
 @query("jn16_patch_validation", """
-with p as (select l_orderkey * 10 + l_linenumber as patch_id, case when l_suppkey % 9 = 0 then -l_partkey else l_partkey end as field_id, l_linenumber % 5 as hash, l_returnflag = 'R' as none, l_tax > 0.04 as two, l_suppkey as e, l_linestatus = 'O' as cites from lineitem),
+with p as (select ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as patch_id, case when l_suppkey % 9 = 0 then -l_partkey else l_partkey end as field_id, l_linenumber % 5 as hash, l_returnflag = 'R' as none, l_tax > 0.04 as two, l_suppkey as e, l_linestatus = 'O' as cites from lineitem),
 f as (select p_partkey as field_id, p_size % 3 as version, p_partkey % 5 as hash, p_size > 45 as unsupported, p_retailprice > 1200 as required from part), a as (select s_suppkey as e from supplier where s_acctbal > 0),
 j as (select p.*, f.version, f.hash as fh, unsupported, required, f.field_id is not null as known, a.e is null as alien, min(patch_id) over (partition by p.field_id) as first from p left join f using (field_id) left join a using (e)),
 x as (select patch_id, field_id, [case when known and patch_id > first then 'duplicate' end, case when known and cites and alien then 'foreign_evidence' end, case when known and hash <> fh then 'hash' end, case when known and none and two then 'mixed_none' end,
@@ -71,7 +71,7 @@ select patch_id, field_id, array_to_string(list_filter(fs, lambda s: s is not nu
 def jn16(spark, d):
     flags = F.filter(F.array(F.when(F.col("l_returnflag") == "R", "NONE"), F.when(F.col("l_tax") > 0.04, "DATE")), lambda x: x.isNotNull())
     p = table(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("patch_id"), F.when(F.col("l_suppkey") % 9 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("field_id"),
+        F.expr("((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey").alias("patch_id"), F.when(F.col("l_suppkey") % 9 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("field_id"),
         (F.col("l_linenumber") % 5).cast("long").alias("text_hash"), F.when(F.col("l_linestatus") == "O", F.array("l_suppkey")).otherwise(F.array().cast("array<bigint>")).alias("evidence_ids"), flags.alias("risk_flags"),
     )
     f = table(spark, d, "part").select(F.col("p_partkey").alias("field_id"), (F.col("p_size") % 3).alias("version"), (F.col("p_partkey") % 5).alias("text_hash"), (F.col("p_size") > 45).alias("unsupported"), (F.col("p_retailprice") > 1200).alias("required"))
