@@ -50,6 +50,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_id: str = "item_id") -> DataFrame:
+    """(query_id, key, shared, coverage) of every question and document that share a term; all other pairs have coverage 0.
+
+    Distinct terms meet in one equi-join, so no pair without a common term is a row. Both keys are unique.
+    """
+    q = queries.select(query_id, F.array_distinct(tokens(F.col("text"))).alias("q"))
+    asked = q.select(query_id, F.size("q").alias("n"), F.explode("q").alias("term"))
+    held = docs.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    return held.join(asked, "term").groupBy(query_id, key, "n").agg(F.count("*").alias("shared")).select(query_id, key, "shared", (F.col("shared") / F.col("n")).alias("coverage"))
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine top k of every query: vectors (vec_id, embedding), queries (query_id, embedding).
 

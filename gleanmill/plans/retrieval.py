@@ -70,9 +70,14 @@ def hash_embedding(spark, d):
     return y.select("item_id", "dim", F.round(F.col("v") / norm, 6).alias("value"))
 
 
-_RUNS = f"""{_BM25},
+_BY_SLOT = f"""
 c as (select item_id, doc_id, list_unique(list_intersect(q, d)) as score from (select item_id, list_distinct({_TOK}) as q, item_id % 40 as slot from benchmark)
-  join (select doc_id, list_distinct({_TOK}) as d, doc_id % 40 as slot from documents) using (slot)),
+  join (select doc_id, list_distinct({_TOK}) as d, doc_id % 40 as slot from documents) using (slot)),"""
+
+_BY_TERM = f"""
+c as (select item_id, doc_id, count(*) as score from (select item_id, unnest(list_distinct({_TOK})) as term from benchmark) join (select doc_id, unnest(list_distinct({_TOK})) as term from documents) using (term) group by 1, 2),"""
+
+_FUSED = """
 cr as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from c where score > 0),
 runs as (select item_id as query_id, 0 as variant, 'bm25' as source, 1.0 as weight, doc_id, score, rank from bm where rank <= 20
   union all select item_id, 1, 'overlap', 0.8, doc_id, score, rank from cr where rank <= 20),
@@ -80,13 +85,24 @@ nm as (select *, min(score) over (partition by query_id, variant, source) as lo,
 fused as (select query_id, doc_id, sum(weight * case when variant = 0 then 1.2 else 1.0 end / (60 + rank) * (1 + 0.15 * case when hi > lo then (score - lo) / (hi - lo) when score > 0 then 1.0 else 0.0 end)) as score,
   min(rank) as best_rank from nm group by 1, 2)"""
 
+_RUNS = f"{_BM25},{_BY_SLOT}{_FUSED}"
+_RUNS_WHOLE = f"{_BM25},{_BY_TERM}{_FUSED}"
 
-def _runs(spark, d):
-    first = _bm25(spark, d, 20).select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), F.lit("bm25").alias("source"), F.lit(1.0).alias("weight"), "doc_id", "score", "rank")
+
+def _by_slot(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("q"), (F.col("item_id") % 40).alias("slot"))
     c = q.join(table(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("d"), (F.col("doc_id") % 40).alias("slot")), "slot")
-    c = c.select("query_id", "doc_id", F.size(F.array_intersect("q", "d")).cast("double").alias("score")).filter("score > 0")
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
+    return c.select("query_id", "doc_id", F.size(F.array_intersect("q", "d")).cast("double").alias("score")).filter("score > 0")
+
+
+def _by_term(spark, d):
+    c = R.shared_terms(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return c.select(F.col("item_id").alias("query_id"), "doc_id", F.col("shared").cast("double").alias("score"))
+
+
+def _runs(spark, d, overlap=_by_slot):
+    first = _bm25(spark, d, 20).select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), F.lit("bm25").alias("source"), F.lit(1.0).alias("weight"), "doc_id", "score", "rank")
+    c = overlap(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
     second = c.select("query_id", F.lit(1).alias("variant"), F.lit("overlap").alias("source"), F.lit(0.8).alias("weight"), "doc_id", "score", "rank")
     return first.unionByName(second)
 
@@ -103,6 +119,18 @@ def rrf(spark, d):
     return R.rrf(_runs(spark, d), "doc_id").select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
+@query("agg13_weighted_fusion_whole", f"""with {_RUNS_WHOLE}
+select query_id, doc_id, round(score, 6) as score, best_rank::bigint as best_rank, row_number() over (partition by query_id order by round(score, 9) desc, best_rank, doc_id)::bigint as rank from fused""")
+def weighted_fusion_whole(spark, d):
+    f = R.fuse(_runs(spark, d, _by_term), "doc_id")
+    return f.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("best_rank").cast("long").alias("best_rank"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("agg14_rrf_whole", f"with {_RUNS_WHOLE} select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from runs group by 1, 2")
+def rrf_whole(spark, d):
+    return R.rrf(_runs(spark, d, _by_term), "doc_id").select("query_id", "doc_id", F.round("score", 9).alias("score"))
+
+
 @query("agg15_parent_aggregation", f"""with {_BM25}, h as (select item_id as query_id, doc_id, rank from bm where rank <= 10),
 m as (select doc_id, source || '-' || doc_id // 50 as parent_id from documents),
 b as (select query_id, parent_id, min(rank) as rank, arg_min(doc_id, rank) as best_chunk from h join m using (doc_id) group by 1, 2)

@@ -147,6 +147,18 @@ def sf29(spark, sf_dir):
     return q.join(d, "slot").select("item_id", "doc_id", F.round(T.coverage(F.col("q"), F.col("d")), 6).alias("coverage"))
 
 
+@query("sf29_keyword_coverage_whole", r"""
+with q as (select item_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_+#.-]+'), lambda x: lower(x)))) as term from benchmark),
+d as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_+#.-]+'), lambda x: lower(x)))) as term from documents),
+n as (select item_id, count(*) as n from q group by 1)
+select item_id, doc_id, round(count(*) / n::double, 6) as coverage from q join d using (term) join n using (item_id) group by item_id, doc_id, n""")
+def sf29_whole(spark, sf_dir):
+    """All pairs that share a term, where sf29_keyword_coverage scores one slot of 40."""
+    from ..operators.retrieval import shared_terms
+
+    return shared_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"))
+
+
 @query("sf42_token_estimate", "select conv_id, turn, ((length(text) + 1) // 2)::bigint as n from conversations")
 def sf42(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.token_estimate(F.col("text")).alias("n"))

@@ -88,3 +88,11 @@ def test_even_sample_rounds_half_to_even(spark):
 def test_stale_versions_lose(spark):
     rows = spark.createDataFrame([("a", 2, "new"), ("a", 1, "old"), ("b", 1, "x")], "k string, v int, t string")
     assert sorted((r["k"], r["t"]) for r in review.latest_version(rows, "k", "v").collect()) == [("a", "new"), ("b", "x")]
+
+
+def test_shared_terms_reach_all_pairs(spark):
+    words = lambda k: {f"w{k % m}" for m in (2, 3, 5, 7)}
+    items, docs = {k: words(k) for k in range(90)}, {k: words(3 * k + 1) for k in range(60)}
+    frame = lambda x, key: spark.createDataFrame([(k, " ".join([*sorted(w), *w]) if w else None) for k, w in x.items()], f"{key} long, text string")
+    got = {(r["item_id"], r["doc_id"]): (r["shared"], r["coverage"]) for r in retrieval.shared_terms(frame({**docs, 999: set()}, "doc_id"), frame({**items, 998: set()}, "item_id")).collect()}
+    assert got == {(i, d): (len(a & b), len(a & b) / len(a)) for i, a in items.items() for d, b in docs.items() if a & b}
