@@ -112,6 +112,13 @@ def sf17(spark, sf_dir):
     return p.select("page_id", T.masked_variables(F.substring("html", 1, 400)).alias("masked"))
 
 
+@query("sf17_mask_variables_whole", r"""
+select page_id, md5(regexp_replace(regexp_replace(html, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '{uuid}', 'g'), '\d{4,}', '{num}', 'g')) as h from pages""")
+def sf17_whole(spark, sf_dir):
+    """The digest of the whole masked page, where sf17_mask_variables gives its first 400 characters."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.masked_variables(F.col("html"))).alias("h"))
+
+
 @query("sf18_top_frame", r"""
 with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) as l from documents)
 select doc_id, coalesce(list_filter(l, lambda x: contains(x, 'License'))[1], list_filter(l, lambda x: starts_with(x, 'at '))[1], l[1]) as frame from l""")
@@ -234,7 +241,16 @@ with t as (select doc_id, lower(unnest(regexp_extract_all(text, '[\x{4e00}-\x{9f
 c as (select doc_id, term, count(*)::bigint as tf from t group by all)
 select term, count(*)::bigint as df, sum(tf)::bigint as tf, max(tf)::bigint as most from c group by 1 having count(*) >= 3""")
 def agg9(spark, sf_dir):
+    return agg9_whole(spark, sf_dir).filter("df >= 3")
+
+
+@query("agg9_term_frequency_whole", r"""
+with t as (select doc_id, lower(unnest(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_+#.-]+'))) as term from documents),
+c as (select doc_id, term, count(*)::bigint as tf from t group by all)
+select term, count(*)::bigint as df, sum(tf)::bigint as tf, max(tf)::bigint as most from c group by 1""")
+def agg9_whole(spark, sf_dir):
+    """All terms, rare ones too, where agg9_term_frequency gives those of three documents and more."""
     from ..operators.retrieval import postings
 
     p = postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("most")).filter("df >= 3")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("most"))

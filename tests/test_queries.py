@@ -26,3 +26,11 @@ def test_entry(spark):
     assert FLAGSHIP in e.queries()
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_tables_are_covered(spark):
+    n = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
+    judged = QUERIES["sf51_question_rules_whole"](spark, SF).toPandas()
+    assert len(judged) == n("conversations") and (judged.fault == "length").any()
+    assert QUERIES["sf17_mask_variables_whole"](spark, SF).count() == n("pages")
+    assert QUERIES["agg9_term_frequency_whole"](spark, SF).filter("df < 3").count() > 0
