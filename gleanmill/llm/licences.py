@@ -1,10 +1,14 @@
 """Licence scans: a trained paragraph classifier finds licence families, templates confirm them.
 
-A paragraph is a line. Its features are hashed word unigrams and bigrams; a multinomial logistic regression over
-these sparse counts is trained in numpy by stochastic gradient descent on variants of the templates and, as the
-unknown class, on lines of a bounded sample of documents (SAMPLE documents of at most SAMPLE_BYTES, by a hash of
-their id) and on near misses. Held-out lines set the temperature and the limit below which a line is unknown. A
-line predicted with enough confidence is compared with the templates of its family, and only confirmed lines count.
+A paragraph is a run of lines with words; lines without words (blank, or a comment mark alone) part paragraphs. What
+is classified are the short lines, and overlapping windows of words of about template length that run across line
+breaks, as any mark, comment marks too, only parts words. Features are hashed word unigrams and bigrams; a
+multinomial logistic regression over these sparse counts is trained in numpy by stochastic gradient descent on
+variants of the templates and, as the unknown class, on lines of a bounded sample of documents (SAMPLE documents of
+at most SAMPLE_BYTES, by a hash of their id) and on near misses. Held-out lines set the temperature and the limit
+below which a line or window is unknown. One predicted with enough confidence is compared, with the words around it,
+with the templates of its family, and only confirmed ones count; where families overlap, the one with more of its
+word pairs there does.
 
 Null and empty texts have no paragraphs. Repeated rows get equal answers. Long texts are read whole. An empty table
 gives no rows. Columns besides doc_id and text are ignored.
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, least_by_hash, mix, only, word_hashes
+from .common import U64, chunks, least_by_hash, mix, only, prefix_hash, span_hash, word_hashes, words
 from .decontam import SEPARATOR
 
 #: Usual statements of each family, as they occur in texts.
@@ -54,6 +58,11 @@ PASS = 0.0005
 FLOOR = 0.6
 #: Share of a template's words, in order of pairs, that a line must have, or of its own that the template has.
 CONFIRM = 0.6
+#: Words of a window; windows start at every quarter of their size. Longer lines are left to the windows.
+SIZES = (8, 16, 32)
+LINE = 64
+#: Words whose windows are scored together.
+TOKENS = 1 << 15
 
 FOUND = "doc_id long, families array<string>, n_paragraphs long, score double"
 _WORD = re.compile(r"[^\W_]+")
@@ -134,15 +143,76 @@ def fit(docs: DataFrame) -> Model:
     return train([x for t in texts for x in t.split("\n") if x.strip()][:4000])
 
 
-def confirmed(line: str, family: str) -> bool:
-    """Whether enough of a template's word pairs are in the line."""
-    pairs = lambda t: set(zip(w := _WORD.findall(t.lower()), w[1:], strict=False))
-    own = pairs(line)
-    return any(len(own & p) >= CONFIRM * len(p) for p in (pairs(t) for t in TEMPLATES[family]))
+_PAIRS = {f: [(len(w), set(zip(w, w[1:], strict=False))) for t in ts for w in [_WORD.findall(t.lower())]] for f, ts in TEMPLATES.items()}
+AROUND = max(n for ts in _PAIRS.values() for n, _ in ts)
+
+
+def confirmed(text: str, family: str) -> tuple[int, int, int] | None:
+    """Where most of a template's word pairs stand within twice its words, if they are enough: (pairs, start, end)."""
+    w = list(_WORD.finditer(text))
+    own = [(a.group().lower(), b.group().lower()) for a, b in zip(w, w[1:], strict=False)]
+    best = None
+    for n, pairs in _PAIRS[family]:
+        at = [k for k, p in enumerate(own) if p in pairs]
+        for a in at:
+            here = [k for k in at if a <= k < a + 2 * n]
+            equal = len({own[k] for k in here})
+            if equal >= CONFIRM * len(pairs) and (best is None or equal > best[0]):
+                best = equal, w[a].start(), w[here[-1] + 1].end()
+    return best
+
+
+def _settled(hits: list[tuple[int, int, int, str, float]]) -> list[tuple[str, float]]:
+    """(family, score) of the hits (pairs, start, end, family, score) that overlap no hit of another family with more pairs."""
+    kept: list[tuple[int, int, int, str, float]] = []
+    for h in sorted(hits, key=lambda h: (-h[0], -h[4], h[3], h[1])):
+        if not any(h[3] != k[3] and h[1] < k[2] and k[1] < h[2] for k in kept):
+            kept.append(h)
+    return [(h[3], h[4]) for h in kept]
+
+
+def _units(first: np.ndarray, paragraphs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in words and in order of start, of short lines and of the windows of each paragraph.
+
+    first: the first word of each line; paragraphs: the first word of each paragraph; both end with the number of words.
+    """
+    n = np.diff(first)
+    short = (n > 0) & (n <= LINE)
+    starts, ends = [first[:-1][short]], [first[1:][short]]
+    begin, m = paragraphs[:-1], np.diff(paragraphs)
+    for size in SIZES:
+        step = size // 4
+        count = 1 + -(-np.maximum(m - size, 0) // step)
+        which = np.repeat(np.arange(len(m)), count)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        s = begin[which] + np.minimum(k * step, np.maximum(m[which] - size, 0))
+        starts.append(s)
+        ends.append(np.minimum(s + size, begin[which] + m[which]))
+    span = np.unique(np.stack([np.concatenate(starts), np.concatenate(ends)], axis=1), axis=0)
+    return span[:, 0], span[:, 1]
+
+
+def _likely(token: np.ndarray, start: np.ndarray, end: np.ndarray, m: Model) -> Iterator[tuple[int, int, int, float]]:
+    """(start, end, number of the family, score) of the units above the limit."""
+    for low in range(0, len(token), TOKENS):
+        a, b = np.searchsorted(start, [low, low + TOKENS])
+        if a == b:
+            continue
+        s, e = start[a:b] - low, end[a:b] - low
+        one, two = _grams(token[low : low + TOKENS + LINE])
+        zero = np.zeros((1, len(m.families)))
+        words_sum = np.concatenate([zero, np.cumsum(m.weight[one], axis=0, dtype=np.float64)])
+        pairs_sum = np.concatenate([zero, np.cumsum(m.weight[two], axis=0, dtype=np.float64)])
+        z = (words_sum[e] - words_sum[s] + pairs_sum[e - 1] - pairs_sum[s]) / np.sqrt(2 * (e - s))[:, None] + m.bias
+        p = _softmax(z / m.temperature)
+        best = p[:, 1:].argmax(axis=1) + 1
+        score = p[np.arange(len(p)), best]
+        for k in np.flatnonzero(score >= m.limit):
+            yield int(s[k] + low), int(e[k] + low), int(best[k]), float(score[k])
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """A row per document: confirmed families in order of name, their paragraphs, and the best score (0 if none)."""
+    """A row per document: confirmed families in order of name, the number of paragraphs that hold one, and the best score (0 if none)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x families floats, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,28 +222,27 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             for first, end, data, at in chunks(batch.column(1), 1 << 19):
                 breaks = np.flatnonzero(data == 10)
                 lines = np.unique(np.concatenate([at, breaks, breaks + 1]))
-                token, begin = word_hashes(data, lines, SEPARATOR)
-                n = np.diff(begin)
-                some = np.flatnonzero(n)
-                found: dict[int, list[tuple[str, float]]] = {}
-                if len(some):
-                    one, two = _grams(token)
-                    value = m.weight[one]
-                    pair = m.weight[two] if len(two) else np.zeros((0, len(m.families)), np.float32)
-                    pair[begin[1:][(begin[1:] > 0) & (begin[1:] < len(token))] - 1] = 0
-                    value[:-1] += pair
-                    z = np.add.reduceat(value, begin[:-1][some], axis=0, dtype=np.float64) / np.sqrt(2 * n[some])[:, None] + m.bias
-                    p = _softmax(z / m.temperature)
-                    best = p[:, 1:].argmax(axis=1) + 1
-                    score = p[np.arange(len(some)), best]
-                    for k in np.flatnonzero(score >= m.limit):
-                        s, e = lines[some[k]], lines[some[k] + 1]
-                        family = m.families[best[k]]
-                        if confirmed(data[s:e].tobytes().decode("utf-8", "ignore"), family):
-                            found.setdefault(int(np.searchsorted(at, s, "right") - 1), []).append((family, float(score[k])))
+                left, right, at_line = words(data, lines, SEPARATOR)
+                token = span_hash(prefix_hash(data), left, right)
+                found: dict[int, dict[int, list[tuple[str, float]]]] = {}
+                if len(token):
+                    # Two line feeds and more with no words between them part paragraphs.
+                    feeds = np.concatenate([[0], np.cumsum(data == 10)])
+                    row = np.searchsorted(at, left, "right")
+                    apart = np.concatenate([[True], (np.diff(row) > 0) | (feeds[left[1:]] - feeds[right[:-1]] > 1)])
+                    paragraphs = np.append(np.flatnonzero(apart), len(token))
+                    for s, e, kind, score in _likely(token, *_units(at_line, paragraphs), m):
+                        p = int(np.searchsorted(paragraphs, s, "right") - 1)
+                        a, b = max(s - AROUND, paragraphs[p]), min(e + AROUND, paragraphs[p + 1])
+                        family = m.families[kind]
+                        at_byte, text = int(left[a]), data[left[a] : right[b - 1]].tobytes().decode("utf-8", "ignore")
+                        if hit := confirmed(text, family):
+                            bytes_to = lambda c: at_byte + len(text[:c].encode())  # noqa: B023, E731
+                            found.setdefault(int(row[s] - 1), {}).setdefault(p, []).append((hit[0], bytes_to(hit[1]), bytes_to(hit[2]), family, score))
                 for i in range(end - first):
-                    hits = found.get(i, [])
-                    out.append((sorted({f for f, _ in hits}), len(hits), max((p for _, p in hits), default=0.0)))
+                    held = found.get(i, {})
+                    hits = [h for p in held.values() for h in _settled(p)]
+                    out.append((sorted({f for f, _ in hits}), len(held), max((p for _, p in hits), default=0.0)))
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.list_(pa.string())), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["doc_id", "families", "n_paragraphs", "score"])
 

@@ -103,6 +103,16 @@ def test_licences(spark, odd, none):
     assert licences.scan(none, licences.fit(none)).count() == 0
 
 
+def test_licences_across_lines_and_in_long_paragraphs(spark):
+    docs = spark.createDataFrame([(i, prose(30, i) + "\n" + prose(20, i + 50)) for i in range(60)], "doc_id long, text string")
+    model = licences.fit(docs)
+    gpl, bsd = licences.TEMPLATES["GPL"][1], licences.TEMPLATES["BSD"][1]
+    wrap = lambda t, n, mark: "\n".join(mark + " ".join(w[k : k + n]) for w in [t.split()] for k in range(0, len(w), n))
+    cases = [wrap(gpl, 12, "# "), wrap(bsd, 10, " * "), wrap(gpl, 5, "// "), *(prose(300, 3) + " " + t + " " + prose(300, 4) for t in (gpl, bsd, licences.TEMPLATES["MIT"][0])), wrap(gpl, 12, "# ") + "\n#\n" + wrap(bsd, 10, "# "), " ".join(gpl.split()[:9]) + "\n\n" + prose(30, 5)]
+    got = {r["doc_id"]: (r["families"], r["n_paragraphs"]) for r in licences.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), model).collect()}
+    assert got == dict(enumerate([(["GPL"], 1), (["BSD"], 1), (["GPL"], 1), (["GPL"], 1), (["BSD"], 1), (["MIT"], 1), (["BSD", "GPL"], 2), ([], 0)]))
+
+
 def measured(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
