@@ -7,6 +7,7 @@ only the order-dependent diversity step is a group map, over the few candidates
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,15 +65,23 @@ def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine top k of every query: vectors (vec_id, embedding), queries (query_id, embedding).
 
-    Queries are the small, stated side: they travel with each batch of vectors as one matrix, after a check of
-    their number; each batch keeps its k best of a query and a window merges them.
+    Queries are dealt by a hash of their id to blocks of about MOST_QUERIES at most. A block travels with each batch
+    of vectors as one matrix, all vectors meet all blocks; each batch keeps its k best of a query and a window merges them.
     """
+    asked = queries.select("query_id", "embedding")
+    n = max(1, -(-asked.count() // MOST_QUERIES))
+    parts = [_block_topk(vectors, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) if n > 1 else asked, k) for b in range(n)]
+    found = reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each batch of vectors for each query of one block."""
     import numpy as np
     import pyarrow as pa
 
-    rows = queries.select("query_id", "embedding").orderBy("query_id").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once; call again with the rest")
+    rows = queries.collect()  # a block of bounded size
     ids = np.array([r["query_id"] for r in rows], np.int64)
     q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -90,9 +99,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
             at = np.arange(len(names))[:, None]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(key[order].ravel()), pa.array(s[at, order].ravel())], names=["query_id", "vec_id", "score"])
 
-    found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double").filter("score > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double").filter("score > 0")
 
 
 MOST_QUERIES = 20_000
@@ -176,17 +183,18 @@ def guard(evidence: DataFrame, least: float = 0.35) -> DataFrame:
     return per.select("query_id", F.round(confidence, 6).alias("confidence"), reason.alias("status"))
 
 
-def retrieval_metrics(hits: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def retrieval_metrics(hits: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (1, 3, 5), counts: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank, recall and NDCG per question over documents as first seen; null without judgements.
 
-    hits: (query_id, doc_id, rank); qrels: (query_id, doc_id).
+    hits: (query_id, doc_id, rank); qrels: (query_id, doc_id). Where the judgements are too many to be pairs, counts
+    (query_id, n) gives their number and qrels need only hold those among the hits.
     """
     first = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id")))
     good = placed.join(qrels.distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(
         F.min("place").alias("best"), *[F.count_if(F.col("place") <= k).alias(f"hit{k}") for k in cuts], *[F.sum(F.when(F.col("place") <= k, 1 / F.log2(F.col("place") + 1)).otherwise(0.0)).alias(f"dcg{k}") for k in cuts]
     )
-    n = qrels.distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    n = qrels.distinct().groupBy("query_id").agg(F.count("*").alias("n")) if counts is None else counts
     out = hits.select("query_id").distinct().join(n, "query_id", "left").join(good, "query_id", "left")
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     known = lambda c: F.when(F.col("n").isNotNull(), F.coalesce(c, F.lit(0.0)))

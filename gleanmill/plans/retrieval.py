@@ -190,3 +190,20 @@ def metrics(spark, d):
     hits = R.vector_topk(v, q, 10).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     rel = q.join(v.filter("vec_id % 9 = 0"), F.col("l") == F.col("label")).select("query_id", F.col("vec_id").alias("doc_id"))
     return R.retrieval_metrics(hits, rel).select("query_id", "rr", "recall_1", "recall_5", F.round("ndcg_5", 6).alias("ndcg_5"))
+
+
+@query("agg17_retrieval_metrics_whole", f"""with {_VEC}, h as (select query_id, vec_id as doc_id, rank from vr where rank <= 10),
+j as (select q.vec_id as query_id, v.vec_id as doc_id from embeddings q join embeddings v on v.label = q.label where q.vec_id % 100 = 0),
+n as (select query_id, count(*) as n from j group by 1), g as (select h.query_id, rank from h join j using (query_id, doc_id)),
+a as (select query_id, min(rank) as best, count(*) filter (rank <= 1) as h1, count(*) filter (rank <= 3) as h3, count(*) filter (rank <= 5) as h5, sum(case when rank <= 5 then 1 / log2(rank + 1) else 0 end) as d5 from g group by 1),
+i as (select query_id, list_sum(list_transform(range(1, least(n, 5) + 1), lambda k: 1 / log2(k + 1))) as i5 from n)
+select q.query_id, case when n is not null then coalesce(1 / best, 0) end as rr, case when n is not null then coalesce(h1 / n, 0) end as recall_1, case when n is not null then coalesce(h5 / n, 0) end as recall_5, case when n is not null then round(coalesce(d5 / i5, 0), 6) end as ndcg_5
+from (select distinct query_id from h) q left join n using (query_id) left join a using (query_id) left join i using (query_id)""")
+def metrics_whole(spark, d):
+    """All vectors of the query's label are judgements, where agg17_retrieval_metrics takes one of nine."""
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("l"))
+    hits = R.vector_topk(v, q, 10).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    rel = hits.join(q.select("query_id", "l"), "query_id").join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").filter("l = label").select("query_id", "doc_id")
+    counts = q.select("query_id", "l").join(v.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("n")), "l").select("query_id", "n")
+    return R.retrieval_metrics(hits, rel, counts=counts).select("query_id", "rr", "recall_1", "recall_5", F.round("ndcg_5", 6).alias("ndcg_5"))

@@ -96,3 +96,11 @@ def test_shared_terms_reach_all_pairs(spark):
     frame = lambda x, key: spark.createDataFrame([(k, " ".join([*sorted(w), *w]) if w else None) for k, w in x.items()], f"{key} long, text string")
     got = {(r["item_id"], r["doc_id"]): (r["shared"], r["coverage"]) for r in retrieval.shared_terms(frame({**docs, 999: set()}, "doc_id"), frame({**items, 998: set()}, "item_id")).collect()}
     assert got == {(i, d): (len(a & b), len(a & b) / len(a)) for i, a in items.items() for d, b in docs.items() if a & b}
+
+
+def test_vector_topk_takes_any_number_of_queries(spark, monkeypatch):
+    frame = lambda key, ids: spark.createDataFrame([(k, [math.sin(k), math.cos(k), 1.0]) for k in ids], f"{key} long, embedding array<double>")
+    ask = lambda: sorted(map(tuple, retrieval.vector_topk(frame("vec_id", range(50)), frame("query_id", range(0, 90, 3)), 4).select("query_id", "vec_id", "rank").collect()))
+    whole = ask()
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)
+    assert ask() == whole and len(whole) == 30 * 4
