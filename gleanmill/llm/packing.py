@@ -2,8 +2,8 @@
 
 Each document is its token ids and an end token; only longer ones are cut, into pieces of the full length. Pieces
 are dealt to groups of bounded size. A group starts from best fit by falling length; a swap-based local search
-then moves a document, or exchanges one for one or two for one between underfull sequences, whenever this raises
-the sum of squared fill, until sequences empty or no exchange helps. Sequences that stay underfull in their group
+then moves one or two pieces, or exchanges one for one, one for two or two for one between any two underfull
+sequences, whenever this raises the sum of squared fill, until a full pass over them finds no gain. Sequences that stay underfull in their group
 are packed again, together, in further rounds.
 
 A null or empty text is the end token alone. Rows with the same doc_id are packed each on its own. Ties are
@@ -13,6 +13,7 @@ besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,6 @@ GROUP = 12_000
 #: A sequence at least so full is not packed again.
 FULL = 0.995
 ROUNDS = 3
-TRIES = 400
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long, fill long"
@@ -81,61 +81,115 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """Raises the sum of squared fill by moves and exchanges from the emptiest bins into fuller ones; drops bins that empty."""
+class _Index:
+    """The emptiest bin for each size of a piece (kind 0) and each sum of two (kind 1) that it could give."""
+
+    NONE = 1 << 40
+
+    def __init__(self, capacity: int) -> None:
+        self.heaps: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.least = np.full((2, 2 * capacity + 2), self.NONE, np.int64)
+        self.version: dict[int, int] = {}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, b: int, fill: int, sizes: list[int]) -> None:
+        distinct, count = np.unique(np.array(sizes, np.int64), return_counts=True)
+        self.keys[b] = distinct, sums(distinct, count)
+        for kind, keys in enumerate(self.keys[b]):
+            for key in keys.tolist():
+                heapq.heappush(self.heaps[kind].setdefault(key, []), (fill, b, self.version.setdefault(b, 0)))
+            self.least[kind, keys] = np.minimum(self.least[kind, keys], fill)
+
+    def remove(self, b: int) -> None:
+        self.version[b] += 1
+        for kind, keys in enumerate(self.keys.pop(b)):
+            for key in keys.tolist():
+                heap = self.heaps[kind][key]
+                while heap and self.version[heap[0][1]] != heap[0][2]:
+                    heapq.heappop(heap)
+                self.least[kind, key] = heap[0][0] if heap else self.NONE
+
+
+def sums(distinct: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The distinct sums of two pieces."""
+    a, b = np.triu_indices(len(distinct), 1)
+    return np.unique(np.concatenate([distinct[a] + distinct[b], 2 * distinct[count > 1]]))
+
+
+def _two(items: list[int], lengths: list[int], total: int) -> list[int]:
+    at: dict[int, int] = {}
+    for i in items:
+        if total - lengths[i] in at:
+            return [at[total - lengths[i]], i]
+        at[lengths[i]] = i
+    raise ValueError("no two pieces have this sum")
+
+
+def _step(index: _Index, fill: int, sizes: list[int], gap: int) -> tuple[int, int, int, int] | None:
+    """The exchange that fills most of a gap and raises the sum of squares: (gain, kind, size or sum received, size or sum given).
+
+    It does if the bin becomes fuller than the giver was. The bin itself is not in the index.
+    """
+    distinct, count = np.unique(np.array(sizes, np.int64), return_counts=True)
+    zero = np.zeros(1, np.int64)
+    best: tuple[int, int, int, int] | None = None
+    for kind, given in ((0, np.concatenate([zero, distinct, sums(distinct, count)])), (1, np.concatenate([zero, distinct]))):
+        for high in range(gap, best[0] if best else 0, -64):
+            gains = np.arange(high, max(high - 64, best[0] if best else 0), -1)
+            at = given[:, None] + gains[None, :]
+            good = index.least[kind, np.minimum(at, index.least.shape[1] - 1)] < fill + gains[None, :]
+            some = np.flatnonzero(good.any(axis=0))
+            if len(some):
+                g = int(gains[some[0]])
+                r = int(given[np.flatnonzero(good[:, some[0]])[0]])
+                best = g, kind, r + g, r
+                break
+    return best
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Raises the sum of squared fill by moves and exchanges between any two underfull bins until none helps; drops bins that empty.
+
+    Fuller bins are filled first, each by the exchange that fills most of its gap, so most are full after one step
+    and take no further part.
+    """
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = set(range(len(bins)))
-    for _ in range(tries):
-        if len(alive) <= least:
-            break
-        open_bins = sorted((b for b in alive if fill[b] < capacity), key=lambda b: (fill[b], b))
+    index = _Index(capacity)
+    under = {b for b in range(len(bins)) if 0 < fill[b] < capacity}
+    for b in under:
+        index.add(b, fill[b], [lengths[i] for i in bins[b]])
+    improved = True
+    while improved:
         improved = False
-        for low in open_bins[:8]:
-            for high in reversed(open_bins):
-                if high == low or fill[high] < fill[low]:
-                    continue
-                if step := _exchange(bins[low], bins[high], lengths, capacity - fill[high]):
-                    out, back = step
-                    for i in out:
-                        bins[low].remove(i)
-                        bins[high].append(i)
-                    for i in back:
-                        bins[high].remove(i)
-                        bins[low].append(i)
-                    gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                    fill[low] -= gain
-                    fill[high] += gain
-                    improved = True
-                    if not bins[low]:
-                        alive.discard(low)
-                        break
-            if improved:
-                break
-        if not improved:
-            break
-    return [bins[b] for b in sorted(alive)]
-
-
-def _exchange(low: list[int], high: list[int], lengths: list[int], gap: int) -> tuple[list[int], list[int]] | None:
-    """The step from the emptier to the fuller bin that fills most of its gap: a move, one for one, or one for two."""
-    best, step = 0, None
-    sizes = sorted((lengths[j], j) for j in high)
-    keys = np.array([s for s, _ in sizes])
-    for i in low:
-        size = lengths[i]
-        if best < size <= gap:
-            best, step = size, ([i], [])
-        k = int(np.searchsorted(keys, size - gap))
-        if k < len(sizes) and best < size - sizes[k][0] <= gap:
-            best, step = size - sizes[k][0], ([i], [sizes[k][1]])
-        for a in range(min(len(sizes), 64)):
-            k = max(a + 1, int(np.searchsorted(keys, size - gap - sizes[a][0])))
-            if k < len(sizes) and best < size - sizes[a][0] - sizes[k][0] <= gap:
-                best, step = size - sizes[a][0] - sizes[k][0], ([i], [sizes[a][1], sizes[k][1]])
-        if best == gap:
-            break
-    return step
+        for high in sorted(under, key=lambda b: (-fill[b], b)):
+            if high not in under:
+                continue
+            index.remove(high)
+            while fill[high] < capacity and (step := _step(index, fill[high], [lengths[i] for i in bins[high]], capacity - fill[high])):
+                gain, kind, received, given = step
+                heap = index.heaps[kind][received]
+                while index.version[heap[0][1]] != heap[0][2]:
+                    heapq.heappop(heap)
+                low = heap[0][1]
+                index.remove(low)
+                own = [lengths[i] for i in bins[high]]
+                out = _two(bins[low], lengths, received) if kind else [next(i for i in bins[low] if lengths[i] == received)]
+                back = [] if not given else [bins[high][own.index(given)]] if given in own else _two(bins[high], lengths, given)
+                bins[low] = [i for i in bins[low] if i not in out] + back
+                bins[high] = [i for i in bins[high] if i not in back] + out
+                fill[low] -= gain
+                fill[high] += gain
+                improved = True
+                if fill[low]:
+                    index.add(low, fill[low], [lengths[i] for i in bins[low]])
+                else:
+                    under.discard(low)
+            if fill[high] < capacity:
+                index.add(high, fill[high], [lengths[i] for i in bins[high]])
+            else:
+                under.discard(high)
+    return [b for b in bins if b]
 
 
 def pack_group(pdf: pd.DataFrame, capacity: int, group: int) -> pd.DataFrame:

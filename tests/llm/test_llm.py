@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -305,6 +306,28 @@ def test_local_search_empties_bins():
     assert len(done) <= len(start)
 
 
+def gains(bins, lengths, capacity):
+    """Whether any move or exchange of up to two for one raises the sum of squares, by trying all."""
+    groups = lambda b: [(), *((i,) for i in b), *itertools.combinations(b, 2)]
+    size = lambda x: sum(lengths[i] for i in x)
+    for s, t in itertools.permutations(bins, 2):
+        for x, y in itertools.product(groups(s), groups(t)):
+            d = size(x) - size(y)
+            if len(x) + len(y) < 4 and 0 < d <= capacity - size(t) and size(t) + d > size(s):
+                return True
+    return False
+
+
+def test_local_search_ends_where_no_exchange_helps():
+    for seed in range(6):
+        r = random.Random(seed)
+        lengths = sorted((r.choice((r.randint(1, 60), r.randint(20, 45) * 2)) for _ in range(90)))
+        start = packing.best_fit(lengths, 100)
+        done = packing.local_search(start, lengths, 100)
+        assert gains(start, lengths, 100) and not gains(done, lengths, 100)
+        assert sorted(i for b in done for i in b) == list(range(90)) and all(sum(lengths[i] for i in b) <= 100 for b in done)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
