@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once inside a task. A longer document is a chunk of its own.
@@ -46,6 +46,22 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def kept(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], *inputs: Column) -> DataFrame:
+    """The rows (all columns) for which keep, given record batches of the inputs, says so.
+
+    A row travels with its inputs through one map: nothing is joined, and null or repeated ids play no part.
+    """
+    n, names, schema = len(df.columns), [str(k) for k in range(len(inputs))], df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = pa.RecordBatch.from_arrays(batch.columns[n:], names=names)
+            mask = pa.array(keep(given), pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], schema=pa.schema(list(batch.schema)[:n])).filter(mask)
+
+    return df.select("*", *[c.alias(f"__input_{k}") for k, c in enumerate(inputs)]).mapInArrow(run, schema)
+
+
 def least_by_hash(rows: DataFrame, salt: str, n: int) -> list[str]:
     """The texts of the n rows (doc_id, text) with the least hash of their id, or all if there are fewer.
 

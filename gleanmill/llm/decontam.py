@@ -13,14 +13,14 @@ and items are each reported. Documents or benchmark without rows give no rows. O
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, only, word_hashes
+from .common import U64, chunks, kept, mix, only, word_hashes
 
 #: Fixed masks: 1 is read, 0 is ignored.
 MASKS = ("11101011", "1101001101", "110010100101", "1010110001011")
@@ -137,20 +137,35 @@ def _against(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document and item with a common run: where it starts, its words, and how many are equal."""
-    texts = only(docs, "doc_id", "text").filter("text is not null").select("doc_id", F.lower("text").alias("text"))
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items of the benchmark in blocks of about block_bytes."""
     items = only(benchmark, "item_id", "text").filter("text is not null and text <> ''").select("item_id", F.lower("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
-    parts = []
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()  # a block of the benchmark, about block_bytes
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
         if rows:
-            parts.append(_against(texts, sorted(((r["item_id"], r["text"]) for r in rows), key=str)))
+            yield sorted(((r["item_id"], r["text"]) for r in rows), key=str)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each document and item with a common run: where it starts, its words, and how many are equal."""
+    texts = only(docs, "doc_id", "text").filter("text is not null").select("doc_id", F.lower("text").alias("text"))
+    parts = [_against(texts, items) for items in _blocks(benchmark, block_bytes)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], FOUND)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents (all columns) without a passage of the benchmark."""
-    return docs.join(overlaps(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents (all columns) without a passage of the benchmark. Each row is judged by its own text, whatever its doc_id."""
+    for items in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(Block(items))
+        docs = kept(docs, partial(_unspoilt, shared), F.lower("text"))
+    return docs
+
+
+def _unspoilt(shared, batch: pa.RecordBatch) -> np.ndarray:
+    good = np.ones(batch.num_rows, bool)
+    for start, end, data, at in chunks(batch.column(0)):
+        token, first = word_hashes(data, at, SEPARATOR)
+        good[[row[0] for row in _search(shared.value, token, first, list(range(start, end)))]] = False
+    return good

@@ -222,8 +222,13 @@ def _repeats(marked: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The documents (all columns) without those that are near another with a lesser doc_id in their class."""
-    classes = jaccard_join(docs, **kw)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    return out.dropDuplicates(["doc_id"]) if not only(docs, "doc_id").groupBy("doc_id").count().filter("count > 1").isEmpty() else out
+    """The documents (all columns) without those that are near another with a lesser doc_id in their class.
+
+    Where ids are null or repeated, rows are told apart by a key of their own in order of doc_id and text, null ids
+    last: different texts under one id, or under none, stay.
+    """
+    if only(docs, "doc_id").filter("doc_id is null").isEmpty() and not _repeats(docs):
+        return docs.join(jaccard_join(docs, **kw).filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    keyed = cut(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    classes = jaccard_join(keyed.select(F.col("__row").alias("doc_id"), "text"), **kw)
+    return keyed.join(classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, only
+from .common import U64, chunks, kept, mix, only
 
 BUCKETS = 1 << 16
 DIM = 16
@@ -154,6 +154,25 @@ def fit(docs: DataFrame) -> Model | None:
     return train(sample(docs))
 
 
+def _told(m: Model, text: pa.Array, has_letter: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, number of the language, score, accepted) of runs of rows; without a letter the number is that of "und"."""
+    for first, end, data, at in chunks(text, 1 << 18):
+        f, _ = features(data, at)
+        flat = f.ravel()
+        logits = np.where((flat >= 0)[:, None], m.logits[flat], np.float32(0))
+        some = np.flatnonzero(np.diff(at))
+        z = np.zeros((len(at) - 1, len(m.langs)))
+        if len(some):
+            starts = at[:-1][some] * len(ORDERS)
+            n = np.add.reduceat((flat >= 0).astype(np.int64), starts)
+            z[some] = np.add.reduceat(logits, starts, axis=0, dtype=np.float64) / n[:, None] + m.bias
+        p = _softmax(z / m.temperature)
+        best, score = p.argmax(axis=1), p.max(axis=1)
+        letter = np.array(has_letter.slice(first, end - first).to_pylist(), bool)
+        best, score = np.where(letter, best, len(m.langs)), np.where(letter, score, 0.0)
+        yield first, end, best, score, letter & (score >= m.limit)
+
+
 def predict(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) of every document, and carried boolean columns; lang is not read."""
     texts = only(docs, "doc_id", "text", *carried).select("doc_id", F.lower("text").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), *carried)
@@ -165,21 +184,8 @@ def predict(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
         m = shared.value
         names = np.array([*m.langs, "und"], object)
         for batch in batches:
-            for first, end, data, at in chunks(batch.column(1), 1 << 18):
-                f, _ = features(data, at)
-                flat = f.ravel()
-                logits = np.where((flat >= 0)[:, None], m.logits[flat], np.float32(0))
-                some = np.flatnonzero(np.diff(at))
-                z = np.zeros((len(at) - 1, len(m.langs)))
-                if len(some):
-                    starts = at[:-1][some] * len(ORDERS)
-                    n = np.add.reduceat((flat >= 0).astype(np.int64), starts)
-                    z[some] = np.add.reduceat(logits, starts, axis=0, dtype=np.float64) / n[:, None] + m.bias
-                p = _softmax(z / m.temperature)
-                best, score = p.argmax(axis=1), p.max(axis=1)
-                letter = np.array(batch.column(2).slice(first, end - first).to_pylist(), bool)
-                best, score = np.where(letter, best, len(m.langs)), np.where(letter, score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(names[best], pa.string()), pa.array(score), pa.array(letter & (score >= m.limit)), *[batch.column(3 + k).slice(first, end - first) for k in range(len(carried))]], names=["doc_id", "lang_pred", "score", "accepted", *carried])
+            for first, end, best, score, good in _told(m, batch.column(1), batch.column(2)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(names[best], pa.string()), pa.array(score), pa.array(good), *[batch.column(3 + k).slice(first, end - first) for k in range(len(carried))]], names=["doc_id", "lang_pred", "score", "accepted", *carried])
 
     return texts.mapInArrow(run, PREDICTED + "".join(f", {c} boolean" for c in carried))
 
@@ -189,6 +195,12 @@ def held_out() -> Column:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents (all columns) whose language is told with enough confidence."""
-    good = predict(docs, model).filter("accepted").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    """The documents (all columns) whose language is told with enough confidence. Each row is judged by its own text, whatever its doc_id."""
+    if model is None:
+        return docs.filter(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the input
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, bool), *[good for *_, good in _told(shared.value, batch.column(0), batch.column(1))]])
+
+    return kept(docs, keep, F.lower("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

@@ -306,6 +306,19 @@ def test_local_search_empties_bins():
     assert len(done) <= len(start)
 
 
+def test_null_and_repeated_ids_are_judged_by_their_own_text(spark):
+    item, other = prose(30, 901), prose(60, 902)
+    rows_of = [(None, prose(80, 1)), (None, prose(80, 2)), (None, "x " + item), (3, other), (3, prose(80, 3)), (3, "y " + item), (4, other), (None, other)]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows_of)], "doc_id long, text string, n int")
+    ids = lambda df: sorted(r["n"] for r in df.collect())
+    assert ids(jaccard.keep_one(docs)) == [0, 1, 3, 4, 5]  # 2 is near 5, 6 and 7 are near 3
+    assert ids(decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))) == [0, 1, 3, 4, 6, 7]
+    known = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 100")
+    model = langid.fit(known)
+    want = langid.predict(known, model).filter("accepted").count()
+    assert langid.accepted(known.withColumn("doc_id", F.lit(None).cast("long")), model).count() == want > 0
+
+
 def gains(bins, lengths, capacity):
     """Whether any move or exchange of up to two for one raises the sum of squares, by trying all."""
     groups = lambda b: [(), *((i,) for i in b), *itertools.combinations(b, 2)]
