@@ -2,8 +2,8 @@
 
 Base spans follow four fixed patterns. The field labels the words that hold a digit or an `@` (others are never
 personal data here, so the chain falls apart at them without loss): neighbouring words share a transition
-potential, and words of a document that are repeated or alike (the same last digits, the same address) are linked
-by a skip potential, whatever their distance. Loopy belief propagation gives each word's marginals; words that no
+potential, and words of a document that are repeated or alike (equal words of any length, the same last digits, runs
+of neighbouring words with the same digits) are linked by a skip potential, whatever their distance. Loopy belief propagation gives each word's marginals; words that no
 base span touches and whose label is sure enough become further spans.
 
 The field is trained by pseudo-likelihood in numpy, on generated examples and on a bounded sample of documents
@@ -145,12 +145,20 @@ def features(word: str, digits_in_run: int) -> list[int]:
 N_FEATURES = 52 + len(_SHAPES)
 
 
-def alike(word: str) -> str:
-    """Words with the same key are linked, whatever their distance."""
-    digits = "".join(c for c in word if "0" <= c <= "9")
-    if "@" in word:
-        return word.strip("()<>[]\"'.,;:!?").lower()
-    return digits[-7:] if len(digits) >= 7 else ""
+def alike(word: str, run: str) -> list[str]:
+    """Keys of a word in a run of neighbouring words with these digits; words that share a key are linked, whatever their distance."""
+    digits = _digits(word)
+    bare = word.strip("()<>[]\"'.,;:!?").lower()
+    keys = ["=" + bare] if bare else []
+    if len(digits) >= 7:
+        keys.append("7" + digits[-7:])
+    if len(run) >= 7 and digits:
+        keys.append("r" + run)
+    return keys
+
+
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
 
 
 @dataclass
@@ -174,19 +182,24 @@ def graph(texts: list[str]) -> Graph:
             else:
                 runs.append([t])
         last: dict[str, int] = {}
+        fresh: dict[str, int] = {}
         for run in runs:
-            total = sum("0" <= c <= "9" for s, e in run for c in text[s : min(e, s + 200)])
+            digits = "".join(_digits(text[s:e]) for s, e in run)
+            began = len(where)
             for k, (s, e) in enumerate(run):
                 here = len(where)
                 word = text[s:e]
                 where.append((doc, s, e))
-                feats.append(features(word, total))
+                feats.append(features(word, len(digits)))
                 if k:
                     chain.append((here - 1, here))
-                if key := alike(word):
-                    if key in last and last[key] != here - 1:
-                        skip.append((last[key], here))
-                    last[key] = here
+                keys = alike(word, digits)
+                # Words of one run are neighbours already: a link leads to the last like word of an earlier run.
+                skip += [(o, here) for o in sorted({last[key] for key in keys if key in last}) if o < began]
+                for key in keys:
+                    fresh[key] = here
+            last.update(fresh)
+            fresh.clear()
     empty = np.zeros((0, 2), np.int64)
     return Graph(where, feats, np.array(chain) if chain else empty, np.array(skip) if skip else empty)
 
@@ -296,7 +309,7 @@ def _trimmed(text: str, span: Span) -> Span:
 
 def _plausible(text: str, span: Span) -> bool:
     kind, s, e = span
-    digits = sum("0" <= c <= "9" for c in text[s : min(e, s + 200)])
+    digits = len(_digits(text[s:e]))
     return s < e and {"email": "@" in text[s:e], "ip": digits >= 4, "card": 13 <= digits <= 19 and luhn("".join(c for c in text[s:e] if "0" <= c <= "9")), "phone": 7 <= digits <= 15}[kind]
 
 

@@ -256,6 +256,15 @@ def test_pii_adds_and_is_consistent(field):
         assert [k for k, _, _ in found] == ([want] if want else [])
 
 
+def test_pii_links_repeats_of_any_length():
+    text = "call 555 123 4567 now, or 555-123-4567 then, at 1.2.3.4 and far away 1.2.3.4, in short 555 123 4567."
+    g = pii.graph([text])
+    words = [text[s:e] for _, s, e in g.where]
+    linked = {(words[a], words[b]) for a, b in g.skip.tolist()}
+    assert {("555", "555"), ("123", "123"), ("4567", "4567."), ("1.2.3.4", "1.2.3.4,"), ("4567", "555-123-4567")} <= linked
+    assert pii._plausible("x" * 300 + "1.2.3.4", ("ip", 0, 307))
+
+
 def test_pii_tables(odd, none, spark, field):
     assert pii.detect(odd, field).agg(F.sum("n_email"), F.sum("n_added")).first()[:] == (0, 0)
     assert pii.detect(none, field).count() == 0
