@@ -1,19 +1,25 @@
-"""Suffix-array deduplication of long byte strings: exact, over range-partitioned sorted suffixes.
-
-Every byte covered by a string of WINDOW bytes that also starts elsewhere goes. Sorting each suffix of each text
-would take many times the input, so suffixes are sampled by content: of the GRAM-byte strings inside a window the
-one with the least hash is the window's anchor. Equal windows have equal anchors, so only suffixes at anchors
-are sorted, and windows of an anchor matter only if the anchor's suffix repeats.
-
-A suffix is its leading bytes followed by fingerprints of the rest. Spark samples splitters and range-partitions
-suffixes by these leading tokens, then each bucket sorts by them in order (multikey) and neighbours are compared;
-where a run of equal suffixes crosses a boundary, the first and last suffix of each bucket decide. The last sort
-key is the place, so a suffix shared by any number of texts spreads over as many buckets as it needs. First whole
-contexts (all windows of an anchor) are compared; only where one anchor has several contexts are single windows.
-
-Null text is empty. Texts below WINDOW bytes are kept whole. Repeated rows count as documents of their own, so they
-remove each other. doc_id names a text: rows that repeat a doc_id must repeat the text. Ties do not arise: equal
-strings are all removed. An empty table gives no rows. Other columns are ignored.
+"""Suffix-array deduplication of long byte strings over range-partitioned, locally sorted suffixes.
+
+Every byte covered by a string of WINDOW bytes that also starts elsewhere goes. Sorting a suffix for each byte would
+take many times the input, so suffixes are sampled by content: of the GRAM-byte strings inside a window the one with
+the least hash is the window's anchor. Equal windows have equal anchors, so a window can only repeat if the suffix at
+its anchor does.
+
+Suffixes are compared in three passes, each finer than the one before and over what it left open: anchors with all
+windows they stand for, cells of at most CELL windows at a fixed distance from the anchor, and single windows. A row
+of a pass is a suffix: its first eight bytes (`lead`), a fingerprint of the bytes that all windows of the row share
+(`core`) and one of all bytes of its windows (`span`). If a core is found once, no window of the row repeats; if a span
+is found twice, all do; only rows with a repeated core and a span of their own go on, one row for each distinct span.
+
+In each pass Spark samples splitters and range-partitions the suffixes by their leading tokens; each bucket is sorted
+by a multikey quicksort and neighbours are compared; the first and last suffix of every bucket decide about runs that
+cross a boundary. The last keys are row and place, so a suffix shared by any number of texts spreads over as many
+buckets as it needs.
+
+Null text is empty. Texts below WINDOW bytes are kept whole. A row is told by its doc_id and text together: rows that
+share a doc_id (or have none) are judged each by its own text, and repeated rows count as documents of their own, so
+they remove each other. Ties do not arise: equal strings are all removed. An empty table gives no rows. Other columns
+are ignored. Equality is by eight bytes and 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -23,21 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, chunks, cut, mix, only, prefix_hash, signed, span_hash
 
 WINDOW = 200
 GRAM = 50
-#: Rows of one run held while a bucket is read; a longer run is let through in parts and all its contexts compared.
-HELD = 200_000
-#: Contexts of one anchor that are compared within one task; the windows of a larger run are spread.
-RUN = 256
+#: Windows of a cell.
+CELL = 32
+#: Suffixes that a bucket holds, about. The number of buckets follows from it, so a bucket's memory does not grow.
+BUCKET = 400_000
+#: Segments up to this size are ended by one stable sort of the words that are left.
+SMALL = 2048
 
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_SUFFIX = "suffix long, context long, doc_id long, place long"
+_NAMES = ["lead", "core", "span", "row", "place"]
+_SUFFIX = ", ".join(f"{n} long" for n in _NAMES)
+_FLAGS = ["core_again", "span_again", "first", "open", "edge"]
 
 
 def anchors(data: np.ndarray, at: np.ndarray, prefix: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,43 +71,64 @@ def anchors(data: np.ndarray, at: np.ndarray, prefix: np.ndarray, window: int, g
     return anchor[first], starts[first], np.diff(np.append(first, len(starts)))
 
 
-def _lead(data: np.ndarray, place: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Four leading bytes in order, then 32 bits of the fingerprint of the rest."""
+def _lead(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, so that signed numbers sort as the bytes do."""
     lead = np.zeros(len(place), U64)
-    for k in range(4):
+    for k in range(8):
         lead = lead << U64(8) | data[place + k].astype(U64)
-    return signed((lead << U64(32) | rest >> U64(32)) ^ U64(1 << 63))
-
-
-def _batch(ids: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
-    suffix, context, place = columns
-    return pa.RecordBatch.from_arrays([pa.array(suffix), pa.array(context), ids, pa.array(place)], names=["suffix", "context", "doc_id", "place"])
-
-
-def context_suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """A row for each anchor: its suffix, the fingerprint of all bytes of its windows, and place = first window << 16 | windows."""
+    return signed(lead ^ U64(1 << 63))
+
+
+def multikey_quicksort(words: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their words: parted by a pivot in the first word, rows equal to it go on with the next one."""
+    order = np.arange(len(words[0]))
+    waiting = [(0, len(order), 0)]
+    while waiting:
+        low, high, depth = waiting.pop()
+        if high - low < 2 or depth == len(words):
+            continue
+        rows = order[low:high]
+        if high - low <= SMALL:
+            order[low:high] = rows[np.lexsort([w[rows] for w in reversed(words[depth:])])]
+            continue
+        key = words[depth][rows]
+        pivot = np.sort(key[:: max(1, len(key) // 9)])[4]
+        less, equal, more = rows[key < pivot], rows[key == pivot], rows[key > pivot]
+        order[low:high] = np.concatenate([less, equal, more])
+        a, b = low + len(less), high - len(more)
+        waiting += [(low, a, depth), (a, b, depth + 1), (b, high, depth)]
+    return order
+
+
+def _batch(rows: pa.Array, lead: np.ndarray, core: np.ndarray, span: np.ndarray, place: np.ndarray, raw: pa.Array | None = None) -> pa.RecordBatch:
+    columns = [pa.array(lead), pa.array(signed(core)), pa.array(signed(span)), rows, pa.array(place), *([] if raw is None else [raw])]
+    return pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "raw"][: len(columns)])
+
+
+def anchor_suffixes(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """A suffix for each anchor. place: first window, distance of the anchor, windows, and 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, at in chunks(batch.column(1)):
                 prefix = prefix_hash(data)
                 anchor, start, n = anchors(data, at, prefix, window, gram)
-                if not len(anchor):
-                    continue
-                suffix = _lead(data, anchor, span_hash(prefix, anchor, anchor + gram))
-                context = mix(span_hash(prefix, start, start + n - 1 + window) + (anchor - start).astype(U64), 3)
-                doc = np.searchsorted(at, start, "right") - 1
-                yield _batch(batch.column(0).take(pa.array(first + doc)), suffix, signed(context), (start - at[doc]) << 16 | n)
+                if len(anchor):
+                    doc = np.searchsorted(at, start, "right") - 1
+                    span = mix(span_hash(prefix, start, start + n - 1 + window) + (anchor - start).astype(U64), 3)
+                    place = ((start - at[doc]) << 24 | (anchor - start) << 12 | n) << 1 | 1
+                    yield _batch(batch.column(0).take(pa.array(first + doc)), _lead(data, anchor), span_hash(prefix, anchor, anchor + gram), span, place)
 
-    return docs.mapInArrow(run, _SUFFIX)
+    return texts.mapInArrow(run, _SUFFIX)
 
 
-def opened(docs: DataFrame, window: int) -> DataFrame:
-    """docs: (doc_id, text, contexts: array of suffix and packed place). What has to be compared window by window.
+def cell_suffixes(asked: DataFrame, window: int, gram: int, cell: int) -> DataFrame:
+    """asked: (row, text, places). The cells of the anchors at these places, with the bytes of their windows.
 
-    A context of a run of bounded size goes as its bytes, under the run's suffix. In a large run each window is a
-    suffix of its own, with place = start << 1 | single, so that the run can be spread.
+    place: first window, windows, and whether an answer is needed. Cells of different anchors lie at the same distances
+    from them, so equal windows are in like cells, and all windows of a cell hold its core.
     """
+    reach = window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,154 +136,98 @@ def opened(docs: DataFrame, window: int) -> DataFrame:
                 prefix = prefix_hash(data)
                 lists = batch.column(2).slice(first, end - first)
                 doc = np.repeat(np.arange(end - first), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                flat = lists.flatten()
-                runs, packed = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                large, single, n, start = packed & 1 == 1, packed >> 1 & 1, packed >> 2 & 0xFFFF, packed >> 18
-                ids = batch.column(0).take(pa.array(first + doc))
-                here = start + at[doc]
-                some = np.flatnonzero(~large)
-                raw = [data[s:e].tobytes() for s, e in zip(here[some], (here + n - 1 + window)[some], strict=True)]
-                none = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(runs[some]), none, ids.take(pa.array(some)), pa.array((start << 1 | single)[some]), pa.array(raw, pa.binary())], names=["suffix", "context", "doc_id", "place", "raw"])
-                some = np.flatnonzero(large)
-                m = n[some]
-                inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                who, at_window = np.repeat(some, m), np.repeat(here[some], m) + inner
-                value = span_hash(prefix, at_window, at_window + window)
-                place = (np.repeat(start[some], m) + inner) << 1 | single[who]
-                yield pa.RecordBatch.from_arrays([pa.array(_lead(data, at_window, value)), pa.array(signed(value)), ids.take(pa.array(who)), pa.array(place), pa.nulls(len(who), pa.binary())], names=["suffix", "context", "doc_id", "place", "raw"])
-
-    return docs.mapInArrow(run, _SUFFIX + ", raw binary")
-
-
-def within_runs(contexts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, s, e): repeated windows of single contexts, found among the windows of their run.
-
-    The run's suffixes come together by sampled splitters; each bucket is read in sorted order, and the windows of
-    complete runs are sorted by run, leading bytes and fingerprint and compared with their neighbours.
-    """
-
-    def compare(suffix: np.ndarray, ids: pa.Array, place: np.ndarray, raw: pa.Array) -> pa.RecordBatch:
-        data, at = np.frombuffer(b"".join(raw.to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(pc.binary_length(raw).to_numpy())])
-        prefix = prefix_hash(data)
-        n = np.diff(at) - window + 1
-        who = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        here = at[who] + inner
-        value = span_hash(prefix, here, here + window)
-        lead = _lead(data, here, value)
-        order = np.lexsort((value, lead, suffix[who]))
-        same = (np.diff(value[order].view(np.int64)) == 0) & (np.diff(lead[order]) == 0) & (np.diff(suffix[who][order]) == 0)
-        again = np.zeros(len(who), bool)
-        again[order[1:]] |= same
-        again[order[:-1]] |= same
-        again &= place[who] & 1 == 1
-        begin = again.copy()
-        begin[1:] &= ~again[:-1] | (who[1:] != who[:-1])
-        stop = again.copy()
-        stop[:-1] &= ~again[1:] | (who[1:] != who[:-1])
-        s, e = np.flatnonzero(begin), np.flatnonzero(stop)
-        start = place[who] >> 1
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(who[s])), pa.array(start[s] + inner[s]), pa.array(start[e] + inner[e] + window)], names=["doc_id", "s", "e"])
+                packed = lists.flatten().to_numpy(zero_copy_only=False)
+                need, n = packed & 1, packed >> 1 & 0xFFF
+                start = (packed >> 25) + at[doc]
+                base = start + (packed >> 13 & 0xFFF) - reach
+                low, high = (start - base) // cell, (start + n - 1 - base) // cell
+                m = high - low + 1
+                who = np.repeat(np.arange(len(m)), m)
+                c = np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m) + low[who]
+                s = np.maximum(start[who], base[who] + c * cell)
+                e = np.minimum((start + n)[who], base[who] + (c + 1) * cell)
+                core_start, core_end = base[who] + np.minimum((c + 1) * cell, reach + 1) - 1, base[who] + c * cell + window
+                core = mix(span_hash(prefix, core_start, core_end) + c.astype(U64), 5)
+                span = mix(span_hash(prefix, s, e - 1 + window) + (s - base[who]).astype(U64), 6)
+                raw = pa.array([data[a:b].tobytes() for a, b in zip(s, e - 1 + window, strict=True)], pa.binary())
+                yield _batch(batch.column(0).take(pa.array(first + doc[who])), _lead(data, core_start), core, span, ((s - at[doc[who]]) << 12 | e - s) << 1 | need[who], raw)
+
+    return asked.mapInArrow(run, _SUFFIX + ", raw binary")
+
+
+def window_suffixes(cells: DataFrame, window: int) -> DataFrame:
+    """cells: (row, place, raw). A suffix for each window of a cell. place: window, and whether an answer is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
-            suffix = held.column(0).to_numpy()
-            if (change := np.flatnonzero(suffix[1:] != suffix[:-1])).size:
-                n = int(change[-1]) + 1
-                for part in _parts(suffix[:n]):
-                    x = held.slice(part[0], part[1] - part[0])
-                    yield compare(x.column(0).to_numpy(), x.column(1), x.column(2).to_numpy(), x.column(3))
-                held = held.slice(n)
-        if held is not None and held.num_rows:
-            yield compare(held.column(0).to_numpy(), held.column(1), held.column(2).to_numpy(), held.column(3))
-
-    ordered = contexts.select("suffix", "doc_id", "place", "raw").repartitionByRange("suffix").sortWithinPartitions("suffix")
-    return ordered.mapInArrow(run, "doc_id long, s long, e long")
-
-
-def _parts(suffix: np.ndarray, rows: int = 4096) -> Iterator[tuple[int, int]]:
-    """Ranges of about `rows` rows that never split a run."""
-    ends = np.append(np.flatnonzero(suffix[1:] != suffix[:-1]) + 1, len(suffix))
-    first = 0
-    while first < len(suffix):
-        end = int(ends[min(np.searchsorted(ends, first + rows), len(ends) - 1)])
-        yield first, end
-        first = end
-
-
-_FLAGGED = _SUFFIX + ", suffix_again boolean, context_again boolean, first boolean, mixed boolean, edge boolean"
-
-
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """Suffixes in sorted buckets, compared with their neighbours; only repeated ones and the buckets' edges are returned."""
-    keys = ["suffix", "context", "doc_id", "place"]
-    ordered = suffixes.repartitionByRange(*keys).sortWithinPartitions(*keys)
-
-    def flags(suffix: np.ndarray, context: np.ndarray, before: tuple | None, after: tuple | None, forced: bool) -> list[np.ndarray]:
-        same_s = np.zeros(len(suffix) + 1, bool)
-        same_c = same_s.copy()
-        same_s[1:-1] = suffix[1:] == suffix[:-1]
-        same_c[1:-1] = same_s[1:-1] & (context[1:] == context[:-1])
-        for k, i, other in ((0, 0, before), (-1, -1, after)):
-            if other is not None:
-                same_s[k] = suffix[i] == other[0]
-                same_c[k] = same_s[k] and context[i] == other[1]
-        run = np.cumsum(~same_s[:-1]) - (not same_s[0])
-        several = np.zeros(run[-1] + 1, bool)
-        several[run[same_s[:-1] & ~same_c[:-1]]] = True
-        mixed = several[run] | forced & (same_s[:-1] | same_s[1:])
-        return [same_s[:-1] | same_s[1:], same_c[:-1] | same_c[1:], ~same_c[:-1], mixed]
+            for first, _, data, at in chunks(batch.column(2), 1 << 18):
+                prefix = prefix_hash(data)
+                n = np.maximum(np.diff(at) - window + 1, 0)
+                who = np.repeat(np.arange(len(n)), n)
+                inner = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                packed = batch.column(1).slice(first, len(n)).to_numpy()[who]
+                here = at[who] + inner
+                value = span_hash(prefix, here, here + window)
+                yield _batch(batch.column(0).take(pa.array(first + who)), _lead(data, here), value, value, ((packed >> 13) + inner) << 1 | packed & 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        ids: pa.Array | None = None
-        before, forced, opened = None, False, False
-
-        def out(n: int, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, ids, before, opened
-            if not n:
-                return
-            suffix, context, place = (x[:n] for x in held)
-            after = (held[0][n], held[1][n]) if n < len(held[0]) else None
-            again_s, again_c, first, mixed = flags(suffix, context, before, after, forced)
-            edge = np.zeros(n, bool)
-            edge[0] |= not opened
-            edge[-1] |= last
-            keep = pa.array(np.flatnonzero(again_s | edge))
-            before, opened = (suffix[-1], context[-1]), True
-            arrays = [pa.array(suffix), pa.array(context), ids.slice(0, n), pa.array(place), *map(pa.array, (again_s, again_c, first, mixed, edge))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["suffix", "context", "doc_id", "place", "suffix_again", "context_again", "first", "mixed", "edge"]).take(keep)
-            held, ids = [x[n:] for x in held], ids.slice(n)
+    return cells.mapInArrow(run, _SUFFIX)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            ids = batch.column(2) if ids is None else pa.concat_arrays([ids, batch.column(2)])
-            if (change := np.flatnonzero(held[0][1:] != held[0][:-1])).size:
-                yield from out(int(change[-1]) + 1, False)
-                forced = False
-            if len(held[0]) > HELD:
-                forced = True
-                yield from out(len(held[0]) - 1, False)
-        if held is not None:
-            yield from out(len(held[0]), True)
-
-    return ordered.mapInArrow(run, _FLAGGED)
-
-
-def _across(flagged: DataFrame) -> DataFrame:
-    """Runs that cross a boundary: the edges, two for each bucket at most, decide."""
+
+def neighbours(suffixes: DataFrame, buckets: int) -> DataFrame:
+    """Suffixes in sorted buckets, compared with their neighbours; only repeated ones and the buckets' edges are returned.
+
+    core_again, span_again: another suffix has the same; first: of the suffixes with this span in the bucket; open: in
+    the run of this core are several spans, and one of them that needs an answer is found once.
+    """
+    dealt = suffixes.repartitionByRange(buckets, *_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        words = [table.column(k).to_numpy() for k in range(3)]
+        order = multikey_quicksort(words)
+        lead, core, span = (w[order] for w in words)
+        same_core = np.zeros(len(order) + 1, bool)
+        same_span = same_core.copy()
+        same_core[1:-1] = (lead[1:] == lead[:-1]) & (core[1:] == core[:-1])
+        same_span[1:-1] = same_core[1:-1] & (span[1:] == span[:-1])
+        core_again, span_again = same_core[:-1] | same_core[1:], same_span[:-1] | same_span[1:]
+        first, run_of = ~same_span[:-1], np.cumsum(~same_core[:-1]) - 1
+        needs = ~span_again & (table.column(4).to_numpy()[order] & 1 == 1)
+        runs = (np.bincount(run_of, first) > 1) & (np.bincount(run_of, needs) > 0)
+        edge = np.zeros(len(order), bool)
+        edge[[0, -1]] = True
+        some = np.flatnonzero(core_again | edge)
+        out = table.take(pa.array(order[some]))
+        for name, flag in zip(_FLAGS, (core_again, span_again, first, runs[run_of], edge), strict=True):
+            out = out.append_column(name, pa.array(flag[some]))
+        yield from out.to_batches(max_chunksize=1 << 16)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema.fields)
+    return dealt.mapInArrow(run, fields + "".join(f", {n} boolean" for n in _FLAGS))
+
+
+def across(flagged: DataFrame) -> DataFrame:
+    """Runs that cross a boundary, judged by the edges: two rows a bucket, whatever the input."""
     edges = flagged.filter("edge")
-    runs = edges.groupBy("suffix").agg((F.count("*") > 1).alias("s_cross")).filter("s_cross")
-    contexts = edges.groupBy("suffix", "context").agg((F.count("*") > 1).alias("c_cross")).filter("c_cross")
-    out = flagged.join(F.broadcast(runs), "suffix", "left").join(F.broadcast(contexts), ["suffix", "context"], "left")
-    crossing = F.coalesce("s_cross", F.lit(False))
-    return out.select("suffix", "doc_id", "place", (F.col("suffix_again") | crossing).alias("suffix_again"), (F.col("context_again") | F.coalesce("c_cross", F.lit(False))).alias("context_again"), "first", (F.col("mixed") | crossing).alias("mixed"))
+    cores = edges.groupBy("lead", "core").agg((F.count("*") > 1).alias("core_cross")).filter("core_cross")
+    spans = edges.groupBy("lead", "core", "span").agg((F.count("*") > 1).alias("span_cross")).filter("span_cross")
+    out = flagged.join(F.broadcast(cores), ["lead", "core"], "left").join(F.broadcast(spans), ["lead", "core", "span"], "left")
+    crossing = F.coalesce("core_cross", F.lit(False))
+    rest = [c for c in flagged.columns if c not in (*_NAMES[:3], *_FLAGS)]
+    return out.select(*rest, (F.col("core_again") | crossing).alias("core_again"), (F.col("span_again") | F.coalesce("span_cross", F.lit(False))).alias("span_again"), "first", (F.col("open") | crossing).alias("open"))
+
+
+def _needed() -> Column:
+    return F.col("span_again") & (F.col("place").bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
+def _left_open(found: DataFrame) -> DataFrame:
+    """One row for each span of an open run; those that were found again need no further answer and only serve to compare."""
+    answered = F.shiftleft(F.shiftright("place", 1), 1)
+    return found.filter("core_again and open and first").withColumn("place", F.when(F.col("span_again"), answered).otherwise(F.col("place")))
 
 
 def _merged(raw: list[dict]) -> list[list[int]]:
@@ -266,23 +240,36 @@ def _merged(raw: list[dict]) -> list[list[int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans: array of start and end bytes that overlap or touch at will) of documents with repeated strings."""
-    texts = only(docs, "doc_id", "text").filter(F.octet_length("text") >= window)
-    contexts = _across(cut(neighbours(context_suffixes(texts, window, gram)), "contexts"))
-    start, n = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(0xFFFF).cast("long"))
-    whole = contexts.filter("suffix_again and context_again").select("doc_id", start.alias("s"), (start + n - 1 + window).alias("e"))
-    several = contexts.filter("suffix_again and mixed and first")
-    runs = several.groupBy("suffix").agg((F.count("*") > RUN).alias("large"), F.bool_or(~F.col("context_again")).alias("needed")).filter("needed")
-    bit = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    packed = F.shiftleft("place", 2).bitwiseOR(F.shiftleft(bit(~F.col("context_again")), 1)).bitwiseOR(bit(F.col("large")))
-    listed = several.join(runs, "suffix").select("doc_id", F.struct("suffix", packed.alias("place")).alias("context")).groupBy("doc_id").agg(F.collect_list("context").alias("contexts"))
-    listed = listed.withColumnRenamed("doc_id", "of")
-    asked = texts.join(listed, texts["doc_id"].eqNullSafe(listed["of"])).select("doc_id", "text", "contexts")
-    open_ = cut(opened(asked, window), "open")
-    spread = _across(cut(neighbours(open_.filter("raw is null").drop("raw")), "windows")).filter("context_again and place % 2 = 1")
-    single = spread.select("doc_id", F.shiftright("place", 1).alias("s"), (F.shiftright("place", 1) + window).alias("e")).unionByName(within_runs(open_.filter("raw is not null"), window))
-    return whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+def _buckets(spark, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // BUCKET))
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell: int = CELL) -> DataFrame:
+    """(row, spans: set of start and end bytes that overlap or touch at will) of rows with repeated strings; row is row_key()."""
+    if not (8 <= gram <= window and window - gram < 4096 and 8 < window - cell):
+        raise ValueError("gram must have 8 bytes and a cell fewer windows than a window has bytes")
+    spark, bits = docs.sparkSession, lambda n: F.lit((1 << n) - 1).cast("long")
+    texts = only(docs, "doc_id", "text").filter(F.octet_length("text") >= window).select(row_key().alias("row"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    anchors_found = across(cut(neighbours(anchor_suffixes(texts, window, gram), _buckets(spark, 2 * size // (window - gram + 1))), "anchors"))
+    start, n = F.shiftright("place", 25), F.shiftright("place", 1).bitwiseAND(bits(12))
+    whole = anchors_found.filter(_needed()).select("row", start.alias("s"), (start + n - 1 + window).alias("e"))
+    listed = _left_open(anchors_found).groupBy("row").agg(F.collect_set("place").alias("places"))
+    asked = texts.join(listed, "row").select("row", "text", "places")
+    cells = cut(cell_suffixes(asked, window, gram, cell), "cells")
+    cells_found = across(cut(neighbours(cells, _buckets(spark, cells.count())), "cells-found"))
+    start, n = F.shiftright("place", 13), F.shiftright("place", 1).bitwiseAND(bits(12))
+    of_cells = cells_found.filter(_needed()).select("row", start.alias("s"), (start + n - 1 + window).alias("e"))
+    finer = _left_open(cells_found).select("row", "place", "raw")
+    count = finer.agg(F.sum(n)).first()[0] or 0
+    windows_found = across(cut(neighbours(window_suffixes(finer, window), _buckets(spark, count)), "windows-found"))
+    start = F.shiftright("place", 1)
+    of_windows = windows_found.filter(_needed()).select("row", start.alias("s"), (start + window).alias("e"))
+    return whole.unionByName(of_cells).unionByName(of_windows).groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _cleaned(joined: DataFrame, schema: str, text: bool) -> DataFrame:
@@ -306,7 +293,6 @@ def _cleaned(joined: DataFrame, schema: str, text: bool) -> DataFrame:
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: bool = False) -> DataFrame:
     """A row per document: bytes, bytes removed, maximal removed runs, and the digest of what is left (or, with `text`, what is left)."""
-    every = only(docs, "doc_id", "text")
-    spans = repeated_spans(docs, window, gram).withColumnRenamed("doc_id", "of")
-    joined = every.join(spans, every["doc_id"].eqNullSafe(spans["of"]), "left").select("doc_id", "text", "spans")
+    every = only(docs, "doc_id", "text").withColumn("row", row_key())
+    joined = every.join(repeated_spans(docs, window, gram), "row", "left").select("doc_id", "text", "spans")
     return _cleaned(joined, CLEANED.replace("kept_sha256", "kept_text") if text else CLEANED, text)

@@ -152,15 +152,41 @@ def cleaned(texts, window):
     return out
 
 
-@pytest.mark.parametrize("run", [256, 1])
-def test_suffixes(odd, none, monkeypatch, run):
-    monkeypatch.setattr(suffixes, "RUN", run)
+@pytest.mark.parametrize("cell", [32, 1])
+def test_suffixes(odd, none, monkeypatch, cell):
+    monkeypatch.setattr(suffixes, "CELL", cell)
+    monkeypatch.setattr(suffixes, "BUCKET", 40)  # many buckets, so that runs cross boundaries
+    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (suffixes.WINDOW, suffixes.GRAM, cell))
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.deduplicate(odd).collect())
     assert got == cleaned(docs_of(odd), 200)
-    if run == 1:
+    if cell == 1:
         assert suffixes.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [suffixes.BUCKET, 500])
+def test_suffixes_of_one_anchor_in_thousands_of_contexts(spark, monkeypatch, bucket):
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    r = random.Random(8)
+    common, ends = prose(14, 77), [prose(30, 700 + k) for k in range(80)]
+    texts = []
+    for _ in range(3000):  # a phrase of under 200 bytes in contexts that agree to varying lengths, so some windows repeat
+        before, after = r.choice(ends[:40])[-r.randrange(120) :], r.choice(ends[40:])[: r.randrange(120)]
+        texts.append(f"{r.random()} {before}{common}{after} {r.random()}")
+    docs = spark.createDataFrame([(None if k % 3 == 0 else k % 50, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.deduplicate(docs).collect())
+    want = cleaned(docs_of(docs), 200)
+    assert got == want and 100 < sum(k[2] > 0 for k in want) < 2900
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 3), (1, 3), (5, 2), (20_000, 3), (20_000, 1 << 40), (9000, 1)):
+        words = [rng.integers(-top, top, n) for _ in range(3)]
+        order = suffixes.multikey_quicksort(words)
+        assert sorted(order) == list(range(n))
+        assert [w[order].tolist() for w in words] == [w[np.lexsort(words[::-1])].tolist() for w in words]
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000):
         x = slots.feistel(np.arange(n), n)
