@@ -110,7 +110,7 @@ def anchor_suffixes(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, at in chunks(batch.column(1)):
+            for first, _, data, at in chunks(batch.column(1), 1 << 18):
                 prefix = prefix_hash(data)
                 anchor, start, n = anchors(data, at, prefix, window, gram)
                 if len(anchor):
@@ -132,7 +132,7 @@ def cell_suffixes(asked: DataFrame, window: int, gram: int, cell: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, at in chunks(batch.column(1)):
+            for first, end, data, at in chunks(batch.column(1), 1 << 18):
                 prefix = prefix_hash(data)
                 lists = batch.column(2).slice(first, end - first)
                 doc = np.repeat(np.arange(end - first), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
