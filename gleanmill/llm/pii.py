@@ -1,17 +1,22 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
 Base spans follow four fixed patterns. The field labels the words that hold a digit or an `@` (others are never
-personal data here, so the chain falls apart at them without loss): neighbouring words share a transition
-potential, and words of a document that are repeated or alike (equal words of any length, the same last digits, runs
-of neighbouring words with the same digits) are linked by a skip potential, whatever their distance. Loopy belief propagation gives each word's marginals; words that no
-base span touches and whose label is sure enough become further spans.
-
-The field is trained by pseudo-likelihood in numpy, on generated examples and on a bounded sample of documents
-labelled by the base patterns (SAMPLE documents of at most SAMPLE_BYTES, chosen by a hash of their id).
+personal data here, so the chain falls apart at them without loss) with the four kinds or as a secret (a password,
+a key): neighbouring words share a transition potential, and words of a document that are repeated or alike (equal
+words of any length, the same last digits, the same value after a key, runs of neighbouring words with the same
+digits) are linked by a skip potential, whatever their distance. So a bare number or value that nothing marks takes
+the label of a clear mention elsewhere in the document. Loopy belief propagation gives each word's marginals; words
+that no base span touches and whose label is sure enough become further spans.
+
+The field is trained by pseudo-likelihood in numpy, on generated examples (with forms that the base patterns miss,
+clear and bare mentions of one value, and look-alikes) and on a bounded sample of documents labelled by the base
+patterns (SAMPLE documents of at most SAMPLE_BYTES, chosen by a hash of their id); words of the sample that no base
+span touches have no known label and are left out of the likelihood.
 
 Null texts count as empty and have no spans. Long texts are read whole, in time linear in their length but for
-the digits of a span. Repeated rows get equal answers, each its own row. An empty table gives no rows. Columns
-besides doc_id and text are ignored by `detect`; `redact` keeps them all.
+the digits of a span. Repeated rows and rows with a null doc_id get the answers of their texts, each its own row.
+Ties between labels go to the one listed first. An empty table gives no rows. Columns besides doc_id and text are
+ignored by `detect`; `redact` keeps them all.
 """
 
 from __future__ import annotations
@@ -31,16 +36,16 @@ from pyspark.sql import functions as F
 from .common import least_by_hash, only
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("o", *KINDS)
+LABELS = ("o", *KINDS, "secret")
 SAMPLE = 300
 SAMPLE_BYTES = 20_000
 #: Marginal from which a word is personal data, and rounds of message passing.
-SURE = 0.95
+SURE = 0.9
 ROUNDS, DAMPING = 8, 0.3
 #: Documents of a batch whose words are inferred together.
 TOGETHER = 256
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long"
 
 _ANY = re.compile("[0-9@]")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -130,26 +135,39 @@ _SHAPES = [
 ]
 
 
-def features(word: str, digits_in_run: int) -> list[int]:
-    """Numbers of the features that a word has."""
+_KEYED = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|key)\W{0,3}[=:]\W{0,3}")
+_VALUE = re.compile(r"[(<\[\"']*[A-Za-z0-9+/_-]{16,}[)>\]\"'.,;:!?#$%&*]*")
+
+
+def features(word: str, digits_in_run: int, before: str) -> list[int]:
+    """Numbers of the features that a word has; before: what stands before it."""
     digits = sum("0" <= c <= "9" for c in word)
     out = [0, 1 + min(digits, 20), 22 + min(word.count("."), 5), 28 + min(digits_in_run, 20)]
     out += [50 + k for k, p in enumerate(_SHAPES) if len(word) < 200 and p.fullmatch(word)]
-    if 13 <= digits <= 19 and luhn(re.sub(r"\D", "", word)):
-        out.append(50 + len(_SHAPES))
+    more = 50 + len(_SHAPES)
+    if 13 <= digits <= 19:
+        out.append(more + luhn(_digits(word)))
     if "@" in word:
-        out.append(51 + len(_SHAPES))
+        out.append(more + 2)
+    if (m := _KEYED.search(before)) and m.end() == len(before):
+        out.append(more + 3)
+    if _KEYED.match(word):
+        out.append(more + 4)
+    if len(word) < 200 and _VALUE.fullmatch(word):
+        out += [more + 5 + (not word.strip("()<>[]\"'.,;:!?#$%&*").isdigit())]
     return out
 
 
-N_FEATURES = 52 + len(_SHAPES)
+N_FEATURES = 57 + len(_SHAPES)
 
 
 def alike(word: str, run: str) -> list[str]:
     """Keys of a word in a run of neighbouring words with these digits; words that share a key are linked, whatever their distance."""
     digits = _digits(word)
-    bare = word.strip("()<>[]\"'.,;:!?").lower()
+    bare = word.strip(_MARKS).lower()
     keys = ["=" + bare] if bare else []
+    if (m := _KEYED.match(word)) and (value := word[m.end() :].strip(_MARKS).lower()):
+        keys.append("=" + value)
     if len(digits) >= 7:
         keys.append("7" + digits[-7:])
     if len(run) >= 7 and digits:
@@ -157,6 +175,9 @@ def alike(word: str, run: str) -> list[str]:
     return keys
 
 
+_MARKS = "()<>[]\"'.,;:!?#$%&*"
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -190,7 +211,7 @@ def graph(texts: list[str]) -> Graph:
                 here = len(where)
                 word = text[s:e]
                 where.append((doc, s, e))
-                feats.append(features(word, len(digits)))
+                feats.append(features(word, len(digits), text[max(0, s - 24) : s].rsplit("\n", 1)[-1]))
                 if k:
                     chain.append((here - 1, here))
                 keys = alike(word, digits)
@@ -221,8 +242,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[list[Span]], epochs: int = 150, rate: float = 0.5) -> Field:
-    """Pseudo-likelihood: each word's label given its features and its neighbours' labels."""
+def train(texts: list[str], labels: list[list[Span]], partly: int = 0, epochs: int = 1000, rate: float = 1.0) -> Field:
+    """Pseudo-likelihood: each word's label given its features and its neighbours' labels. Of the last `partly` texts only the labelled words count."""
     g, n = graph(texts), len(LABELS)
     y = np.zeros(len(g.where), np.int64)
     for k, (doc, s, e) in enumerate(g.where):
@@ -236,7 +257,8 @@ def train(texts: list[str], labels: list[list[Span]], epochs: int = 150, rate: f
     np.add.at(near, (g.skip[:, 1], y[g.skip[:, 0]]), 1)
     a, b = g.chain[:, 0], g.chain[:, 1]
     truth = np.eye(n)[y]
-    weight = np.where(y == 0, 1.0, 2.0)[:, None] / len(y)
+    unknown = np.array([doc >= len(texts) - partly for doc, _, _ in g.where]) & (y == 0)
+    weight = np.where(unknown, 0.0, np.where(y == 0, 1.0, 2.0))[:, None] / len(y)
     for _ in range(epochs):
         z = x @ emit + skip * near
         np.add.at(z, b, step[y[a]])
@@ -310,44 +332,70 @@ def _trimmed(text: str, span: Span) -> Span:
 def _plausible(text: str, span: Span) -> bool:
     kind, s, e = span
     digits = len(_digits(text[s:e]))
-    return s < e and {"email": "@" in text[s:e], "ip": digits >= 4, "card": 13 <= digits <= 19 and luhn("".join(c for c in text[s:e] if "0" <= c <= "9")), "phone": 7 <= digits <= 15}[kind]
+    return s < e and {"email": "@" in text[s:e], "ip": digits >= 4, "card": 13 <= digits <= 19 and luhn("".join(c for c in text[s:e] if "0" <= c <= "9")), "phone": 7 <= digits <= 15, "secret": e - s >= 8}[kind]
 
 
-def examples(seed: int = 5, n: int = 900) -> tuple[list[str], list[list[Span]]]:
+def examples(seed: int = 5, n: int = 1500) -> tuple[list[str], list[list[Span]]]:
     """Generated documents with labelled spans: usual and unusual forms, repeated mentions, and numbers that are no personal data."""
     r = random.Random(seed)
     digit = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda a=2, b=9: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(a, b)))
 
+    hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+
     def card(sep: str) -> str:
         d = r.choice("3456") + digit(14)
         d += next(c for c in "0123456789" if luhn(d + c))
         return sep.join(d[k : k + 4] for k in range(0, 16, 4))
 
+    def no_card() -> str:
+        d = digit(15)
+        return d + next(c for c in "3141592" if not luhn(d + c))
+
+    def plain(kind: str, form: str) -> str:
+        """The same value without what marks it."""
+        if kind == "phone":
+            return _digits(form)[-10:]
+        if kind == "card":
+            return r.choice(("", "-")).join(_digits(form)[k : k + 4] for k in range(0, 16, 4))
+        if kind == "secret":
+            return re.split(r"[=: ]+", form)[-1].strip('"')
+        return form
+
+    keys = ("token", "password", "secret", "api_key", "access_key", "pwd")
     makers = {
         "email": [lambda: f"{word()}.{digit(2)}@{word()}.{word(2, 3)}", lambda: f"{word()}_{word()}@{word()}.{word()}.com", lambda: f"{word()}é@{word()}.org"],
         "ip": [lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)) + f":{r.randint(80, 9999)}"],
         "card": [lambda: card(""), lambda: card(" "), lambda: card("-")],
-        "phone": [lambda: f"+{r.randint(1, 99)} ({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"{digit(3)}-{digit(3)}-{digit(4)}", lambda: f"+{r.randint(1, 99)} {digit(3)} {digit(3)} {digit(3)}"],
+        "phone": [lambda: f"+{r.randint(1, 99)} ({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"({digit(3)}) {digit(3)}-{digit(4)}", lambda: f"{digit(3)}-{digit(3)}-{digit(4)}", lambda: f"+{r.randint(1, 99)} {digit(3)} {digit(3)} {digit(4)}"],
+        "secret": [lambda: f'{r.choice(keys)} = "{hexa(r.choice((32, 40)))}"', lambda: f"{r.choice(keys)}={word()}{digit(4)}{word()}{digit(4)}", lambda: f"{r.choice(keys)}: {hexa(24)}"],
     }
     other = [
         lambda: str(r.randint(1900, 2035)), lambda: f"{r.randint(1, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(0, 23)}:{digit(2)}", lambda: f"20{digit(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
-        lambda: f"password={digit(4)}{word()}{digit(6)}", lambda: f'"{word()}{digit(9)}{word()}{digit(4)}"', lambda: f"{r.randint(1, 99)},{digit(3)}", lambda: digit(r.randint(1, 6)), lambda: f"{r.randint(1, 99)})", lambda: f"#{digit(4)}",
-        lambda: f"v{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", lambda: f"{word()}{digit(2)}", lambda: digit(r.randint(20, 30)), lambda: "9" + digit(r.choice((8, 10, 11))), lambda: f"@{word()}", lambda: f"{r.randint(1, 9)}.{digit(6)}",
+        lambda: hexa(r.choice((24, 32, 40))), lambda: digit(10), no_card, lambda: f"{r.randint(1, 99)},{digit(3)}", lambda: digit(r.randint(1, 6)), lambda: f"{r.randint(1, 99)})", lambda: f"#{digit(4)}",
+        lambda: f"v{r.randint(1, 9)}.{r.randint(0, 9)}.{r.randint(0, 9)}", lambda: f"{word()}{digit(2)}", lambda: digit(r.randint(20, 30)), lambda: "9" + digit(r.choice((8, 10, 11))), lambda: f"@{word()}", lambda: f"{r.randint(1, 9)}.{digit(6)}", lambda: f"{word()}{digit(4)}{word()}{digit(4)}",
     ]
     texts, labels = [], []
     for _ in range(n):
         text, spans = "", []
         seen: list[tuple[str, str]] = []
-        for _ in range(r.randint(2, 7)):
-            text += " ".join(word() for _ in range(r.randint(1, 4))) + " "
+        shown: list[str] = []
+        for _ in range(r.randint(2, 8)):
+            if r.random() < 0.8:  # else two values stand side by side
+                text += " ".join(word() for _ in range(r.randint(1, 4))) + " "
             if r.random() < 0.5:
-                kind, form = r.choice(seen) if seen and r.random() < 0.4 else (k := r.choice(KINDS), r.choice(makers[k])())
-                seen.append((kind, form))
+                if seen and r.random() < 0.5:
+                    kind, form = r.choice(seen)
+                    form = plain(kind, form) if r.random() < 0.7 else form
+                else:
+                    kind = r.choice(tuple(makers))
+                    form = r.choice(makers[kind])()
+                    seen.append((kind, form))
                 spans.append((kind, len(text), len(text) + len(form)))
                 text += form
             else:
-                text += r.choice(other)()
+                shown.append(r.choice(shown) if shown and r.random() < 0.3 else r.choice(other)())
+                text += shown[-1]
             text += r.choice((" ", ". ", ", ", " "))
         texts.append(text)
         labels.append(spans)
@@ -357,7 +405,7 @@ def examples(seed: int = 5, n: int = 900) -> tuple[list[str], list[list[Span]]]:
 def fit(docs: DataFrame) -> Field:
     texts, labels = examples()
     more = least_by_hash(only(docs, "doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES)), "pii", SAMPLE)
-    return train(texts + more, labels + [base_spans(t) for t in more])
+    return train(texts + more, labels + [base_spans(t) for t in more], partly=len(more))
 
 
 def find(texts: list[str | None], field: Field) -> Iterator[tuple[list[Span], list[Span]]]:
@@ -372,7 +420,7 @@ def find(texts: list[str | None], field: Field) -> Iterator[tuple[list[Span], li
 
 
 def joined(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (LABELS.index(x[0]), x[1], x[2])))
 
 
 def detect(docs: DataFrame, field: Field) -> DataFrame:
@@ -384,10 +432,10 @@ def detect(docs: DataFrame, field: Field) -> DataFrame:
             rows = []
             for base, added in find(batch.column(1).to_pylist(), shared.value):
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added)))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(base) + len(added), len(added)))
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, FOUND)
 

@@ -282,6 +282,29 @@ def test_pii_adds_and_is_consistent(field):
         assert [k for k, _, _ in found] == ([want] if want else [])
 
 
+def test_pii_link_to_a_clear_mention_labels_a_bare_one(field):
+    key = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    apart = " " + prose(40, 21) + " "
+    unlinked = pii.Field(field.emit, field.step, 0.0)
+    for clear, bare in ((f'token = "{key}"', key), ("(555) 123-4567", "5551234567")):
+        for text in (clear + apart + bare + " end", bare + apart + clear + " end"):
+            n = lambda f: len(pii.added_spans([text], [pii.base_spans(text)], f)[0])  # noqa: B023, E731
+            assert (n(field), n(unlinked)) == (2, 1)
+        assert pii.added_spans([bare + apart + bare], [[]], field) == [[]]
+
+
+def test_pii_adds_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = pii.detect(docs, pii.fit(docs)).agg(F.sum("n_added"), F.sum("n_spans"), F.sum(F.expr("n_email + n_ip + n_card + n_phone"))).first()
+    assert found[0] > 0 and found[0] + found[2] == found[1]
+
+
+def test_pii_finds_what_follows_a_dropped_match(field):
+    text = "write +1 (826) 555-4081 190.137.223.204 now"
+    assert pii.base_spans(text) == [("ip", 24, 39)]
+    assert pii.added_spans([text], [pii.base_spans(text)], field)[0] == [("phone", 6, 23)]
+
+
 def test_pii_links_repeats_of_any_length():
     text = "call 555 123 4567 now, or 555-123-4567 then, at 1.2.3.4 and far away 1.2.3.4, in short 555 123 4567."
     g = pii.graph([text])
@@ -386,7 +409,9 @@ def test_pipeline(spark):
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
     grams = {tuple(w[i : i + 8]) for t in bench.values() for w in [words(t)] for i in range(len(w) - 7)}
     kept = {d: t for d, t in texts.items() if root[d] == d and not any(tuple(w[i : i + 8]) in grams for w in [words(t)] for i in range(len(w) - 7))}
-    masked = [(d, pii.masked(t, pii.base_spans(t))) for d, t in sorted(kept.items())]
+    order = sorted(kept)
+    field = pii.fit(spark.createDataFrame([(d, kept[d]) for d in order], "doc_id long, text string"))
+    masked = [(d, pii.masked(kept[d], b + a)) for d, (b, a) in zip(order, pii.find([kept[d] for d in order], field), strict=True)]
     checked(c.run(spark, SF).toPandas(), masked, 4096)
 
 
