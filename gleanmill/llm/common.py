@@ -25,9 +25,11 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where none is set, as in tests, a temporary one is made."""
+    """The folder that all executors share. Only a local session without one gets a temporary one; a cluster must name it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -6,9 +6,11 @@ bounded sample: at most MAX_PER_LANG texts of each language, of at most MAX_BYTE
 their id, cut into pieces of PIECE bytes. Held-out pieces of the sample calibrate the temperature and the
 rejection limit. As the model is linear, prediction needs one table of logits for each bucket.
 
-Null texts and texts without a letter are `und` with score 0 and rejected. Equal texts get equal answers. Long
+Null texts and texts without a letter are `und` with score 0 and rejected. A text with a letter but no n-gram (one
+byte) is judged by the bias alone. Equal texts get equal answers, ties between languages go to the first by name. Long
 texts are read whole. An empty table, or one without labels, gives `und` everywhere (there is nothing to learn).
-Columns besides doc_id, text and (for training) lang are ignored.
+Columns besides doc_id, text and (for training) lang are ignored. Every language that labels name is learned; the
+model and the sample grow with their number alone.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ DIM = 16
 ORDERS = (2, 3)
 PIECE = 240
 MAX_PER_LANG = 300
-MAX_LANGS = 200
 MAX_BYTES = 20_000
 MAX_PIECES = 3000
 EPOCHS = 4
@@ -135,15 +136,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """At most MAX_PER_LANG labelled texts of each language, chosen by a hash of their id."""
     known = only(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= MAX_BYTES))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    pick, least = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)), None
-    for row in counts:
-        limit = int(min(1.0, 1.5 * MAX_PER_LANG / row["count"]) * (1 << 30))
-        case = (F.col("lang") == row["lang"]) & (pick <= limit)
-        least = case if least is None else least | case
-    if least is None:
-        return []
-    rows = known.filter(least).select("lang", "text", F.xxhash64("doc_id", F.lit("langid")).alias("h")).collect()
+    counts = known.groupBy("lang").count()
+    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30))
+    # About 1.5 MAX_PER_LANG rows of a language pass the bound on the hash, so what is ranked and collected is bounded.
+    passed = known.join(F.broadcast(counts), "lang").filter(pick <= F.least(F.lit(1.0), 1.5 * MAX_PER_LANG / F.col("count")) * (1 << 30))
+    rows = passed.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("langid")).alias("h")).collect()
     out = []
     for lang in sorted({r["lang"] for r in rows}):
         out += [(r["text"], lang) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:MAX_PER_LANG]]
@@ -165,7 +162,7 @@ def _told(m: Model, text: pa.Array, has_letter: pa.Array) -> Iterator[tuple[int,
         if len(some):
             starts = at[:-1][some] * len(ORDERS)
             n = np.add.reduceat((flat >= 0).astype(np.int64), starts)
-            z[some] = np.add.reduceat(logits, starts, axis=0, dtype=np.float64) / n[:, None] + m.bias
+            z[some] = np.add.reduceat(logits, starts, axis=0, dtype=np.float64) / np.maximum(n, 1)[:, None] + m.bias
         p = _softmax(z / m.temperature)
         best, score = p.argmax(axis=1), p.max(axis=1)
         letter = np.array(has_letter.slice(first, end - first).to_pylist(), bool)

@@ -3,7 +3,8 @@
 The vocabulary has a mark for the end of a word, which never spans white space, so a text's ids are those of its
 words in order. Words are encoded once and kept; byte-pair merging of new words runs in tiktoken over the same
 vocabulary and ranks. Texts with characters outside a set for which this is known to be the same (Latin-1
-without its superscript digits and fractions, and common punctuation) go to the tokenizer itself.
+without its superscript digits and fractions, and common punctuation), and texts that spell a special token, go to
+the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         byte_of, ranks = _byte_of(), {}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
@@ -67,7 +67,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if _OTHER.search(text):
+        if "<|" in text or _OTHER.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.lower().split()
         known = self.known

@@ -249,6 +249,8 @@ def test_language_held_out(spark, odd, none):
     model = langid.fit(docs.filter(~langid.held_out()))
     got = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("h")), model, "h").join(docs.select("doc_id", "lang"), "doc_id").filter("h").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.98
+    short = langid.predict(spark.createDataFrame([(1, "a"), (2, "I"), (3, "é"), (4, "7")], "doc_id long, text string"), model).toPandas()
+    assert short.score.between(0, 1).all() and list(short.lang_pred == "und") == [False, False, False, True]
     odd_rows = langid.predict(odd, model).toPandas()
     assert set(odd_rows[odd_rows.doc_id.isin([0, 1, 2])].lang_pred) == {"und"}
     assert odd_rows.score.between(0, 1).all()
@@ -326,9 +328,11 @@ def test_pii_tables(odd, none, spark, field):
 
 
 def test_tokens_match_the_tokenizer():
-    enc = tokens.encoder(tokens.default_path())
-    for t in ["It's 42 naïve cafés, don't!", "ÀÉ ß µ² ½ x", "日本語 and <|endoftext|> text", "é combining", prose(500, 8), "a\x1cb c", "'S 'LL they'RE"]:
-        assert list(np.frombuffer(enc.ids(t), np.uint32)) == enc.whole.encode(t, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    enc, fresh = tokens.encoder(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    for t in ["<|endoftext|>", "a<|endoftext|>b <|startoftext|> <|other|>", "It's 42 naïve cafés, don't!", "ÀÉ ß µ² ½ x", "日本語 and <|endoftext|> text", "é combining", prose(500, 8), "a\x1cb c", "'S 'LL they'RE"]:
+        assert list(np.frombuffer(enc.ids(t), np.uint32)) == fresh.encode(t, add_special_tokens=False).ids
 
 
 def checked(packed, texts, capacity):
