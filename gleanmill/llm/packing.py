@@ -1,12 +1,13 @@
 """Best-fit packing: documents into as few sequences of bounded length as the method finds.
 
 Each document is its token ids and an end token; only longer ones are cut, into pieces of the full length. Pieces
-are dealt to groups of bounded size. A group starts from best fit by falling length; a swap-based local search
+are dealt to groups of bounded size. A group starts from best fit in the order of the table; a swap-based local search
 then moves one or two pieces, or exchanges one for one, one for two or two for one between any two underfull
-sequences, whenever this raises the sum of squared fill, until a full pass over them finds no gain. Sequences that stay underfull in their group
-are packed again, together, in further rounds.
+sequences, whenever this raises the sum of squared fill, until a full pass over them finds no gain; sequences that
+empty go. Those that stay underfull in their group are packed again, together, in further rounds, until they fit into
+one group or a round fills hardly any more of them.
 
-A null or empty text is the end token alone. Rows with the same doc_id are packed each on its own. Ties are
+A null or empty text is the end token alone. Rows with the same doc_id, or none, are packed each on its own. Ties are
 broken by doc_id, piece and checksum, so a rerun gives the same packing. An empty table gives no rows. Columns
 besides doc_id and text are ignored.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,11 @@ from .tokens import default_path, encoder
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of a group: what one task packs.
-GROUP = 12_000
+GROUP = 2_000
 #: A sequence at least so full is not packed again.
 FULL = 0.995
-ROUNDS = 3
+#: Rounds go on while the pieces in underfull sequences fall below this share of those of the round before.
+WORTH = 0.9
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long, fill long"
@@ -193,7 +196,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
 
 
 def pack_group(pdf: pd.DataFrame, capacity: int, group: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True]).reset_index(drop=True)
+    pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32", "length"]).reset_index(drop=True)
     lengths = pdf["length"].tolist()
     bins = local_search(best_fit(lengths, capacity), lengths, capacity)
     sequence, offset, fill = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
@@ -210,7 +213,7 @@ def _round(rows: DataFrame, number: int, groups: int, capacity: int) -> DataFram
     key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(groups)).cast("int")
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(pdf, capacity, number << 32 | int(k[0]))
+        return pack_group(pdf, capacity, number << 30 | int(k[0]))
 
     return rows.withColumn("group", key).groupBy("group").applyInPandas(run, PLACED)
 
@@ -219,18 +222,16 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     rest, parts = cut(pieces(docs, path, capacity), "pieces"), []
     left = rest.count()
-    for number in range(ROUNDS):
+    for number in count():
         groups = max(1, -(-left // group))
         placed = cut(_round(rest, number, groups, capacity), "packed")
-        if groups == 1 or number == ROUNDS - 1:
-            parts.append(placed.drop("fill"))
-            break
         enough = F.col("fill") >= int(FULL * capacity)
-        parts.append(placed.filter(enough).drop("fill"))
         rest = placed.filter(~enough).drop("sequence_id", "offset", "fill")
-        left = rest.count()
-        if not left:
+        before, left = left, rest.count() if groups > 1 else 0
+        if not left or left > WORTH * before:
+            parts.append(placed.drop("fill"))
             break
+        parts.append(placed.filter(enough).drop("fill"))
     done = parts[0]
     for part in parts[1:]:
         done = done.unionByName(part)

@@ -350,22 +350,31 @@ def checked(packed, texts, capacity):
 
 
 def test_packing(odd, none):
-    docs = odd.filter("doc_id is not null")
     for group in (packing.GROUP, 5):
-        packed = packing.pack(docs, group=group).toPandas()
-        checked(packed, docs_of(docs), 4096)
+        packed = packing.pack(odd, group=group).toPandas()
+        checked(packed, docs_of(odd), 4096)
     assert packing.pack(none).count() == 0
 
 
 def test_local_search_empties_bins():
-    r = random.Random(2)
-    lengths = sorted((r.randint(1, 60) for _ in range(300)), reverse=True)
-    start = packing.best_fit(sorted(lengths), 100)  # rising lengths pack badly
-    ordered = sorted(lengths)
-    done = packing.local_search(start, ordered, 100)
-    assert sorted(i for b in done for i in b) == list(range(300))
-    assert all(sum(ordered[i] for i in b) <= 100 for b in done)
-    assert len(done) <= len(start)
+    starts, ends = [], []
+    for seed in range(12):  # full bins cut into pieces: 60 is the optimum
+        r = random.Random(seed % 6)
+        lengths = [x for _ in range(60) for cuts in [sorted(r.sample(range(1, 400), r.randint(1, 2 + seed // 6 * 2)))] for x in np.diff([0, *cuts, 400]).tolist()][:-1]
+        r.shuffle(lengths)
+        start = packing.best_fit(lengths, 400)
+        done = packing.local_search(start, lengths, 400)
+        assert sorted(i for b in done for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 400 for b in done)
+        starts.append(len(start))
+        ends.append(len(done))
+    assert sum(starts) - sum(ends) >= 8 and max(ends) <= 62 and min(ends) == 60 and all(e <= s for s, e in zip(starts, ends, strict=True))
+
+
+def test_packing_of_documents_needs_the_search(spark):
+    packed = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    in_order = packed.sort_values(["doc_id", "piece", "ids_crc32", "length"]).length.tolist()
+    assert packed.sequence_id.nunique() == -(-packed.length.sum() // 4096) < len(packing.best_fit(in_order, 4096))
 
 
 def test_null_and_repeated_ids_are_judged_by_their_own_text(spark):
