@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once inside a task. A longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -35,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: the session's Arrow batches, in the JVM and in Python workers, get BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, mix, only, prefix_hash, signed, span_hash
+from .common import U64, bounded_batches, chunks, cut, mix, only, prefix_hash, signed, span_hash
 
 WINDOW = 200
 GRAM = 50
 #: Windows of a cell.
 CELL = 32
 #: Suffixes that a bucket holds, about. The number of buckets follows from it, so a bucket's memory does not grow.
-BUCKET = 400_000
+BUCKET = 200_000
 #: Segments up to this size are ended by one stable sort of the words that are left.
 SMALL = 2048
 
@@ -110,7 +110,7 @@ def anchor_suffixes(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, at in chunks(batch.column(1), 1 << 18):
+            for first, _, data, at in chunks(batch.column(1)):
                 prefix = prefix_hash(data)
                 anchor, start, n = anchors(data, at, prefix, window, gram)
                 if len(anchor):
@@ -132,7 +132,7 @@ def cell_suffixes(asked: DataFrame, window: int, gram: int, cell: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, at in chunks(batch.column(1), 1 << 18):
+            for first, end, data, at in chunks(batch.column(1)):
                 prefix = prefix_hash(data)
                 lists = batch.column(2).slice(first, end - first)
                 doc = np.repeat(np.arange(end - first), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
@@ -160,7 +160,7 @@ def window_suffixes(cells: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, at in chunks(batch.column(2), 1 << 18):
+            for first, _, data, at in chunks(batch.column(2)):
                 prefix = prefix_hash(data)
                 n = np.maximum(np.diff(at) - window + 1, 0)
                 who = np.repeat(np.arange(len(n)), n)
@@ -203,7 +203,9 @@ def neighbours(suffixes: DataFrame, buckets: int) -> DataFrame:
         out = table.take(pa.array(order[some]))
         for name, flag in zip(_FLAGS, (core_again, span_again, first, runs[run_of], edge), strict=True):
             out = out.append_column(name, pa.array(flag[some]))
-        yield from out.to_batches(max_chunksize=1 << 16)
+        del held, table
+        yield from out.to_batches(max_chunksize=1 << 14)
+        pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema.fields)
     return dealt.mapInArrow(run, fields + "".join(f", {n} boolean" for n in _FLAGS))
@@ -252,6 +254,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell
     """(row, spans: set of start and end bytes that overlap or touch at will) of rows with repeated strings; row is row_key()."""
     if not (8 <= gram <= window and window - gram < 4096 and 8 < window - cell):
         raise ValueError("gram must have 8 bytes and a cell fewer windows than a window has bytes")
+    bounded_batches(docs.sparkSession)
     spark, bits = docs.sparkSession, lambda n: F.lit((1 << n) - 1).cast("long")
     texts = only(docs, "doc_id", "text").filter(F.octet_length("text") >= window).select(row_key().alias("row"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
