@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, only
 
-MAX_ROUNDS = 60
+#: Parts that the links of a hub are dealt to when they meet the hub's one row.
+SALTS = 8
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -19,27 +20,29 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of least (u, m: one row for each u). A hub's links go to SALTS tasks."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return dealt.join(copies, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u, v: long); root is the least id of its component.
 
-    Each round points larger neighbours to a node's least neighbour and then smaller ones; the rounds
-    grow with the logarithm of the diameter. Hubs are reduced by partial minima before each shuffle.
-    Self-links, repeated links and links in both directions are allowed; no edges give no rows.
+    Each round points larger neighbours to a node's least neighbour and then smaller ones, until nothing changes; the
+    rounds grow with the logarithm of the diameter. Hubs are reduced by partial minima before each shuffle, and their
+    links are salted where they are joined. Self-links, repeated links and links in both directions are allowed; no
+    edges give no rows.
     """
     now = cut(_links(only(edges, "u", "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
-    before = _state(now)
-    for _ in range(MAX_ROUNDS):
+    before, after = None, _state(now)
+    while after != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _links(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        large = _links(_with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        joined = _with_least(large, large.groupBy("u").agg(F.min("v").alias("m")))
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = cut(_links(small), "edges")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components: no end after {MAX_ROUNDS} rounds")
+        before, after = after, _state(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

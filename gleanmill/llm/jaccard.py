@@ -1,34 +1,41 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets decide.
 
-Texts are lower-cased and cut into words at white space; a document is the set of its n-grams of words
-(a text shorter than n words: the one n-gram of all its words). Documents with equal sets form one class of
-copies, of which one goes on. Classes that share a band of MinHash values are candidates. Candidates are
-gathered into connected groups; within a group blocks of classes are compared, each pair of blocks in a task
-of its own, so a group of any size is spread over many tasks and no pair is ever a row.
-
-Null and empty texts and texts of white space have no n-grams: each is a class of its own without links.
-Rows with the same doc_id are one document. Columns besides doc_id and text are ignored.
+Texts are lower-cased and cut into words at white space; a document is the set of its n-grams of words (a text shorter
+than n words: the one n-gram of all its words). Documents with equal sets form one class of copies, of which one goes
+on. Classes that share a band of MinHash values are candidates and meet in the bucket of that band. Where buckets chain
+into a group whose sets fit into one task, the group is verified at once and each set is shipped once; a larger group is
+verified bucket by bucket, where a pair counts in the first band that it shares, and a bucket whose members all share
+an earlier band is left out. A bucket of any size is dealt to blocks of about BLOCK_GRAMS n-grams, each pair of blocks
+in a task of its own, so no pair is ever a row and a set is shipped as often as its bucket has blocks.
+
+Null and empty texts and texts of white space have no n-grams: each is a class of its own without links. Long texts are
+read whole. Every row is a document of its own: where ids are null or repeated, rows are told apart by a key in order
+of doc_id (null last) and text, so rows that repeat a doc_id and its text are copies of each other. Ties go to the
+least doc_id. An empty table gives no rows. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, mix, only, signed, word_hashes
+from .common import U64, bounded_batches, chunks, cut, mix, only, signed, word_hashes
 from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999
 MAX_HASHES = 96
-#: Classes of a block. A task holds the n-gram sets of two blocks.
-BLOCK = 384
+#: n-grams of a block, about. A task holds the n-gram sets of two blocks.
+BLOCK_GRAMS = 2_000_000
+#: Sets of a tile, the part of two blocks that is compared at once.
+TILE = 384
 #: n-grams counted at once when two blocks are compared.
 COLUMNS = 4096
 
@@ -94,15 +101,19 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """docs: (node, text, others ...). The sorted n-gram hashes of each text in place of it."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields]
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, at in chunks(batch.column(1)):
                 grams, offset = ngram_sets(data, at, n)
                 raw = pa.BinaryArray.from_buffers(pa.binary(), len(offset) - 1, [None, pa.py_buffer((offset * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(grams))])
-                rest = [batch.column(k).slice(first, end - first) for k in range(2, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), raw, *rest], names=["doc_id", "grams", "root", "blocks", "n_copies"])
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([part.column(0), raw, *part.columns[2:]], names=[names[0], "grams", *names[2:]])
 
-    return docs.mapInArrow(run, "doc_id long, grams binary, root long, blocks int, n_copies long")
+    return docs.mapInArrow(run, ", ".join([fields[0], "grams binary", *fields[2:]]))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -129,106 +140,167 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _roots(link: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each document the least id that it reaches through the links of this task."""
-    root = ids.copy()
+def _roots(n: int, links: list[np.ndarray]) -> np.ndarray:
+    """For each of n sets the least number that it reaches through links (pairs of numbers)."""
+    root = np.arange(n)
+    a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
     while True:
-        new = np.minimum(root, np.where(link, root[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
         if (new == root).all():
             return root
         root = new
 
 
-def compare(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, pair: tuple[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, links of each counted in documents, least id that it reaches) of the pairs between two blocks."""
-    i, j = np.flatnonzero(block == pair[0]), np.flatnonzero(block == pair[1])
-    size = np.array([*map(len, sets)], np.float64)
-    if not len(i) or not len(j):
-        return ids, np.zeros(len(ids), np.int64), ids
-    shared = overlaps([sets[k] for k in i], [sets[k] for k in j])
-    near = shared >= threshold * (size[i][:, None] + size[j][None, :] - shared) - 1e-6
-    near &= shared > 0
-    if pair[0] == pair[1]:
-        near &= ~np.eye(len(i), dtype=bool)
-    link = np.zeros((len(ids), len(ids)), bool)
-    link[np.ix_(i, j)] = near
-    if pair[0] != pair[1]:
-        link[np.ix_(j, i)] = near.T
-    return ids, link @ copies, _roots(link, ids)
+def _forest(near: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Links that join what the links of a tile join, few of them: each row and column to the least number it reaches."""
+    none = np.iinfo(np.int64).max
+    of_row, of_column = i.copy(), j.copy()
+    while True:
+        row = np.minimum(of_row, np.where(near, of_column[None, :], none).min(axis=1, initial=none))
+        column = np.minimum(of_column, np.where(near, row[:, None], none).min(axis=0, initial=none))
+        if (row == of_row).all() and (column == of_column).all():
+            return np.stack([np.concatenate([i, j]), np.concatenate([row, column])])
+        of_row, of_column = row, column
+
+
+def compare(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, pair: tuple[int, int], threshold: float, bands: np.ndarray | None = None, band: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each set counted in documents, number of the least set that it reaches) for the pairs between two blocks.
+
+    With bands (a row of band keys for each set), pairs that share a band before `band` are left to that band.
+    """
+    size, links, joined = np.array([*map(len, sets)], np.float64), np.zeros(len(sets), np.int64), []
+    of_a, of_b = (np.flatnonzero(block == p) for p in pair)
+    for low in range(0, len(of_a), TILE):
+        i = of_a[low : low + TILE]
+        for start in range(low if pair[0] == pair[1] else 0, len(of_b), TILE):
+            j = of_b[start : start + TILE]
+            shared = overlaps([sets[k] for k in i], [sets[k] for k in j])
+            near = (shared > 0) & (shared >= threshold * (size[i][:, None] + size[j][None, :] - shared) - 1e-6)
+            for k in range(band if bands is not None else 0):
+                near &= bands[i, k][:, None] != bands[j, k][None, :]
+            same = pair[0] == pair[1] and start == low
+            if same:
+                np.fill_diagonal(near, False)
+            links[i] += near @ copies[j]
+            if not same:
+                links[j] += near.T @ copies[i]
+            if near.any():
+                joined.append(_forest(near, i, j))
+    return links, _roots(len(sets), joined)
 
 
 def _verified(members: DataFrame, threshold: float) -> DataFrame:
-    """members: (doc_id, grams, root, bi, bj, block, n_copies), each pair of blocks together and in order within a partition."""
+    """members: (node, grams, n_copies, bands, unit, band, bi, bj, block), each pair of blocks together within a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                ids, raw, block, copies = zip(*held, strict=True)
-                found = compare(np.array(ids), [np.frombuffer(x, U64) for x in raw], np.array(block), np.array(copies), key[1:], threshold)
-                some = found[1] > 0
-                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in found], names=["doc_id", "links", "root"])
+                node, raw, copies, bands, block = zip(*held, strict=True)
+                node, band = np.array(node), key[1]
+                links, root = compare([np.frombuffer(x, U64) for x in raw], np.array(block), np.array(copies), key[2:], threshold, None if band < 0 else np.array(bands), band)
+                some = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[root][some])], names=["node", "links", "root"])
 
         for batch in batches:
-            doc, grams, root, bi, bj, block, copies = (batch.column(k).to_pylist() for k in range(7))
-            for k in range(len(doc)):
-                if (now := (root[k], bi[k], bj[k])) != key:
+            columns = [batch.column(k).to_pylist() for k in range(9)]
+            for node, grams, copies, bands, unit, band, bi, bj, block in zip(*columns, strict=True):
+                if (now := (unit, band, bi, bj)) != key:
                     yield from flush()
                     key, held = now, []
-                held.append((doc[k], grams[k], block[k], copies[k]))
+                held.append((node, grams, copies, bands, block))
         yield from flush()
 
-    return members.mapInArrow(run, "doc_id long, links long, root long")
+    return members.mapInArrow(run, "node long, links long, root long")
 
 
-def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: (doc_id, class_id, n_links, copy_id, n_copies, n_grams).
+def _units(banded: DataFrame, bands: int) -> DataFrame:
+    """banded: (node, n_grams, bands, band, key) of shared buckets. What each class is verified in: (node, units: array of unit, band, blocks).
 
-    copy_id is the least doc_id with the same n-gram set and n_copies their number. n_links counts the other
-    documents, copies included, whose Jaccard similarity to this one is at least the threshold. class_id is the
-    least doc_id that can be reached through links. A pair at the threshold is found with probability `recall`,
-    nearer pairs with more.
+    A unit is a group of chained buckets (band -1) if it fits into a block, else a bucket.
     """
+    least = banded.groupBy("key").agg(F.min("node").alias("v"))
+    groups = cut(components(banded.join(least, "key").select(F.col("node").alias("u"), "v")), "groups")
+    sizes = groups.join(banded.select("node", "n_grams").distinct(), "node").groupBy("root").agg(F.sum("n_grams").alias("grams"))
+    of_node = groups.join(sizes, "root").select("node", "root", (F.col("grams") <= BLOCK_GRAMS).alias("whole"))
+    whole = of_node.filter("whole").select("node", F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), F.lit(1).alias("blocks")).alias("unit"))
+    single = banded.join(of_node.filter("not whole").select("node"), "node")
+    ends = [f(F.get("bands", F.lit(k))).alias(f"{name}{k}") for k in range(bands) for name, f in (("low", F.min), ("high", F.max))]
+    buckets = single.groupBy("key", "band").agg(F.sum("n_grams").alias("grams"), *ends)
+    again = reduce(Column.__or__, [(F.lit(k) < F.col("band")) & (F.col(f"low{k}") == F.col(f"high{k}")) for k in range(bands)])
+    asked = buckets.filter(~again).select("key", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    parted = single.join(asked, "key").select("node", F.struct(F.col("key").alias("unit"), "band", "blocks").alias("unit"))
+    return whole.unionByName(parted).groupBy("node").agg(F.collect_list("unit").alias("units"))
+
+
+def _joined(texts: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """jaccard_join over rows (doc_id, text) whose ids are distinct and not null."""
     bands, rows = choose_bands(threshold, recall)
-    texts = only(docs, "doc_id", "text").select("doc_id", F.lower("text").alias("text"))
+    bounded_batches(texts.sparkSession)
+    texts = texts.select("doc_id", F.lower("text").alias("text"))
     marked = cut(signatures(texts, n, bands, rows), "signed")
-    ids = marked.filter("n_grams > 0").select("doc_id", "d1", "d2", "n_grams").distinct()
-    copies = cut(ids.groupBy("d1", "d2", "n_grams").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies")), "copies")
-    first = marked.filter("n_grams > 0").join(copies.select(F.col("copy_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = first.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).filter("v <> w")
-    candidates = cut(components(banded.join(shared, "key").select(F.col("doc_id").alias("u"), "v")), "groups")
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = candidates.join(sizes, "root").join(copies.select(F.col("copy_id").alias("node"), "n_copies"), "node").select(F.col("node").alias("doc_id"), "root", "blocks", "n_copies")
-    with_text = texts.dropDuplicates(["doc_id"]) if _repeats(marked) else texts
-    sets = _sets(with_text.join(dealt, "doc_id"), n)
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    spread = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("doc_id", "grams", "root", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "n_copies")
-    together = spread.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj")
-    found = cut(_verified(together, threshold), "found")
-    links = found.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    classes = components(found.filter("doc_id <> root").select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
-    of_copies = copies.join(links.withColumnRenamed("doc_id", "copy_id"), "copy_id", "left").join(classes.withColumnRenamed("node", "copy_id"), "copy_id", "left")
-    of_copies = of_copies.select("d1", "d2", "n_grams", "copy_id", "n_copies", F.coalesce("root", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    some = marked.filter("n_grams > 0")
+    copies = cut(some.groupBy("d1", "d2", "n_grams").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies")), "copies")
+    first = some.join(copies.select(F.col("node").alias("doc_id"), "n_copies"), "doc_id")
+    keyed = first.select(F.col("doc_id").alias("node"), "n_grams", "n_copies", "bands", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value")).drop("value")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v <> w").select("key")
+    banded = cut(keyed.join(shared, "key"), "banded")
+    members = banded.select("node", "n_copies", "bands").distinct().join(_units(banded, bands), "node")
+    sets = _sets(members.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "n_copies", "bands", "units"), n)
+    spread = sets.select("node", "grams", "n_copies", "bands", F.explode("units").alias("u")).select("node", "grams", "n_copies", F.when(F.col("u.band") >= 0, F.col("bands")).alias("bands"), "u.unit", "u.band", "u.blocks")
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("node", "grams", "n_copies", "bands", "unit", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block")
+    keys = ["unit", "band", "bi", "bj"]
+    found = cut(_verified(spread.repartition(*keys).sortWithinPartitions(*keys), threshold), "found")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    of_copies = copies.join(links, "node", "left").join(classes, "node", "left")
+    of_copies = of_copies.select("d1", "d2", "n_grams", F.col("node").alias("copy_id"), "n_copies", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
     out = marked.select("doc_id", "d1", "d2", "n_grams").join(of_copies, ["d1", "d2", "n_grams"], "left")
     alone = F.col("doc_id")
     return out.select("doc_id", F.coalesce("class_id", alone).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", alone).alias("copy_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "n_grams")
 
 
-def _repeats(marked: DataFrame) -> bool:
-    return not marked.groupBy("doc_id").count().filter("count > 1").isEmpty()
+def _odd(docs: DataFrame) -> bool:
+    """Whether an id is null or repeated."""
+    return not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, `__row`, in order of doc_id (null last) and text."""
+    return cut(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
+def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """One row per document: (doc_id, class_id, n_links, copy_id, n_copies, n_grams).
+
+    copy_id is the least doc_id with the same n-gram set and n_copies their number. n_links counts the other
+    documents, copies included, whose Jaccard similarity to this one is at least the threshold. class_id is the
+    least doc_id that can be reached through links (null if none of them has an id). A pair at the threshold is found
+    with probability `recall`, nearer pairs with more.
+    """
+    rows = only(docs, "doc_id", "text")
+    if not _odd(rows):
+        return _joined(rows, n, threshold, recall)
+    keyed = _keyed(rows)
+    found = _joined(keyed.select(F.col("__row").alias("doc_id"), "text"), n, threshold, recall)
+    for name in ("class_id", "copy_id", "doc_id"):
+        found = found.withColumnRenamed(name, "__row").join(keyed.select("__row", F.col("doc_id").alias(name)), "__row").drop("__row")
+    return found.select("doc_id", "class_id", "n_links", "copy_id", "n_copies", "n_grams")
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The documents (all columns) without those that are near another with a lesser doc_id in their class.
+    """One document (all columns) of each class, the one with the least doc_id.
 
-    Where ids are null or repeated, rows are told apart by a key of their own in order of doc_id and text, null ids
-    last: different texts under one id, or under none, stay.
+    Where ids are null or repeated, rows are told apart as in `jaccard_join`: different texts under one id, or under
+    none, stay.
     """
-    if only(docs, "doc_id").filter("doc_id is null").isEmpty() and not _repeats(docs):
-        return docs.join(jaccard_join(docs, **kw).filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
-    keyed = cut(docs.orderBy(F.asc_nulls_last("doc_id"), "text").withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    if not _odd(docs):
+        return docs.join(_joined(only(docs, "doc_id", "text"), kw.get("n", WORDS), kw.get("threshold", THRESHOLD), kw.get("recall", TARGET_RECALL)).filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    keyed = _keyed(docs)
     classes = jaccard_join(keyed.select(F.col("__row").alias("doc_id"), "text"), **kw)
     return keyed.join(classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -51,6 +51,7 @@ def shingles(text):
 
 
 def near(texts):
+    """Links and least reachable number, by number of the text."""
     s = {k: shingles(t) for k, t in texts.items()}
     links = {k: {o for o in s if o != k and s[k] and s[o] and len(s[k] & s[o]) >= 0.8 * len(s[k] | s[o])} for k in s}
     root = {k: k for k in s}
@@ -61,20 +62,35 @@ def near(texts):
         root = new
 
 
-@pytest.mark.parametrize("block", [384, 2])
-def test_jaccard_join(spark, odd, block):
-    docs = odd.filter("doc_id is not null")
+@pytest.mark.parametrize("grams", [jaccard.BLOCK_GRAMS, 600, 90])
+def test_jaccard_join(spark, odd, monkeypatch, grams):
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)  # one unit a group, or buckets, or buckets in blocks
+    monkeypatch.setattr(jaccard, "TILE", 5)
     r = random.Random(3)
     more = []
-    for k in range(12):
+    for k in range(24):
         w = prose(100, 70).split()
-        w[r.randrange(100)] = f"edit{k}"
-        more.append((100 + k, " ".join(w)))
-    docs = docs.select("doc_id", "text", "root", "band").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
-    links, root = near(dict(docs_of(docs)))
-    got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs, block=block).collect()}
-    assert {k: v["n_links"] for k, v in got.items()} == {k: len(v) for k, v in links.items()}
-    assert {k: v["class_id"] for k, v in got.items()} == root
+        for _ in range(r.randrange(3)):
+            w[r.randrange(100)] = f"edit{k}"
+        more.append((100 + k // 2 if k < 20 else None, " ".join(w)))
+    docs = odd.select("doc_id", "text", "root", "band").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    listed = sorted(docs_of(docs), key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None, x[1] or ""))
+    links, root = near({k: t for k, (_, t) in enumerate(listed)})
+    got = Counter((r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.jaccard_join(docs).collect())
+    assert got == Counter((d, len(links[k]), listed[root[k]][0]) for k, (d, _) in enumerate(listed))
+
+
+def test_jaccard_recall_of_a_query_set(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    s = {d: shingles(t) for d, t in docs_of(docs)}
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs).collect()}
+    want = found = 0
+    for d in (d for d in s if d % 20 == 0):  # against all rows
+        links = {o for o in s if o != d and len(s[d] & s[o]) >= 0.8 * len(s[d] | s[o]) > 0}
+        want += len(links)
+        found += got[d]["n_links"]
+        assert got[d]["n_links"] <= len(links)
+    assert want > 5 and found >= 0.99 * want
 
 
 def test_jaccard_empty(none):
