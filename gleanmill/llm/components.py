@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only
-
-#: Parts that the links of a hub are dealt to when they meet the hub's one row.
-SALTS = 8
+from .common import cut, only, salted_join
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -20,13 +17,6 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m of least (u, m: one row for each u). A hub's links go to SALTS tasks."""
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    copies = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return dealt.join(copies, ["u", "salt"]).drop("salt")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (u, v: long); root is the least id of its component.
 
@@ -40,8 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     while after != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _links(_with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")))
-        joined = _with_least(large, large.groupBy("u").agg(F.min("v").alias("m")))
+        large = _links(salted_join(both.filter("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        joined = salted_join(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"], "v")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = cut(_links(small), "edges")
         before, after = after, _state(now)

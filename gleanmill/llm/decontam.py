@@ -2,25 +2,30 @@
 
 Texts are lower-cased; words are runs of letters and digits. A seed is a fixed mask over a window of words; it
 reads the words at its ones and ignores those at its zeros, so windows that differ by substitutions there still
-hash alike. Hashes of benchmark and training windows are joined; around each hit the two texts are laid side by
-side at the hit's shift, and the best run is kept if it is long and similar enough. The benchmark goes to the
-tasks in blocks of bounded size, one pass over the documents for each block, so a benchmark of any size works.
-
-Null and empty texts never match. Items with fewer words than a mask are sought as a whole. Repeated documents
-and items are each reported. Documents or benchmark without rows give no rows. Other columns are ignored.
+hash alike. Hashes of benchmark and training windows are joined by Spark; at each hit the two texts are laid side by
+side at the hit's shift, and the best run is kept if it is long and similar enough.
+
+A bitmap of fixed size with the benchmark's hashes goes to the tasks and lets only windows through that may have a
+partner, and with them the words of their documents; the join decides. So training text is read once, whatever the size
+of the benchmark, only documents with hits are shuffled, and neither side is gathered in one place. A row of the join
+carries the part of the document that lies beside the item.
+
+Null and empty texts never match. Items with fewer words than a mask are sought as a whole. Every row of either table is
+reported on its own, repeated rows and rows without an id too. Ties between runs go to the one with more equal words,
+then to the one that starts first. Long texts are read whole. Documents or benchmark without rows give no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, kept, mix, only, word_hashes
+from .common import U64, bounded_batches, chunks, cut, mix, only, salted_join, signed, word_hashes
 
 #: Fixed masks: 1 is read, 0 is ignored.
 MASKS = ("11101011", "1101001101", "110010100101", "1010110001011")
@@ -30,9 +35,8 @@ LEAST_WORDS = 10
 LEAST_SHARE = 0.8
 #: A wrong word costs so much within a run that a run never bridges unrelated text.
 COST = 3
-#: Bytes of benchmark text in a block; what is broadcast is a fixed multiple of it.
-BLOCK_BYTES = 8 << 20
-_TABLE_BITS = 22
+#: Bits of the bitmap, as a power of two.
+MAP_BITS = 24
 
 FOUND = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_equal int, share double"
 
@@ -51,121 +55,147 @@ def seeds(token: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-class Block:
-    """The items of a block: their words, and the places of each seed hash."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words = [], []
-        places: list[tuple[np.ndarray, int, str]] = []
-        masks = set(MASKS)
-        for item, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            token, _ = word_hashes(raw, np.array([0, len(raw)]), SEPARATOR)
-            if not len(token):
-                continue
-            self.ids.append(item)
-            self.words.append(token)
-            own = [m for m in MASKS if len(m) <= len(token)] or ["1" * len(token)]
-            masks |= set(own)
-            places += [(seeds(token, m), len(self.ids) - 1, m) for m in own]
-        self.masks = sorted(masks, key=lambda m: (len(m), m))
-        self.hash = np.concatenate([p[0] for p in places]) if places else np.zeros(0, U64)
-        self.item = np.concatenate([np.full(len(p[0]), p[1]) for p in places]) if places else np.zeros(0, np.int64)
-        self.at = np.concatenate([np.arange(len(p[0])) for p in places]) if places else np.zeros(0, np.int64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash, self.item, self.at = self.hash[order], self.item[order], self.at[order]
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[self.hash >> U64(64 - _TABLE_BITS)] = True
-
-    def hits(self, token: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the text, place among the hashes) of every joined pair of windows."""
-        h = seeds(token, mask)
-        maybe = np.flatnonzero(self.table[h >> U64(64 - _TABLE_BITS)])
-        low, high = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
-        n = high - low
-        text = np.repeat(maybe, n)
-        return text, np.repeat(low, n) + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+def seeds_of(token: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows that lie within one document; first: the first word of each document, and their number."""
+    h = seeds(token, mask)
+    end = np.repeat(first[1:], np.diff(first))[: len(h)]
+    at = np.flatnonzero(np.arange(len(h)) + len(mask) <= end)
+    return at, h[at]
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int]:
-    """The run with the greatest number of equal words less COST for each wrong one."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -COST))])
-    floor = np.minimum.accumulate(total)
-    end = int(np.argmax(total - floor))
-    return int(np.argmin(total[: end + 1])), end
+def own_masks(n: int) -> list[str]:
+    """The masks by which an item of n words is sought."""
+    return [m for m in MASKS if len(m) <= n] or ["1" * n]
 
 
-def _search(block: Block, token: np.ndarray, first: np.ndarray, docs: list) -> Iterator[tuple]:
-    """The best run of each document and item. Windows across documents fail the check of the shift's overlap."""
-    pairs = []
-    for mask in block.masks:
-        text, place = block.hits(token, mask)
-        if len(text):
-            doc = np.searchsorted(first, text, "right") - 1
-            pairs.append(np.stack([doc, block.item[place], text - first[doc] - block.at[place]], axis=1))
-    if not pairs:
-        return
-    best: dict[tuple[int, int], tuple] = {}
-    for doc, item, shift in np.unique(np.concatenate(pairs), axis=0).tolist():
-        a, b = token[first[doc] : first[doc + 1]], block.words[item]
-        low, high = max(0, -shift), min(len(b), len(a) - shift)
-        if high <= low:
-            continue
-        equal = a[low + shift : high + shift] == b[low:high]
-        s, e = best_run(equal)
-        n = int(equal[s:e].sum())
-        if n >= min(LEAST_WORDS, len(b)) and n >= LEAST_SHARE * (e - s):
-            row = (n, -(low + s + shift), low + s, e - s)
-            best[doc, item] = max(best.get((doc, item), row), row)
-    for (doc, item), (n, start, item_start, size) in sorted(best.items()):
-        yield docs[doc], block.ids[item], -start, item_start, size, n, n / size
-
-
-def _against(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Block(items))  # at most a fixed multiple of BLOCK_BYTES
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item: a key of its own, item_id, tokens: 64-bit word hashes) of each item with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
             for start, end, data, at in chunks(batch.column(1)):
                 token, first = word_hashes(data, at, SEPARATOR)
-                rows += _search(shared.value, token, first, ids[start:end])
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal", "share"])
+                some = np.flatnonzero(np.diff(first))
+                raw = [token[first[k] : first[k + 1]].tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start).take(pa.array(some)), pa.array(raw, pa.binary())], names=["item_id", "tokens"])
 
-    return docs.mapInArrow(run, FOUND)
+    texts = only(benchmark, "item_id", "text").filter("text is not null").select("item_id", F.lower("text").alias("text"))
+    return cut(texts.mapInArrow(run, "item_id long, tokens binary").withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items of the benchmark in blocks of about block_bytes."""
-    items = only(benchmark, "item_id", "text").filter("text is not null and text <> ''").select("item_id", F.lower("text").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // block_bytes)
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        if rows:
-            yield sorted(((r["item_id"], r["text"]) for r in rows), key=str)
+def _test_seeds(items: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                token = np.frombuffer(raw.as_py(), U64)
+                for mask in own_masks(len(token)):
+                    h = seeds(token, mask)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype=np.int32))], names=["seed", "item", "item_at"])
+
+    return items.select("item", "tokens").mapInArrow(run, "seed long, item long, item_at int")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Which leading bits of hashes occur: 2^MAP_BITS bits, whatever the benchmark, put together from words of 64."""
+    bucket = F.shiftrightunsigned("seed", 64 - MAP_BITS)
+    words = seeds.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - MAP_BITS}) & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << MAP_BITS - 6, np.int64)
+    got = words.toPandas()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _hit_documents(docs: DataFrame, bitmap: np.ndarray, masks: list[str]) -> DataFrame:
+    """(hit: a key of its own, doc_id, row, tokens, hits: array of seed and doc_at) of the documents with windows that may have a partner."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^MAP_BITS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, at in chunks(batch.column(2)):
+                token, first = word_hashes(data, at, SEPARATOR)
+                places, found = [], []
+                for mask in masks:
+                    p, h = seeds_of(token, first, mask)
+                    some = shared.value[h >> U64(64 - MAP_BITS)]
+                    places.append(p[some])
+                    found.append(h[some])
+                place, seed = np.concatenate(places), np.concatenate(found)
+                order = np.argsort(place, kind="stable")
+                place, seed = place[order], seed[order]
+                doc = np.searchsorted(first, place, "right") - 1
+                some = np.unique(doc)
+                if len(some):
+                    ends = np.append(np.searchsorted(doc, some), len(doc)).astype(np.int32)
+                    hits = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(signed(seed)), pa.array((place - first[doc]).astype(np.int32))], names=["seed", "doc_at"]))
+                    raw = pa.array([token[first[k] : first[k + 1]].tobytes() for k in some], pa.binary())
+                    rows = pa.array(start + some)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), raw, hits], names=["doc_id", "row", "tokens", "hits"])
+
+    texts = only(docs, "doc_id", "text").filter("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.lower("text").alias("text"))
+    found = texts.mapInArrow(run, "doc_id long, row long, tokens binary, hits array<struct<seed: long, doc_at: int>>")
+    return cut(found.withColumn("hit", F.monotonically_increasing_id()), "hits")
+
+
+def best_run(equal: np.ndarray) -> tuple[int, int]:
+    """The run with the greatest number of equal words less COST for each wrong one."""
+    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -COST))])
+    floor = np.minimum.accumulate(total)
+    end = int(np.argmax(total - floor))
+    return int(np.argmin(total[: end + 1])), end
+
+
+def _verified(beside: DataFrame) -> DataFrame:
+    """beside: (hit, item, doc_id, row, item_id, shift, low, n_item, part, other: words of both texts side by side). The runs that are long and similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, rows = [], []
+            shifts, lows, sizes = (batch.column(k).to_pylist() for k in (5, 6, 7))
+            for k, (part, other) in enumerate(zip(batch.column(8), batch.column(9), strict=True)):
+                equal = np.frombuffer(part.as_py(), U64) == np.frombuffer(other.as_py(), U64)
+                s, e = best_run(equal)
+                n = int(equal[s:e].sum())
+                if n >= min(LEAST_WORDS, sizes[k]) and n >= LEAST_SHARE * (e - s):
+                    keep.append(k)
+                    rows.append((n, lows[k] + s + shifts[k], lows[k] + s, e - s))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            some = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns[:5], *[pa.array(c, pa.int32()) for c in columns]], names=["hit", "item", "doc_id", "row", "item_id", "n_equal", "doc_start", "item_start", "n_words"])
+
+    return beside.mapInArrow(run, "hit long, item long, doc_id long, row long, item_id long, n_equal int, doc_start int, item_start int, n_words int")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The best run of each document and item, with the document's key `row`."""
+    bounded_batches(docs.sparkSession)
+    items = _items(benchmark)
+    n_words = (F.octet_length("tokens") / 8).cast("int")
+    # Short items have masks of their own, at most one for each length below the shortest mask.
+    sizes = [r[0] for r in items.select(F.least(n_words, F.lit(max(map(len, MASKS)))).alias("n")).distinct().collect()]
+    masks = sorted({m for n in sizes for m in own_masks(n)})
+    tested = _test_seeds(items)
+    hit = _hit_documents(docs, _bitmap(tested), masks) if masks else None
+    if hit is None:
+        return docs.sparkSession.createDataFrame([], FOUND + ", row long")
+    pairs = hit.select("hit", F.explode("hits").alias("h")).select("hit", "h.seed", "h.doc_at").join(tested, "seed").select("hit", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    of_item = items.select("item", "item_id", F.col("tokens").alias("b"), n_words.alias("n_item"))
+    of_doc = hit.select("hit", "doc_id", "row", F.col("tokens").alias("a"), n_words.alias("n_doc"))
+    beside = salted_join(pairs, of_item, ["item"], "hit").join(of_doc, "hit")
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    beside = beside.withColumn("low", low).withColumn("m", F.least("n_item", F.col("n_doc") - F.col("shift")) - F.col("low")).filter("m > 0")
+    part, other = F.expr("substring(a, 8 * (low + shift) + 1, 8 * m)"), F.expr("substring(b, 8 * low + 1, 8 * m)")
+    runs = _verified(beside.select("hit", "item", "doc_id", "row", "item_id", "shift", "low", "n_item", part.alias("part"), other.alias("other")))
+    best = F.max(F.struct("n_equal", (-F.col("doc_start")).alias("back"), "item_start", "n_words")).alias("best")
+    out = runs.groupBy("hit", "item").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), F.first("row").alias("row"), best)
+    return out.select("doc_id", "item_id", (-F.col("best.back")).alias("doc_start"), "best.item_start", "best.n_words", "best.n_equal", (F.col("best.n_equal") / F.col("best.n_words")).alias("share"), "row")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item with a common run: where it starts, its words, and how many are equal."""
-    texts = only(docs, "doc_id", "text").filter("text is not null").select("doc_id", F.lower("text").alias("text"))
-    parts = [_against(texts, items) for items in _blocks(benchmark, block_bytes)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], FOUND)
+    return _found(docs, benchmark).drop("row")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents (all columns) without a passage of the benchmark. Each row is judged by its own text, whatever its doc_id."""
-    for items in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Block(items))
-        docs = kept(docs, partial(_unspoilt, shared), F.lower("text"))
-    return docs
-
-
-def _unspoilt(shared, batch: pa.RecordBatch) -> np.ndarray:
-    good = np.ones(batch.num_rows, bool)
-    for start, end, data, at in chunks(batch.column(0)):
-        token, first = word_hashes(data, at, SEPARATOR)
-        good[[row[0] for row in _search(shared.value, token, first, list(range(start, end)))]] = False
-    return good
+    spoilt = _found(docs, benchmark).select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(cut(spoilt, "spoilt"), "__row", "left_anti").select(*docs.columns)

@@ -252,14 +252,57 @@ def test_decontamination(spark, odd, none):
     swapped[7] = swapped[15] = swapped[23] = "swapped"
     data = [(0, prose(50, 1) + " " + items[0][1].upper() + " " + prose(9, 2)), (1, prose(20, 3) + ", " + " ".join(swapped) + ". " + prose(20, 4)), (2, prose(200, 5)), (3, "a short item b"), (4, " ".join(items[2][1].split()[:6]) + " " + prose(40, 6)), (5, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    for block in (decontam.BLOCK_BYTES, 100):
-        got = {(r["doc_id"], r["item_id"]): r for r in decontam.overlaps(docs, bench, block).collect()}
-        assert set(got) == {(0, 0), (1, 1), (3, 7)}
-        assert (got[1, 1]["n_equal"], got[0, 0]["doc_start"]) == (27, 50)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.overlaps(docs, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (3, 7)}
+    assert (got[1, 1]["n_equal"], got[0, 0]["doc_start"]) == (27, 50)
     assert sorted(r["doc_id"] for r in decontam.clean(docs, bench).collect()) == [2, 4, 5]
     assert decontam.overlaps(odd, bench).count() == decontam.overlaps(none, bench).count() == decontam.overlaps(odd, bench.filter("false")).count() == 0
 
 
+def spaced(docs, items):
+    """By trying every pair of windows: the best run of each document and item that share a seed."""
+    words = lambda t: re.findall(r"[0-9a-z]+", t.lower())
+    out = {}
+    for (k, (d, a)), (j, (i, b)) in itertools.product(enumerate(docs), enumerate(items)):
+        a, b = words(a or ""), words(b or "")
+        shifts = set()
+        for mask in decontam.own_masks(len(b)) if b else []:
+            at = [m for m, c in enumerate(mask) if c == "1"]
+            windows = lambda w: {p: tuple(w[p + m] for m in at) for p in range(len(w) - len(mask) + 1)}  # noqa: B023, E731
+            shifts |= {p - q for p, x in windows(a).items() for q, y in windows(b).items() if x == y}
+        for shift in shifts:
+            low, high = max(0, -shift), min(len(b), len(a) - shift)
+            equal = [a[p + shift] == b[p] for p in range(low, high)]
+            total = [0, *itertools.accumulate(1 if x else -decontam.COST for x in equal)]
+            size = max(total[e] - total[s] for s in range(len(total)) for e in range(s, len(total)))
+            e = next(e for e in range(len(total)) if any(total[e] - total[s] == size for s in range(e + 1)))
+            s = min(range(e + 1), key=lambda s: total[s])
+            n = sum(equal[s:e])
+            if n >= min(decontam.LEAST_WORDS, len(b)) and n >= decontam.LEAST_SHARE * (e - s):
+                row = (n, -(low + s + shift), low + s, e - s)
+                out[k, j] = max(out.get((k, j), row), row)
+    return Counter((docs[k][0], items[j][0], -r[1], r[2], r[3], r[0]) for (k, j), r in out.items())
+
+
+def test_decontamination_brute_force(spark):
+    r = random.Random(12)
+    items = [(i if i % 4 else None, prose(r.randint(1, 40), 900 + i)) for i in range(14)] + [(3, prose(20, 903)), (1, "zzq")]
+    docs = []
+    for k in range(40):
+        w = prose(60, 40 + k).split()
+        for _ in range(r.randrange(3)):
+            p = r.choice(items)[1].split()
+            part = [x if r.random() > 0.12 else "other" for x in p[r.randrange(len(p)) :]]
+            at = r.randrange(60)
+            w[at:at] = part
+        docs.append((k % 30 if k % 7 else None, " ".join(w)))
+    docs += docs[:3]
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = spaced(docs, items)
+    assert len(want) > 20
+    assert Counter((x["doc_id"], x["item_id"], x["doc_start"], x["item_start"], x["n_words"], x["n_equal"]) for x in got) == want
+
+
 def test_language_held_out(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.filter(~langid.held_out()))
