@@ -1,13 +1,18 @@
 """URL filters: fixed rules first, then an empirical-Bayes reputation of hosts.
 
-Labelled outcomes of pages are counted by host. A beta-binomial prior flows from all pages to the suffix, from
-there to the registered domain and to the host, so that a host with few labels looks like its domain and one
-without any looks like its suffix. A page is blocked if the lower bound of its host's posterior rate of bad pages
-is above a limit. Everything is a native column expression.
+Labelled outcomes of pages are counted by host, once; that small table is written, and all levels are derived from it.
+A beta-binomial prior flows from all pages to the suffix, from there to the registered domain and to the host, so that
+a host with few labels looks like its domain and one without any looks like its suffix. A page is blocked if the lower
+bound of its host's posterior rate of bad pages is above a limit. Everything is a native column expression.
+
+The suffix is the last label of a host, or the last two where a country's domain has a usual second level (SECOND); the
+registered domain has one label more. User, port and a final dot play no part in them. A host of numbers is its own
+domain, and all of them share one suffix.
 
 Null urls and urls without `://` have an empty host and path; they fit no rule, and the method judges the empty
-host like any other. Repeated rows are judged alike. Extra columns of the inputs are ignored. Empty tables give
-empty results, and without labels nothing is blocked by the method.
+host like any other. Repeated rows are judged alike, rows without a page_id by their url. Where a page has several
+outcomes a bad one counts. Long urls are read whole. Extra columns of the inputs are ignored. Empty tables give empty
+results, and without labels nothing is blocked by the method.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import cut, only, salted_join
 
 #: (verdict, host, path). Fixed values of the contract.
 RULES = (
@@ -27,6 +32,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Usual second levels below the domain of a country.
+SECOND = ("ac", "co", "com", "edu", "gob", "gov", "go", "ne", "net", "nom", "or", "org")
 #: Standard errors below the posterior mean, and the rate of bad pages above which a host is blocked.
 Z = 1.645
 MAX_BAD = 0.5
@@ -55,10 +62,15 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _levels(df: DataFrame) -> DataFrame:
-    labels = F.split("host", r"\.")
+    """With suffix and (registered) domain of host."""
+    bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r"(:[0-9]*)?[.]?$", "")
+    labels = F.split(bare, r"[.]")
     n = F.size(labels)
-    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - (k - 1), F.lit(1)), k), ".")
-    return df.withColumn("suffix", last(1)).withColumn("domain", last(2))
+    wide = (n >= 3) & (F.length(F.get(labels, n - 1)) == 2) & F.get(labels, n - 2).isin(*SECOND)
+    k = F.when(wide, 2).otherwise(1)
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    numbers = bare.rlike(r"^[0-9.]+$|^\[")
+    return df.withColumn("suffix", F.when(numbers, "#").otherwise(last(k))).withColumn("domain", F.when(numbers, bare).otherwise(last(k + 1)))
 
 
 def _strength(df: DataFrame, mean: str) -> float:
@@ -74,16 +86,18 @@ def _strength(df: DataFrame, mean: str) -> float:
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """outcomes: (host, bad: 0, 1 or null if unlabelled), a row per page. A row per host with its posterior."""
-    hosts = _levels(only(outcomes, "host", "bad").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad")))
+    counted = only(outcomes, "host", "bad").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    hosts = cut(_levels(counted), "hosts")
     everything = hosts.agg(F.sum("n"), F.sum("bad")).first()
     base = (float(everything[1] or 0) + 0.5) / (float(everything[0] or 0) + 1)
-    prior = None
-    for keys in (["suffix"], ["suffix", "domain"]):
-        level = hosts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        level = level.withColumn("prior", F.lit(base)) if prior is None else level.join(prior, "suffix")
-        s = _strength(level, "prior")
-        prior = level.select(*keys, ((F.col("bad") + F.col("prior") * s) / (F.col("n") + s)).alias("prior"))
-    parent = hosts.join(prior, ["suffix", "domain"])
+    domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(base))
+    shrunk = lambda s: ((F.col("bad") + F.col("prior") * s) / (F.col("n") + s)).alias("prior")
+    of_suffix = suffixes.select("suffix", shrunk(_strength(suffixes, "prior")))
+    # The domains of one suffix, and the hosts of one domain, may be most of the table.
+    domains = salted_join(domains, of_suffix, ["suffix"], "domain")
+    of_domain = domains.select("suffix", "domain", shrunk(_strength(domains, "prior")))
+    parent = salted_join(hosts, of_domain, ["suffix", "domain"], "host")
     s = _strength(parent, "prior")
     a, b = F.col("bad") + F.col("prior") * s, F.col("n") - F.col("bad") + (1 - F.col("prior")) * s
     out = parent.withColumn("bad_rate", a / (a + b))
@@ -95,7 +109,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = M
     """pages: (page_id, url); outcomes: (page_id, bad). Verdicts: a rule's, else by the bound of the host's posterior."""
     seen = only(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = only(outcomes, "page_id", "bad").groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
-    scores = reputation(seen.join(known, "page_id", "left"))
+    scores = cut(reputation(seen.join(known, "page_id", "left")), "reputation")
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     out = seen.join(scores, "host", "left")
     method = F.when(F.col("bad_least") > max_bad, "block").otherwise("allow")
@@ -104,7 +118,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, max_bad: float = M
 
 def outcomes_by_number(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Outcomes of pages whose path names a labelled document: bad if its quality is 0 or it is toxic."""
-    number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?![0-9])", 1)
+    number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:[^0-9]|\z)", 1)
     named = only(pages, "page_id", "url").withColumn("n", number).select("page_id", F.expr("try_cast(nullif(n, '') as bigint)").alias("doc_id"))
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad")
     return named.filter("doc_id is not null").join(only(labels, "doc_id", "quality", "toxic").select("doc_id", bad), "doc_id").select("page_id", "bad")

@@ -71,6 +71,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LETTERS = "[^\\x20\\x09-\\x0D]"
 
+
+
+def _strength_sql(name: str, level: str) -> str:
+    return f"""{name} as (select case when sum(n) is null then {hosts.MOST_STRENGTH} when sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior)) > 0
+        then least({hosts.MOST_STRENGTH}, greatest({hosts.LEAST_STRENGTH}, sum(n * prior * (1 - prior)) / sum(n) / ((sum(n * (bad / n - prior) * (bad / n - prior)) - sum(prior * (1 - prior))) / sum(n)) - 1))
+        else {hosts.MOST_STRENGTH} end as s from {level} where n > 0)"""
+
+
+def _rule_sql(value: Callable[[str, str, str], str]) -> str:
+    """The longest rule that fits, in the order of falling length."""
+    return " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{value(say, h, p)}'" for say, h, p in sorted(hosts.RULES, key=lambda r: (-len(r[1] + r[2]), r)))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rf"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
@@ -89,5 +102,28 @@ f as (select *, ((n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_wor
         + 8 * (n_dup_lines * 2 > n_lines)::bigint + 16 * (word_chars < 2 * n_words or word_chars > 15 * n_words)::bigint
         + 32 * (n_exclaim * 5 > n_words)::bigint + 64 * (n_upper * 2 > word_chars)::bigint)::bigint as failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from f
+""",
+    "op6_url_filters": rf"""
+with seen as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path from pages),
+known as (select page_id, max((quality = 0 or toxic = 1)::int) as bad from (select page_id, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[^0-9]|\z)', 1), '') as bigint) as doc_id from seen) join labels using (doc_id) group by 1),
+counted as (select host, count(bad) as n, coalesce(sum(bad), 0)::double as bad from seen left join known using (page_id) group by 1),
+bare as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?[.]?$', '') as b from counted),
+parts as (select *, string_split(b, '.') as l, regexp_matches(b, '^[0-9.]+$|^\[') as numbers from bare),
+wide as (select *, case when len(l) >= 3 and length(l[-1]) = 2 and l[-2] in ({", ".join(f"'{x}'" for x in hosts.SECOND)}) then 2 else 1 end as k from parts),
+hosts as (select host, n, bad, case when numbers then '#' else array_to_string(l[greatest(len(l) - k + 1, 1):], '.') end as suffix, case when numbers then b else array_to_string(l[greatest(len(l) - k, 1):], '.') end as domain from wide),
+base as (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as base from hosts),
+s1 as (select suffix, sum(n) as n, sum(bad) as bad, any_value(base) as prior from hosts, base group by 1),
+{_strength_sql("w1", "s1")},
+p1 as (select suffix, (bad + prior * s) / (n + s) as prior from s1, w1),
+s2 as (select suffix, domain, n, bad, prior from (select suffix, domain, sum(n) as n, sum(bad) as bad from hosts group by 1, 2) join p1 using (suffix)),
+{_strength_sql("w2", "s2")},
+p2 as (select suffix, domain, (bad + prior * s) / (n + s) as prior from s2, w2),
+s3 as (select host, n, bad, prior from hosts join p2 using (suffix, domain)),
+{_strength_sql("w3", "s3")},
+ab as (select host, bad + prior * s as a, n - bad + (1 - prior) * s as b from s3, w3),
+least as (select host, a / (a + b) - {hosts.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {hosts.MAX_BAD} as blocked from ab)
+select page_id, host, path, case {_rule_sql(lambda say, h, p: h + p)} end as rule,
+    coalesce(case {_rule_sql(lambda say, h, p: say)} end, case when blocked then 'block' else 'allow' end) as verdict from seen join least using (host)
 """,
 }

@@ -149,8 +149,8 @@ def test_rules(odd, none):
     assert a[2, "few_words"]["rejected"] == judged.filter("not kept").count()
 
 
-def test_rules_sql(spark, duck):
-    name = "op3_quality_rules"
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, duck, name):
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(queries.ORACLE_SQL[name]).df())
 
 
@@ -245,6 +245,46 @@ def test_hosts(spark):
     assert hosts.judge(pages.filter("false"), outcomes.filter("false")).count() == 0
 
 
+def test_host_levels(spark):
+    want = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("uk", "co.uk"), "x.y.example.com": ("com", "example.com"), "user@x.org:8080": ("org", "x.org"), "1.2.3.4:80": ("#", "1.2.3.4"), "com": ("com", "com"), "": ("", ""), "a.de.": ("de", "a.de")}
+    got = hosts._levels(spark.createDataFrame([(h,) for h in want], "host string")).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in got} == want
+
+
+def test_hosts_by_hand_and_with_odd_rows(spark):
+    """Posteriors computed again in Python; clashing names, repeated rows, null ids and several outcomes of a page."""
+    r = random.Random(6)
+    names = [f"h{k}.d{k % 4}.{('com', 'org')[k % 2]}" for k in range(9)]
+    pages = [(k % 200 if k % 50 else None, f"https://{r.choice(names)}/{k}") for k in range(220)]
+    pages += pages[:5]
+    given = [(k, int(r.random() < 0.3 + 0.5 * (k % 2))) for k in range(0, 200, 2)] + [(4, 1), (4, 0)]
+    df = spark.createDataFrame([(*p, "x", 7, "y") for p in pages], "page_id long, url string, host string, bad int, suffix string")
+    got = hosts.judge(df, spark.createDataFrame(given, "page_id long, bad int")).collect()
+    bad = {p: max(b for q, b in given if q == p) for p, _ in given}
+    count = {}
+    for p, u in pages:
+        n = count.setdefault(u.split("/")[2], [0, 0])
+        if p in bad:
+            n[0] += 1
+            n[1] += bad[p]
+    key = lambda h, k: ".".join(h.split(".")[-k:])
+    prior = (sum(b for _, b in count.values()) + 0.5) / (sum(n for n, _ in count.values()) + 1)
+    parent = {"": prior}
+    for k, up in ((1, lambda h: ""), (2, lambda h: key(h, 1)), (3, lambda h: key(h, 2))):
+        level = {}
+        for h, (n, b) in count.items():
+            x = level.setdefault(key(h, k), [0, 0, parent[up(h)]])
+            x[0], x[1] = x[0] + n, x[1] + b
+        some = [x for x in level.values() if x[0]]
+        pages_n = sum(n for n, _, _ in some)
+        between = (sum(n * (b / n - m) ** 2 for n, b, m in some) - sum(m * (1 - m) for _, _, m in some)) / pages_n
+        s = min(1000, max(1, sum(n * m * (1 - m) for n, _, m in some) / pages_n / between - 1)) if between > 0 else 1000
+        parent |= {h: (b + m * s) / (n + s) for h, (n, b, m) in level.items()}
+    assert len(got) == len(pages)
+    for x in got:
+        assert abs(x["bad_rate"] - parent[x["host"]]) < 1e-9
+
+
 def test_decontamination(spark, odd, none):
     items = [(i, prose(30, 900 + i)) for i in range(6)] + [(7, "short item"), (8, None), (9, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
