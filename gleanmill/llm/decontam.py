@@ -36,7 +36,7 @@ LEAST_SHARE = 0.8
 #: A wrong word costs so much within a run that a run never bridges unrelated text.
 COST = 3
 #: Bits of the bitmap, as a power of two.
-MAP_BITS = 24
+MAP_BITS = 27
 
 FOUND = "doc_id long, item_id long, doc_start int, item_start int, n_words int, n_equal int, share double"
 
@@ -95,19 +95,30 @@ def _test_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", "tokens").mapInArrow(run, "seed long, item long, item_at int")
 
 
+def _places(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash: its first bits, and its last ones."""
+    return (seed >> U64(64 - MAP_BITS)).astype(np.int64), (seed & U64((1 << MAP_BITS) - 1)).astype(np.int64)
+
+
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Which leading bits of hashes occur: 2^MAP_BITS bits, whatever the benchmark, put together from words of 64."""
-    bucket = F.shiftrightunsigned("seed", 64 - MAP_BITS)
-    words = seeds.groupBy(F.shiftright(bucket, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - MAP_BITS}) & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << MAP_BITS - 6, np.int64)
+    """The bits of all hashes, 2^MAP_BITS of them whatever the benchmark; words of 64 bits are put together by Spark."""
+    bits = F.explode(F.array(F.shiftrightunsigned("seed", 64 - MAP_BITS), F.col("seed").bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("long"))))
+    words = seeds.select(bits.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
     got = words.toPandas()
+    out = np.zeros(1 << MAP_BITS - 6, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def _maybe(bitmap: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    a, b = _places(seed)
+    some = np.flatnonzero(bitmap[a >> 3] >> (a & 7).astype(np.uint8) & 1)
+    return some[(bitmap[b[some] >> 3] >> (b[some] & 7).astype(np.uint8) & 1).astype(bool)]
 
 
 def _hit_documents(docs: DataFrame, bitmap: np.ndarray, masks: list[str]) -> DataFrame:
     """(hit: a key of its own, doc_id, row, tokens, hits: array of seed and doc_at) of the documents with windows that may have a partner."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^MAP_BITS bytes
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2^MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +127,7 @@ def _hit_documents(docs: DataFrame, bitmap: np.ndarray, masks: list[str]) -> Dat
                 places, found = [], []
                 for mask in masks:
                     p, h = seeds_of(token, first, mask)
-                    some = shared.value[h >> U64(64 - MAP_BITS)]
+                    some = _maybe(shared.value, h)
                     places.append(p[some])
                     found.append(h[some])
                 place, seed = np.concatenate(places), np.concatenate(found)
