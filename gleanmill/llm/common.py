@@ -53,7 +53,7 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, salts: int = 8) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, salts: int = 4) -> DataFrame:
     """left joined with right, which has one row for each key: the rows of a frequent key go to `salts` tasks, by another column."""
     dealt = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))

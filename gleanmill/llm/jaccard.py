@@ -3,9 +3,9 @@
 Texts are lower-cased and cut into words at white space; a document is the set of its n-grams of words (a text shorter
 than n words: the one n-gram of all its words). Documents with equal sets form one class of copies, of which one goes
 on. Classes that share a band of MinHash values are candidates and meet in the bucket of that band. Where buckets chain
-into a group whose sets fit into one task, the group is verified at once and each set is shipped once; a larger group is
+into a group of few blocks, the group is verified at once and each set is shipped once for each block; a larger group is
 verified bucket by bucket, where a pair counts in the first band that it shares, and a bucket whose members all share
-an earlier band is left out. A bucket of any size is dealt to blocks of about BLOCK_GRAMS n-grams, each pair of blocks
+an earlier band is left out. A bucket of any size is dealt to blocks of a bounded number of n-grams, each pair of blocks
 in a task of its own, so no pair is ever a row and a set is shipped as often as its bucket has blocks.
 
 Null and empty texts and texts of white space have no n-grams: each is a class of its own without links. Long texts are
@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, chunks, cut, mix, only, signed, word_hashes
+from .common import U64, bounded_batches, chunks, cut, mix, only, salted_join, signed, word_hashes
 from .components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.999
 MAX_HASHES = 96
-#: n-grams of a block, about. A task holds the n-gram sets of two blocks.
+#: n-grams of a block, about. A task holds the n-gram sets of two blocks. Up to SMALL_BLOCKS blocks are smaller, for
+#: more tasks; more blocks are larger, as each set goes to as many tasks as there are blocks.
 BLOCK_GRAMS = 2_000_000
+SMALL_GRAMS, SMALL_BLOCKS = 250_000, 8
 #: Sets of a tile, the part of two blocks that is compared at once.
 TILE = 384
 #: n-grams counted at once when two blocks are compared.
@@ -218,22 +220,27 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "node long, links long, root long")
 
 
-def _units(banded: DataFrame, bands: int) -> DataFrame:
-    """banded: (node, n_grams, bands, band, key) of shared buckets. What each class is verified in: (node, units: array of unit, band, blocks).
+def _blocks(grams: Column) -> Column:
+    return F.greatest(F.ceil(grams / BLOCK_GRAMS), F.least(F.ceil(grams / SMALL_GRAMS), F.lit(SMALL_BLOCKS))).cast("int")
 
-    A unit is a group of chained buckets (band -1) if it fits into a block, else a bucket.
+
+def _units(banded: DataFrame, nodes: DataFrame, bands: int) -> DataFrame:
+    """banded: (node, band, key) of shared buckets; nodes: (node, n_grams, bands). What each class is verified in: (node, units: array of unit, band, blocks).
+
+    A unit is a group of chained buckets (band -1) if it has few blocks, else a bucket.
     """
     least = banded.groupBy("key").agg(F.min("node").alias("v"))
     groups = cut(components(banded.join(least, "key").select(F.col("node").alias("u"), "v")), "groups")
-    sizes = groups.join(banded.select("node", "n_grams").distinct(), "node").groupBy("root").agg(F.sum("n_grams").alias("grams"))
-    of_node = groups.join(sizes, "root").select("node", "root", (F.col("grams") <= BLOCK_GRAMS).alias("whole"))
-    whole = of_node.filter("whole").select("node", F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), F.lit(1).alias("blocks")).alias("unit"))
-    single = banded.join(of_node.filter("not whole").select("node"), "node")
+    sizes = groups.join(nodes.select("node", "n_grams"), "node").groupBy("root").agg(_blocks(F.sum("n_grams")).alias("blocks"))
+    of_node = salted_join(groups, sizes, ["root"], "node")
+    small = F.col("blocks") <= SMALL_BLOCKS
+    whole = of_node.filter(small).select("node", F.struct(F.col("root").alias("unit"), F.lit(-1).alias("band"), "blocks").alias("unit"))
+    single = cut(banded.join(of_node.filter(~small).select("node"), "node").join(nodes, "node"), "single")
     ends = [f(F.get("bands", F.lit(k))).alias(f"{name}{k}") for k in range(bands) for name, f in (("low", F.min), ("high", F.max))]
     buckets = single.groupBy("key", "band").agg(F.sum("n_grams").alias("grams"), *ends)
     again = reduce(Column.__or__, [(F.lit(k) < F.col("band")) & (F.col(f"low{k}") == F.col(f"high{k}")) for k in range(bands)])
-    asked = buckets.filter(~again).select("key", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    parted = single.join(asked, "key").select("node", F.struct(F.col("key").alias("unit"), "band", "blocks").alias("unit"))
+    asked = buckets.filter(~again).select("key", _blocks(F.col("grams")).alias("blocks"))
+    parted = salted_join(single, asked, ["key"], "node").select("node", F.struct(F.col("key").alias("unit"), "band", "blocks").alias("unit"))
     return whole.unionByName(parted).groupBy("node").agg(F.collect_list("unit").alias("units"))
 
 
@@ -246,10 +253,11 @@ def _joined(texts: DataFrame, n: int, threshold: float, recall: float) -> DataFr
     some = marked.filter("n_grams > 0")
     copies = cut(some.groupBy("d1", "d2", "n_grams").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies")), "copies")
     first = some.join(copies.select(F.col("node").alias("doc_id"), "n_copies"), "doc_id")
-    keyed = first.select(F.col("doc_id").alias("node"), "n_grams", "n_copies", "bands", F.posexplode("bands").alias("band", "value")).withColumn("key", F.xxhash64("band", "value")).drop("value")
+    keyed = first.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).filter("v <> w").select("key")
     banded = cut(keyed.join(shared, "key"), "banded")
-    members = banded.select("node", "n_copies", "bands").distinct().join(_units(banded, bands), "node")
+    nodes = cut(first.withColumnRenamed("doc_id", "node").join(banded.select("node").distinct(), "node", "left_semi").select("node", "n_grams", "n_copies", "bands"), "nodes")
+    members = nodes.select("node", "n_copies", "bands").join(_units(banded, nodes.select("node", "n_grams", "bands"), bands), "node")
     sets = _sets(members.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "n_copies", "bands", "units"), n)
     spread = sets.select("node", "grams", "n_copies", "bands", F.explode("units").alias("u")).select("node", "grams", "n_copies", F.when(F.col("u.band") >= 0, F.col("bands")).alias("bands"), "u.unit", "u.band", "u.blocks")
     spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

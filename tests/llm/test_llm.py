@@ -64,7 +64,9 @@ def near(texts):
 
 @pytest.mark.parametrize("grams", [jaccard.BLOCK_GRAMS, 600, 90])
 def test_jaccard_join(spark, odd, monkeypatch, grams):
-    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)  # one unit a group, or buckets, or buckets in blocks
+    for name in ("BLOCK_GRAMS", "SMALL_GRAMS"):  # one unit a group, or a group in blocks, or buckets in blocks
+        monkeypatch.setattr(jaccard, name, grams)
+    monkeypatch.setattr(jaccard, "SMALL_BLOCKS", 8 if grams > 90 else 1)
     monkeypatch.setattr(jaccard, "TILE", 5)
     r = random.Random(3)
     more = []
