@@ -36,8 +36,8 @@ MAX_HASHES = 96
 #: more tasks; more blocks are larger, as each set goes to as many tasks as there are blocks.
 BLOCK_GRAMS = 2_000_000
 SMALL_GRAMS, SMALL_BLOCKS = 250_000, 8
-#: Sets of a tile, the part of two blocks that is compared at once.
-TILE = 384
+#: Sets and, about, n-grams of a tile, the part of a block that is compared at once.
+TILE, TILE_GRAMS = 384, 150_000
 #: n-grams counted at once when two blocks are compared.
 COLUMNS = 4096
 
@@ -168,17 +168,28 @@ def _forest(near: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         of_row, of_column = row, column
 
 
+def _tiles(of: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The sets of a block in tiles; a set with more n-grams than a tile is one of its own."""
+    tile, n, grams, ends = 0, 0, 0, []
+    for k in of:
+        if n and (n == TILE or grams + size[k] > TILE_GRAMS):
+            tile, n, grams = tile + 1, 0, 0
+        n, grams = n + 1, grams + size[k]
+        ends.append(tile)
+    return np.split(of, np.flatnonzero(np.diff(ends)) + 1) if len(of) else []
+
+
 def compare(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, pair: tuple[int, int], threshold: float, bands: np.ndarray | None = None, band: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(links of each set counted in documents, number of the least set that it reaches) for the pairs between two blocks.
 
     With bands (a row of band keys for each set), pairs that share a band before `band` are left to that band.
     """
     size, links, joined = np.array([*map(len, sets)], np.float64), np.zeros(len(sets), np.int64), []
-    of_a, of_b = (np.flatnonzero(block == p) for p in pair)
-    for low in range(0, len(of_a), TILE):
-        i = of_a[low : low + TILE]
-        for start in range(low if pair[0] == pair[1] else 0, len(of_b), TILE):
-            j = of_b[start : start + TILE]
+    tiles_a, tiles_b = (_tiles(np.flatnonzero(block == p), size) for p in pair)
+    for low, i in enumerate(tiles_a):
+        for start, j in enumerate(tiles_b):
+            if pair[0] == pair[1] and start < low:
+                continue
             shared = overlaps([sets[k] for k in i], [sets[k] for k in j])
             near = (shared > 0) & (shared >= threshold * (size[i][:, None] + size[j][None, :] - shared) - 1e-6)
             for k in range(band if bands is not None else 0):
