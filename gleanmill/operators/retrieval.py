@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,34 +152,13 @@ def rerank(hits: DataFrame, question: Column, body: Column, title: Column) -> Da
 def diversify(hits: DataFrame, top_k: int, per_group: int = 1) -> DataFrame:
     """Per question, in rank order: at most per_group of a group, then the skipped ones refill up to top_k.
 
-    hits: (query_id, item_id, group, rank). One group map task sees one question's candidates only.
+    hits: (query_id, item, group, rank).
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "item"])
-        taken, skipped, seen = [], [], {}
-        for row in pdf.itertuples():
-            full = seen.get(row.group, 0) >= per_group
-            (skipped if full else taken).append(row.Index)
-            seen[row.group] = seen.get(row.group, 0) + (not full)
-        chosen = (taken + skipped)[:top_k]
-        refilled = set(chosen) - set(taken)
-        out = pdf.loc[sorted(chosen, key=lambda i: (pdf.at[i, "rank"], pdf.at[i, "item"]))]
-        return pd.DataFrame({"query_id": out["query_id"], "item": out["item"], "rank": out["rank"], "place": range(1, len(out) + 1), "refilled": [i in refilled for i in out.index]})
-
-    return hits.groupBy("query_id").applyInPandas(pick, "query_id long, item long, rank int, place int, refilled boolean")
-
-
-def guard(evidence: DataFrame, least: float = 0.35) -> DataFrame:
-    """ANSWERED or a reason per question: .4 top + .25 coverage + .2 count + .15 snippet quality.
-
-    evidence: (query_id, score, coverage, quality); questions without rows are NO_EVIDENCE in the caller's left join.
-    """
-    norm = scaled(F.col("score"), ["query_id"], "one")
-    per = evidence.withColumn("norm", norm).groupBy("query_id").agg(F.max("norm").alias("top"), F.max("coverage").alias("coverage"), F.count("*").alias("n"), F.max("quality").alias("quality"))
-    confidence = 0.4 * F.col("top") + 0.25 * F.col("coverage") + 0.2 * F.least(F.col("n") / 3, F.lit(1.0)) + 0.15 * F.col("quality")
-    reason = F.when(F.col("coverage") < 0.1, "LOW_COVERAGE").when(F.col("quality") < 0.2, "LOW_QUALITY").when(confidence < least, "LOW_CONFIDENCE").otherwise("ANSWERED")
-    return per.select("query_id", F.round(confidence, 6).alias("confidence"), reason.alias("status"))
+    of_group = F.row_number().over(Window.partitionBy("query_id", "group").orderBy("rank", "item"))
+    spare = hits.withColumn("refilled", of_group > per_group)
+    chosen = spare.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("refilled", "rank", "item"))).filter(F.col("_n") <= top_k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item"))
+    return chosen.select("query_id", "item", "rank", place.alias("place"), "refilled")
 
 
 def retrieval_metrics(hits: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (1, 3, 5), counts: DataFrame | None = None) -> DataFrame:

@@ -53,21 +53,11 @@ def sf24(spark, d):
 
 
 @query("sf51_question_rules", rf"""
-with q as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as q from conversations where length(text) < 200)
-select conv_id, turn, case when length({_key('q')}) not between 8 and 180 then 'length' when len(regexp_extract_all(q, '[？?]')) > 1 then 'several_questions'
- when regexp_matches(q, '{C.ANSWER_IN_QUESTION}') then 'answer_in_question' when regexp_matches(q, '{C.POINTING_START}') then 'pointing_start' when regexp_matches(q, '{C.TASK_START}') then 'task'
- when not regexp_matches(q, '{C.QUESTION_FORM}') and not regexp_matches(q, '{C.RECALL_FORM}') then 'no_question_form' end as fault from q""")
-def sf51(spark, d):
-    return table(spark, d, "conversations").filter(F.length("text") < 200).select("conv_id", "turn", C.question_fault(F.col("text")).alias("fault"))
-
-
-@query("sf51_question_rules_whole", rf"""
 with q as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as q from conversations)
 select conv_id, turn, case when length({_key('q')}) not between 8 and 180 then 'length' when len(regexp_extract_all(q, '[？?]')) > 1 then 'several_questions'
  when regexp_matches(q, '{C.ANSWER_IN_QUESTION}') then 'answer_in_question' when regexp_matches(q, '{C.POINTING_START}') then 'pointing_start' when regexp_matches(q, '{C.TASK_START}') then 'task'
  when not regexp_matches(q, '{C.QUESTION_FORM}') and not regexp_matches(q, '{C.RECALL_FORM}') then 'no_question_form' end as fault from q""")
-def sf51_whole(spark, d):
-    """All turns, where sf51_question_rules judges those below 200 characters."""
+def sf51(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", C.question_fault(F.col("text")).alias("fault"))
 
 

@@ -70,10 +70,6 @@ def hash_embedding(spark, d):
     return y.select("item_id", "dim", F.round(F.col("v") / norm, 6).alias("value"))
 
 
-_BY_SLOT = f"""
-c as (select item_id, doc_id, list_unique(list_intersect(q, d)) as score from (select item_id, list_distinct({_TOK}) as q, item_id % 40 as slot from benchmark)
-  join (select doc_id, list_distinct({_TOK}) as d, doc_id % 40 as slot from documents) using (slot)),"""
-
 _BY_TERM = f"""
 c as (select item_id, doc_id, count(*) as score from (select item_id, unnest(list_distinct({_TOK})) as term from benchmark) join (select doc_id, unnest(list_distinct({_TOK})) as term from documents) using (term) group by 1, 2),"""
 
@@ -85,14 +81,7 @@ nm as (select *, min(score) over (partition by query_id, variant, source) as lo,
 fused as (select query_id, doc_id, sum(weight * case when variant = 0 then 1.2 else 1.0 end / (60 + rank) * (1 + 0.15 * case when hi > lo then (score - lo) / (hi - lo) when score > 0 then 1.0 else 0.0 end)) as score,
   min(rank) as best_rank from nm group by 1, 2)"""
 
-_RUNS = f"{_BM25},{_BY_SLOT}{_FUSED}"
-_RUNS_WHOLE = f"{_BM25},{_BY_TERM}{_FUSED}"
-
-
-def _by_slot(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("q"), (F.col("item_id") % 40).alias("slot"))
-    c = q.join(table(spark, d, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("d"), (F.col("doc_id") % 40).alias("slot")), "slot")
-    return c.select("query_id", "doc_id", F.size(F.array_intersect("q", "d")).cast("double").alias("score")).filter("score > 0")
+_RUNS = f"{_BM25},{_BY_TERM}{_FUSED}"
 
 
 def _by_term(spark, d):
@@ -100,9 +89,9 @@ def _by_term(spark, d):
     return c.select(F.col("item_id").alias("query_id"), "doc_id", F.col("shared").cast("double").alias("score"))
 
 
-def _runs(spark, d, overlap=_by_slot):
+def _runs(spark, d):
     first = _bm25(spark, d, 20).select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), F.lit("bm25").alias("source"), F.lit(1.0).alias("weight"), "doc_id", "score", "rank")
-    c = overlap(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
+    c = _by_term(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
     second = c.select("query_id", F.lit(1).alias("variant"), F.lit("overlap").alias("source"), F.lit(0.8).alias("weight"), "doc_id", "score", "rank")
     return first.unionByName(second)
 
@@ -119,18 +108,6 @@ def rrf(spark, d):
     return R.rrf(_runs(spark, d), "doc_id").select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
-@query("agg13_weighted_fusion_whole", f"""with {_RUNS_WHOLE}
-select query_id, doc_id, round(score, 6) as score, best_rank::bigint as best_rank, row_number() over (partition by query_id order by round(score, 9) desc, best_rank, doc_id)::bigint as rank from fused""")
-def weighted_fusion_whole(spark, d):
-    f = R.fuse(_runs(spark, d, _by_term), "doc_id")
-    return f.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("best_rank").cast("long").alias("best_rank"), F.col("rank").cast("long").alias("rank"))
-
-
-@query("agg14_rrf_whole", f"with {_RUNS_WHOLE} select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as score from runs group by 1, 2")
-def rrf_whole(spark, d):
-    return R.rrf(_runs(spark, d, _by_term), "doc_id").select("query_id", "doc_id", F.round("score", 9).alias("score"))
-
-
 @query("agg15_parent_aggregation", f"""with {_BM25}, h as (select item_id as query_id, doc_id, rank from bm where rank <= 10),
 m as (select doc_id, source || '-' || doc_id // 50 as parent_id from documents),
 b as (select query_id, parent_id, min(rank) as rank, arg_min(doc_id, rank) as best_chunk from h join m using (doc_id) group by 1, 2)
@@ -163,44 +140,15 @@ def diversity(spark, d):
     return R.diversify(h, 5).select("query_id", "item", "place", "refilled")
 
 
-@query("sf32_answer_guard", f"""with {_BM25}, h as (select item_id as query_id, doc_id, score, rank from bm where rank <= 5),
-n as (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from h),
-qt as (select item_id as query_id, list_distinct({_TOK}) as q from benchmark), dt as (select doc_id, list_distinct({_TOK}) as d, least(length(text) / 800.0, 1.0) as quality from documents),
-pq as (select query_id, max(case when hi > lo then (score - lo) / (hi - lo) else 1.0 end) as top, max(len(list_intersect(q, d)) / greatest(len(q), 1)) as cov, count(*) as n, max(quality) as quality
-  from n join qt using (query_id) join dt using (doc_id) group by 1),
-c as (select *, 0.4 * top + 0.25 * cov + 0.2 * least(n / 3, 1.0) + 0.15 * quality as confidence from pq)
-select query_id, round(confidence, 6)::double as confidence, case when cov < 0.1 then 'LOW_COVERAGE' when quality < 0.2 then 'LOW_QUALITY' when confidence < 0.35 then 'LOW_CONFIDENCE' else 'ANSWERED' end as status from c""")
-def answer_guard(spark, d):
-    h = _bm25(spark, d, 5).withColumnRenamed("item_id", "query_id")
-    h = h.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
-    e = h.select("query_id", "score", T.coverage(T.tokens(F.col("question")), T.tokens(F.col("body"))).alias("coverage"), F.least(F.length("body") / 800.0, F.lit(1.0)).alias("quality"))
-    return R.guard(e)
-
-
 @query("agg17_retrieval_metrics", f"""with {_VEC}, h as (select query_id, vec_id as doc_id, rank from vr where rank <= 10),
-j as (select q.vec_id as query_id, v.vec_id as doc_id from embeddings q join embeddings v on v.label = q.label and v.vec_id % 9 = 0 where q.vec_id % 100 = 0),
-n as (select query_id, count(*) as n from j group by 1), g as (select h.query_id, rank from h join j using (query_id, doc_id)),
-a as (select query_id, min(rank) as best, count(*) filter (rank <= 1) as h1, count(*) filter (rank <= 3) as h3, count(*) filter (rank <= 5) as h5, sum(case when rank <= 5 then 1 / log2(rank + 1) else 0 end) as d5 from g group by 1),
-i as (select query_id, list_sum(list_transform(range(1, least(n, 5) + 1), lambda k: 1 / log2(k + 1))) as i5 from n)
-select q.query_id, case when n is not null then coalesce(1 / best, 0) end as rr, case when n is not null then coalesce(h1 / n, 0) end as recall_1, case when n is not null then coalesce(h5 / n, 0) end as recall_5, case when n is not null then round(coalesce(d5 / i5, 0), 6) end as ndcg_5
-from (select distinct query_id from h) q left join n using (query_id) left join a using (query_id) left join i using (query_id)""")
-def metrics(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("l"))
-    hits = R.vector_topk(v, q, 10).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-    rel = q.join(v.filter("vec_id % 9 = 0"), F.col("l") == F.col("label")).select("query_id", F.col("vec_id").alias("doc_id"))
-    return R.retrieval_metrics(hits, rel).select("query_id", "rr", "recall_1", "recall_5", F.round("ndcg_5", 6).alias("ndcg_5"))
-
-
-@query("agg17_retrieval_metrics_whole", f"""with {_VEC}, h as (select query_id, vec_id as doc_id, rank from vr where rank <= 10),
 j as (select q.vec_id as query_id, v.vec_id as doc_id from embeddings q join embeddings v on v.label = q.label where q.vec_id % 100 = 0),
 n as (select query_id, count(*) as n from j group by 1), g as (select h.query_id, rank from h join j using (query_id, doc_id)),
 a as (select query_id, min(rank) as best, count(*) filter (rank <= 1) as h1, count(*) filter (rank <= 3) as h3, count(*) filter (rank <= 5) as h5, sum(case when rank <= 5 then 1 / log2(rank + 1) else 0 end) as d5 from g group by 1),
 i as (select query_id, list_sum(list_transform(range(1, least(n, 5) + 1), lambda k: 1 / log2(k + 1))) as i5 from n)
 select q.query_id, case when n is not null then coalesce(1 / best, 0) end as rr, case when n is not null then coalesce(h1 / n, 0) end as recall_1, case when n is not null then coalesce(h5 / n, 0) end as recall_5, case when n is not null then round(coalesce(d5 / i5, 0), 6) end as ndcg_5
 from (select distinct query_id from h) q left join n using (query_id) left join a using (query_id) left join i using (query_id)""")
-def metrics_whole(spark, d):
-    """All vectors of the query's label are judgements, where agg17_retrieval_metrics takes one of nine."""
+def metrics(spark, d):
+    """All vectors of the query's label are judgements."""
     v = table(spark, d, "embeddings")
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("l"))
     hits = R.vector_topk(v, q, 10).select("query_id", F.col("vec_id").alias("doc_id"), "rank")

@@ -106,16 +106,9 @@ def sf16(spark, sf_dir):
 
 
 @query("sf17_mask_variables", r"""
-select page_id, regexp_replace(regexp_replace(html[1:400], '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '{uuid}', 'g'), '\d{4,}', '{num}', 'g') as masked from pages""")
-def sf17(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", T.masked_variables(F.substring("html", 1, 400)).alias("masked"))
-
-
-@query("sf17_mask_variables_whole", r"""
 select page_id, md5(regexp_replace(regexp_replace(html, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '{uuid}', 'g'), '\d{4,}', '{num}', 'g')) as h from pages""")
-def sf17_whole(spark, sf_dir):
-    """The digest of the whole masked page, where sf17_mask_variables gives its first 400 characters."""
+def sf17(spark, sf_dir):
+    """The digest of the whole masked page."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.masked_variables(F.col("html"))).alias("h"))
 
 
@@ -145,22 +138,12 @@ def sf21(spark, sf_dir):
 
 
 @query("sf29_keyword_coverage", r"""
-with q as (select item_id, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9_+#.-]+'), lambda x: lower(x))) as q from benchmark),
-d as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9_+#.-]+'), lambda x: lower(x))) as d from documents)
-select item_id, doc_id, round(len(list_intersect(q, d)) / greatest(len(q), 1)::double, 6) as coverage from q join d on doc_id % 40 = item_id % 40""")
-def sf29(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("q"), (F.col("item_id") % 40).alias("slot"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("d"), (F.col("doc_id") % 40).alias("slot"))
-    return q.join(d, "slot").select("item_id", "doc_id", F.round(T.coverage(F.col("q"), F.col("d")), 6).alias("coverage"))
-
-
-@query("sf29_keyword_coverage_whole", r"""
 with q as (select item_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_+#.-]+'), lambda x: lower(x)))) as term from benchmark),
 d as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_+#.-]+'), lambda x: lower(x)))) as term from documents),
 n as (select item_id, count(*) as n from q group by 1)
 select item_id, doc_id, round(count(*) / n::double, 6) as coverage from q join d using (term) join n using (item_id) group by item_id, doc_id, n""")
-def sf29_whole(spark, sf_dir):
-    """All pairs that share a term, where sf29_keyword_coverage scores one slot of 40."""
+def sf29(spark, sf_dir):
+    """All pairs that share a term."""
     from ..operators.retrieval import shared_terms
 
     return shared_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"))
@@ -239,17 +222,8 @@ def src15(spark, sf_dir):
 @query("agg9_term_frequency", r"""
 with t as (select doc_id, lower(unnest(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_+#.-]+'))) as term from documents),
 c as (select doc_id, term, count(*)::bigint as tf from t group by all)
-select term, count(*)::bigint as df, sum(tf)::bigint as tf, max(tf)::bigint as most from c group by 1 having count(*) >= 3""")
-def agg9(spark, sf_dir):
-    return agg9_whole(spark, sf_dir).filter("df >= 3")
-
-
-@query("agg9_term_frequency_whole", r"""
-with t as (select doc_id, lower(unnest(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]|[a-zA-Z0-9_+#.-]+'))) as term from documents),
-c as (select doc_id, term, count(*)::bigint as tf from t group by all)
 select term, count(*)::bigint as df, sum(tf)::bigint as tf, max(tf)::bigint as most from c group by 1""")
-def agg9_whole(spark, sf_dir):
-    """All terms, rare ones too, where agg9_term_frequency gives those of three documents and more."""
+def agg9(spark, sf_dir):
     from ..operators.retrieval import postings
 
     p = postings(table(spark, sf_dir, "documents"), "doc_id", "text")

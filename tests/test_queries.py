@@ -30,7 +30,7 @@ def test_entry(spark):
 
 def test_whole_tables_are_covered(spark):
     n = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
-    judged = QUERIES["sf51_question_rules_whole"](spark, SF).toPandas()
+    judged = QUERIES["sf51_question_rules"](spark, SF).toPandas()
     assert len(judged) == n("conversations") and (judged.fault == "length").any()
-    assert QUERIES["sf17_mask_variables_whole"](spark, SF).count() == n("pages")
-    assert QUERIES["agg9_term_frequency_whole"](spark, SF).filter("df < 3").count() > 0
+    assert QUERIES["sf17_mask_variables"](spark, SF).count() == n("pages")
+    assert QUERIES["agg9_term_frequency"](spark, SF).filter("df < 3").count() > 0
