@@ -102,6 +102,13 @@ def question_key(question: Column) -> Column:
     return T.dedupe_key(F.regexp_replace(F.when(repeated, tail).otherwise(q), FINAL_PARTICLES, ""))
 
 
+def first_card(cards: DataFrame, order: list[str]) -> DataFrame:
+    """cards (question, source_key, ...): the first of each question, or of each source key where there is no question; without both none."""
+    key = F.coalesce(F.nullif(T.dedupe_key(F.col("question")), F.lit("")), F.nullif(F.col("source_key"), F.lit("")))
+    w = Window.partitionBy("_k").orderBy(*order)
+    return cards.withColumn("_k", F.sha2(key, 256)).filter("_k is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_k", "_n")
+
+
 def question_fault(question: Column) -> Column:
     """The first rule that a review question breaks, else null."""
     q = T.collapsed(F.coalesce(question, F.lit("")))

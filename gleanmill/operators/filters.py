@@ -28,11 +28,23 @@ def matches(filters: dict, business: set[str], system: set[str] = frozenset()) -
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def tenant_scope(filters: dict, user_id: str) -> dict:
-    """The caller's own data only, whatever the client sent."""
-    return {k: v for k, v in filters.items() if k not in ("userId", "visibilityScope")} | {"userId": user_id, "visibilityScope": "private"}
-
-
-def visible(now: Column) -> Column:
-    """Memory items that are active, not deleted, still valid and not highly sensitive."""
-    return (F.col("status") == "ACTIVE") & F.col("deleted_at").isNull() & (F.col("valid_until").isNull() | (F.col("valid_until") > now)) & (F.coalesce("sensitivity_level", F.lit("")) != "HIGH")
+def tenant_scope(filters: dict, user_id: str, business: set[str]) -> dict:
+    """The business filters that the client sent, and the caller's own private data, whatever else it sent."""
+    return plan(filters, business - {"userId", "visibilityScope"})[0] | {"userId": [user_id], "visibilityScope": ["private"]}
+
+
+def scoped(scopes: list[tuple[str, str | None]]) -> Column:
+    """Items of one of the scopes (type, id); of USER those without an id. Without a usable scope: all of USER."""
+    own = [(F.col("scope_type") == "USER") & F.col("scope_id").isNull() if kind == "USER" else (F.col("scope_type") == kind) & (F.col("scope_id") == key) for kind, key in scopes if kind == "USER" or kind and key]
+    return reduce(lambda a, b: a | b, own) if own else F.col("scope_type") == "USER"
+
+
+def visible(now: Column, user_id=None, namespaces: list[str] | None = None, types: list[str] | None = None, scopes: list[tuple[str, str | None]] | None = None) -> Column:
+    """Memory items of the user that are active, not deleted, still valid, not highly sensitive, and of the asked kinds and scopes."""
+    tests = [F.col("status") == "ACTIVE", F.col("deleted_at").isNull(), F.col("valid_until").isNull() | (F.col("valid_until") > now), F.coalesce("sensitivity_level", F.lit("LOW")) != "HIGH"]
+    if user_id is not None:
+        tests.append(F.col("user_id") == user_id)
+    tests += [F.col(c).isin(v) for c, v in (("namespace", namespaces), ("memory_type", types)) if v]
+    if scopes is not None:
+        tests.append(scoped(scopes))
+    return reduce(lambda a, b: a & b, tests)

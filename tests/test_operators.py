@@ -36,7 +36,7 @@ def test_masks_and_frames(spark):
 def test_filters_drop_unknown_keys_and_empty_values():
     own, system, ignored = filters.plan({"lang": " en ", "source": ["", "a"], "x": 1, "userId": 7}, {"lang", "source"}, {"userId"})
     assert (own, system, ignored) == ({"lang": ["en"], "source": ["a"]}, {"userId": ["7"]}, ["x"])
-    assert filters.tenant_scope({"userId": "evil", "lang": "en"}, "me") == {"lang": "en", "userId": "me", "visibilityScope": "private"}
+    assert filters.tenant_scope({"userId": "evil", "lang": " en", "other": 1}, "me", {"lang", "userId"}) == {"lang": ["en"], "userId": ["me"], "visibilityScope": ["private"]}
 
 
 def test_metrics_with_repeats(spark):
