@@ -94,3 +94,21 @@ def frame_clusters(frames: DataFrame, gap: int = 180, near: float = 0.86, short:
         return pdf.assign(cluster=number)[["document_id", "frame", "cluster"]]
 
     return frames.groupBy("document_id").applyInPandas(run, "document_id long, frame long, cluster long")
+
+
+def merged_cues(cues: DataFrame, overlap: int = 2, back: int = 6) -> DataFrame:
+    """cues (document_id, start, end, text) in order without those that repeat one of the last `back` kept: equal or held
+    texts that start within max(2, overlap) seconds. Which were kept decides, so a document is folded in order.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "end", "text"])
+        kept: list[tuple] = []
+        for row in pdf.itertuples(index=False):
+            mine = (row.text or "").strip().lower()
+            near = (k for k in kept[-back:] if abs(k[1] - row.start) <= max(2, overlap))
+            if not any(mine and k[3] and (mine in k[3] or k[3] in mine) for k in near):
+                kept.append((row.document_id, row.start, max(row.start + 0.2, row.end), mine, row.text))
+        return pd.DataFrame([(k[0], n, k[1], k[2], k[4]) for n, k in enumerate(kept, 1)], columns=["document_id", "cue", "start", "end", "text"])
+
+    return cues.select("document_id", "start", "end", "text").groupBy("document_id").applyInPandas(fold, "document_id long, cue int, start double, end double, text string")

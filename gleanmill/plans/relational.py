@@ -42,9 +42,9 @@ def jn3(spark, d):
     return o.join(cards, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.when(F.col("v") == F.col("o_orderkey") % 3, F.col("n")), F.lit(-1)).alias("n_cards"))
 
 
-@query("jn4_anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("jn4_anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000)")
 def jn4(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 250000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("jn5_semi_join", "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R' and l_quantity > 45)")
@@ -138,18 +138,23 @@ def agg8(spark, d):
 
 
 @query("agg16_fingerprints", """
-select sha256(event_type || '|' || coalesce(regexp_replace(props, '[0-9]+', '{num}', 'g'), '')) as fingerprint, count(*)::bigint as occurrences, min(ts) as first_seen, max(ts) as last_seen, arg_min(event_id, (ts, event_id)) as sample from events where value > 50 group by 1""")
+select sha256(concat_ws('|', 'java', case when user_id % 2 = 0 then 'rag' else 'system' end, 'unknown', event_type, 'UNKNOWN', regexp_replace(coalesce(props, '') || ' ' || (1000 + event_id), '\\d{4,}', '{num}', 'g'), 'at m' || user_id % 3)) as fingerprint,
+  count(*)::bigint as occurrences, min(ts) as first_seen, max(ts) as last_seen, arg_min(event_id, (ts, event_id)) as sample from events group by 1""")
 def agg16(spark, d):
+    from ..functions import text as T
     from ..operators.logs import fingerprints
 
-    e = table(spark, d, "events").filter("value > 50")
-    key = F.concat_ws("|", "event_type", F.coalesce(F.regexp_replace("props", "[0-9]+", "{num}"), F.lit("")))
-    return fingerprints(e, key, "ts", "event_id")
+    message = T.masked_variables(F.concat(F.coalesce("props", F.lit("")), F.lit(" "), (1000 + F.col("event_id")).cast("string")))
+    frame = T.top_frame(F.concat(F.lit("boom\nat m"), F.col("user_id") % 3, F.lit("\nat z")), "gleanmill")
+    key = F.concat_ws("|", F.lit("java"), F.when(F.col("user_id") % 2 == 0, "rag").otherwise("system"), F.lit("unknown"), "event_type", F.lit("UNKNOWN"), message, frame)
+    return fingerprints(table(spark, d, "events"), key, "ts", "event_id")
 
 
 @query("agg20_percentiles", "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")
 def agg20(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    from ..operators.evaluation import percentiles
+
+    return percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("agg21_ab_summary", """
