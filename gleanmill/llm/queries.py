@@ -31,10 +31,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the shards and returns where each sequence lies, with the checksum of its bytes as read back."""
+    """Writes shards and index, and returns where each sequence lies, with the checksum of its bytes as read back from there."""
     out = slots.materialise(table(spark, sf_dir, "documents"))
-    rows = spark.read.parquet(out)
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "shard", "at", F.crc32("payload").alias("payload_crc32"))
+    return slots.read_index(spark, out).join(slots.checksums(spark, out), "slot").select("doc_id", "piece", "start", "length", "ids_crc32", "slot", "shard", "at", "payload_crc32")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

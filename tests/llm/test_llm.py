@@ -215,22 +215,28 @@ def test_feistel_is_a_permutation():
 
 def test_shards_round_trip(spark, odd, none, tmp_path):
     out = slots.materialise(odd, length=64, per_shard=16)
-    got = slots.read_slots(spark, out).collect()
-    assert [r["slot"] for r in got] == list(range(len(got)))
-    assert all(r["at"] == r["slot"] % 16 * 128 and r["shard"] == r["slot"] // 16 and len(r["payload"]) == 128 for r in got)
-    back = Counter()
-    for doc in {(r["doc_id"], r["start"]) for r in got if r["start"] == 0}:
-        back[doc[0]] += 1
+    index = slots.read_index(spark, out).orderBy("slot").collect()
+    shards = {r["shard"]: bytes(r["payload"]) for r in slots.read_shards(spark, out).collect()}
+    assert [r["slot"] for r in index] == list(range(len(index)))
+    assert all(r["at"] == r["slot"] % 16 * 128 and r["shard"] == r["slot"] // 16 for r in index)
+    assert sorted(shards) == list(range(-(-len(index) // 16))) and all(len(shards[k]) == 128 * min(16, len(index) - 16 * k) for k in shards)
     enc = tokens.encoder(tokens.default_path())
-    whole = {d: np.append(np.frombuffer(enc.ids(t or ""), np.uint32), 1) for d, t in docs_of(odd)}
-    for r in got:
-        ids = np.frombuffer(bytes(r["payload"]), "<u2")[: r["length"]].astype(np.uint32)
-        assert (ids == whole[r["doc_id"]][r["start"] : r["start"] + r["length"]]).all()
-    assert [r["slot"] for r in slots.read_slots(spark, out, 20, 30).collect()] == list(range(20, 30))
-    slots.write_files(spark, out, str(tmp_path / "bin")).collect()
-    files = sorted((tmp_path / "bin").glob("shard-*.bin"))
-    assert b"".join(f.read_bytes() for f in files) == b"".join(bytes(r["payload"]) for r in got)
-    assert slots.read_slots(spark, slots.materialise(none)).count() == 0
+    want = Counter()
+    for d, t in docs_of(odd):
+        ids = np.append(np.frombuffer(enc.ids(t or ""), np.uint32), np.uint32(1)).tolist()
+        want.update((d, s, tuple(ids[s : s + 64])) for s in range(0, len(ids), 64))
+    read = lambda r: tuple(np.frombuffer(shards[r["shard"]][r["at"] : r["at"] + 128], "<u2")[: r["length"]].tolist())
+    assert Counter((r["doc_id"], r["start"], read(r)) for r in index) == want
+    some = slots.read_slots(spark, out, 20, 30, 64, 16).collect()
+    assert [r["slot"] for r in some] == list(range(20, 30)) and all(bytes(r["payload"]) == shards[r["slot"] // 16][r["slot"] % 16 * 128 :][:128] for r in some)
+    sums = {r["slot"]: r["payload_crc32"] for r in slots.checksums(spark, out, 64, 16).collect()}
+    assert sums == {r["slot"]: zlib.crc32(shards[r["shard"]][r["at"] : r["at"] + 128]) for r in index}
+    folder = tmp_path / "bin"
+    for _ in range(2):  # again: all files are there
+        slots.write_files(spark, out, str(folder)).collect()
+        assert {f.name: f.read_bytes() for f in folder.iterdir()} == {f"shard-{k:08d}.bin": v for k, v in shards.items()}
+    empty = slots.materialise(none)
+    assert slots.read_index(spark, empty).count() == slots.read_slots(spark, empty).count() == 0
 
 
 def test_hosts(spark):
