@@ -16,6 +16,7 @@ one run: a rerun over other files may deal other indices.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,12 @@ from .common import shared_dir
 from .packing import pieces
 
 LENGTH = 2048
-SLOTS_PER_SHARD = 1024
+SLOTS_PER_SHARD = 256
 FEISTEL_ROUNDS = 6
 KEY = 0x5EED_2024
 BYTES_PER_ID = 2
 #: Bytes of the shards of a file, about: what a task holds of them when it reads.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 
 
 def _half_bits(n: int) -> int:
@@ -157,8 +158,15 @@ def read_slots(spark: SparkSession, out: str, first: int = 0, end: int | None =
 def checksums(spark: SparkSession, out: str, length: int = LENGTH, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """(slot, payload_crc32) as read back from the shards."""
     stride = BYTES_PER_ID * length
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1), lambda i: F.crc32(F.substring("payload", (i * stride + 1).cast("int"), F.lit(stride))))
-    return read_shards(spark, out).select("shard", F.posexplode(each).alias("k", "payload_crc32")).select((F.col("shard") * per_shard + F.col("k")).alias("slot"), "payload_crc32")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = memoryview(payload.as_buffer())
+                sums = [zlib.crc32(raw[s : s + stride]) for s in range(0, len(raw), stride)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)) + shard * per_shard), pa.array(sums, pa.int64())], names=["slot", "payload_crc32"])
+
+    return read_shards(spark, out).select("shard", "payload").mapInArrow(run, "slot long, payload_crc32 long")
 
 
 def write_files(spark: SparkSession, out: str, folder: str) -> DataFrame:
