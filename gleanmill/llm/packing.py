@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import bounded_batches, cut, only
 from .tokens import default_path, encoder
 
 CAPACITY = 4096
@@ -44,6 +44,7 @@ PLACED = f"{PIECES}, sequence_id long, offset long, fill long"
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row for each piece; with_ids adds its ids as little-endian unsigned 16-bit numbers (the vocabulary is below 65,536)."""
     path = path or default_path()
+    bounded_batches(docs.sparkSession)
     end = int(END_ID).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
