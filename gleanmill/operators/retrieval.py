@@ -1,7 +1,6 @@
-"""Retrieval over a batch of questions: postings, BM25, vectors, fusion, parents, reranking, diversity and the answer guard.
+"""Retrieval over a batch of questions: postings, BM25, vectors, fusion, parents, reranking and diversity.
 
-All questions of a batch run as one plan. Postings, statistics and question terms meet in equi-joins on the term;
-only the order-dependent diversity step is a group map, over the few candidates of one question.
+All questions of a batch run as one plan. Postings, statistics and question terms meet in equi-joins on the term.
 """
 
 from __future__ import annotations
@@ -117,15 +116,16 @@ def rrf(runs: DataFrame, key: str, k: int = 60) -> DataFrame:
     return runs.groupBy("query_id", key).agg(F.sum(1 / (F.lit(max(1, int(k))) + F.col("rank"))).alias("score"))
 
 
-def fuse(runs: DataFrame, key: str, settings: Fusion = Fusion()) -> DataFrame:
-    """Weighted fusion of runs (query_id, variant, source, weight, key, score, rank); variant 0 is the question itself.
-
-    Order: score down, best rank, key.
-    """
+def contributions(runs: DataFrame, settings: Fusion = Fusion()) -> DataFrame:
+    """What each hit of runs (query_id, variant, source, weight, score, rank, ...) gives its document; variant 0 is the question itself."""
     norm = scaled(F.col("score"), ["query_id", "variant", "source"], "positive")
     weight = F.col("weight") * F.when(F.col("variant") == 0, settings.original).otherwise(1.0)
-    part = weight / (settings.k + F.col("rank")) * (1 + settings.blend * norm)
-    fused = runs.withColumn("part", part).groupBy("query_id", key).agg(F.sum("part").alias("score"), F.min("rank").alias("best_rank"), F.sort_array(F.collect_set("source")).alias("sources"))
+    return runs.withColumn("contribution", weight / (settings.k + F.col("rank")) * (1 + settings.blend * norm))
+
+
+def fuse(runs: DataFrame, key: str, settings: Fusion = Fusion()) -> DataFrame:
+    """Weighted fusion of runs (query_id, variant, source, weight, key, score, rank). Order: score down, best rank, key."""
+    fused = contributions(runs, settings).withColumnRenamed("contribution", "part").groupBy("query_id", key).agg(F.sum("part").alias("score"), F.min("rank").alias("best_rank"), F.sort_array(F.collect_set("source")).alias("sources"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "best_rank", key))
     return fused.withColumn("rank", place)
 
