@@ -118,13 +118,13 @@ with s as (select o_custkey as document_id, o_orderkey % 6 as version, o_orderke
 l as (select document_id, arg_max(struct_pack(v := version, j := job, w := whole), version * 10 + job) as s from (select document_id, version, job, bool_and(whole) as whole from s group by all) group by 1),
 j as (select document_id, s, case when document_id % 3 > 0 then document_id % 7 end as v, document_id % 4 as j from l)
 select document_id, case when v is not null and s.v < v then 'reject_lower' when s.v = v and s.j = j then 'no_change' when not s.w then 'reject_incomplete' else 'replace' end as action,
-  case when not (v is not null and s.v < v) and not coalesce(s.v = v and s.j = j, false) and s.w then s.v else v end as version from j""")
+  case when not (v is not null and s.v < v) and not coalesce(s.v = v and s.j = j, false) and s.w then s.v else coalesce(v, -1) end as version from j""")
 def st8(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 6).alias("version"), (F.col("o_orderkey") % 4).alias("job_id"), (F.col("o_orderkey") % 10 > 0).alias("whole"))
     staged = o.groupBy("document_id", "version", "job_id").agg(F.lit(5).alias("expected"), F.when(F.bool_and("whole"), 5).otherwise(4).alias("found"))
     k = F.col("c_custkey")
     current = table(spark, d, "customer").filter(k % 3 > 0).select(k.alias("document_id"), (k % 7).alias("version"), (k % 4).alias("job_id"))
-    return index.promote(current, staged)
+    return index.promote(current, staged).withColumn("version", F.coalesce("version", F.lit(-1)))
 
 
 @query("src18_index_write", "select conv_id as document_id, count(*) as n, sum(length(case when conv_id % 3 = 0 then text || '!' else text end))::bigint as size from conversations where text is not null group by 1")
