@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
-It belongs to the subpackage of training-data operators and goes with it.
+It belongs to the subpackage of training-data operators and goes with it. All stages judge a row by its text: null and
+repeated ids are rows of their own, extra columns are kept (by all but the last) whatever their names, texts are read
+whole, and empty tables give empty tables. Null and empty texts have no language and go in the first stage; the later
+ones keep them, and packing makes them an end token.
 """
 
 from __future__ import annotations
@@ -15,22 +18,22 @@ from gleanmill.session import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents whose language is not told with confidence go."""
+    """Language ID: documents whose language is not told with confidence go; without any labelled text all do."""
     return langid.accepted(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near copies the least doc_id stays."""
+    """N-gram Jaccard join: of each group of near copies the least doc_id stays; of equal ids, or none, the least text. Texts without words stay."""
     return jaccard.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents with a passage of the benchmark go."""
+    """Benchmark decontamination: documents with a passage of the benchmark go, every copy of them; without a benchmark none does."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: personal data is masked in the text."""
+    """PII: personal data and secrets are masked in the text; n_chars follows. Null texts stay null."""
     return pii.redact(docs, pii.fit(docs))
 
 

@@ -535,5 +535,22 @@ def test_pipeline(spark):
     checked(c.run(spark, SF).toPandas(), masked, 4096)
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, none):
+    import corpus_pipeline as c
+
+    stages = dict(c.STAGES)
+    kept = {name: f(spark, odd, SF) for name, f in c.STAGES[:-1]}
+    assert all(df.columns == odd.columns for df in kept.values())
+    n = {name: df.count() for name, df in kept.items()}
+    texts = [t for _, t in docs_of(odd)]
+    _, root = near(dict(enumerate(texts)))
+    assert n["near_duplicates"] == len(set(root.values())) and n["decontaminate"] == n["personal_data"] == len(texts)
+    said = [t for _, t in docs_of(kept["language"])]
+    assert said and all(t and re.search(r"[^\W\d_]", t) for t in said)
+    assert Counter(docs_of(kept["personal_data"])) == Counter(docs_of(odd))
+    assert stages["packed"](spark, odd, SF).filter("start = 0").count() == len(texts)
+    assert [f(spark, none, SF).count() for _, f in c.STAGES] == [0] * 5
+
+
 def test_ops_are_registered():
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in queries.QUERIES)] == []
