@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, hosts, jaccard, langid, licences, packing, pii, rules, slots, suffixes
+from . import bpe, decontam, divergence, hosts, jaccard, langid, licences, packing, pii, rules, slots, suffixes, whitening
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +63,23 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_licence_scan, op3_quality_rules, op4_suffix_dedup, op5_token_shards, op6_url_filters, op7_benchmark_decontamination, op8_language_id, op9_pii, op10_best_fit_packing)
+    for f in (op1_ngram_jaccard, op2_licence_scan, op3_quality_rules, op4_suffix_dedup, op5_token_shards, op6_url_filters, op7_benchmark_decontamination, op8_language_id, op9_pii, op10_best_fit_packing, op11_source_divergence, op12_embedding_whitening, op13_bpe_round_trip)
 }
 
 _LETTERS = "[^\\x20\\x09-\\x0D]"
@@ -83,7 +97,26 @@ def _rule_sql(value: Callable[[str, str, str], str]) -> str:
     return " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{value(say, h, p)}'" for say, h, p in sorted(hosts.RULES, key=lambda r: (-len(r[1] + r[2]), r)))
 
 
+def _share_sql(n: str, total: str) -> str:
+    return f"(1 + (1000000000::hugeint * ({n} + 2)) // ({total} + 2 * v))"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_source_divergence": rf"""
+with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as n from t group by 1, 2 having count(distinct row) >= {divergence.LEAST_DOCS}),
+sizes as (select lang, coalesce(sum(n), 0) as total, count(n) as v from (select distinct lang from d) left join kept using (lang) group by 1),
+seen as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by 1, 2, 3),
+groups as (select lang, source, coalesce(sum(n), 0) as total from (select distinct lang, source from d) left join seen using (lang, source) group by 1, 2),
+grid as (select lang, source, term, coalesce(seen.n, 0) as n, {_share_sql("coalesce(seen.n, 0)", "groups.total")} as p, {_share_sql("kept.n", "sizes.total")} as q
+         from groups join kept using (lang) join sizes using (lang) left join seen using (lang, source, term)),
+met as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+parts as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join met on met.lang = a.lang and met.source = a.source and met.item = b.source
+    union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from grid where n > 0 and p > q)
+select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from parts
+qualify part = 'pair' or rank <= {divergence.TOP_TERMS}
+""",
     "op3_quality_rules": rf"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '{_LETTERS}+') as w,
