@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, evaluation, evidence, ingest, material, memory, parts, relational, requirements, retrieval, scoring, stateful, text, writes  # noqa: F401  they register themselves
+from . import cards, curation, evaluation, evidence, frames, ingest, material, memory, parts, relational, requirements, retrieval, scoring, stateful, text, writes  # noqa: F401  they register themselves
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "agg11_bm25_topk"
