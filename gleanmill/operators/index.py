@@ -16,24 +16,26 @@ SUMMARY = 260
 
 
 def _parts(text: pd.Series) -> pd.Series:
-    return pd.Series([[p.strip() for p in chunking.split(t or "") if p.strip()] for t in text])
+    return pd.Series([[{"text": c, "heading": h} for _, c, h in chunking.pieces(t or "")] for t in text])
 
 
-def block_chunks(blocks: DataFrame, default: str = "全文") -> DataFrame:
+def block_chunks(blocks: DataFrame, default: str = chunking.WHOLE) -> DataFrame:
     """blocks (document_id, place, block_type, section_title, text): chunks (document_id, position, chunk_id, section, block_type, text).
 
-    A section goes on until the next one; headings open one. Tables, images, charts, formulas and code stay whole,
-    other blocks are split. Empty blocks give no chunk and open no section.
+    A section goes on until the next one; titles, heading blocks and chunks whose first line is a heading open one.
+    Tables, images, charts, formulas and code stay whole and open none, other blocks are split. Empty blocks give no
+    chunk and open no section.
     """
     text = normalized(F.coalesce("text", F.lit("")))
-    heading = F.when(F.col("block_type") == "heading", F.nullif(F.regexp_replace("text", "^[# :：]+|[# :：]+$", ""), F.lit("")))
-    opened = F.coalesce(heading, F.nullif(F.col("section_title"), F.lit("")))
-    w = Window.partitionBy("document_id").orderBy("place")
-    kept = blocks.withColumn("text", text).filter("text <> ''").withColumn("section", F.coalesce(F.last(opened, ignorenulls=True).over(w), F.lit(default)))
-    parts = F.when(F.col("block_type").isin(*ATOMIC), F.array("text")).otherwise(F.pandas_udf(_parts, "array<string>")("text"))
-    each = kept.select("document_id", "place", "section", "block_type", F.posexplode(parts).alias("part", "text"))
-    position = (F.row_number().over(Window.partitionBy("document_id").orderBy("place", "part")) - 1).cast("long")
-    return each.withColumn("position", position).select("document_id", "position", F.concat_ws("-", "document_id", "position").alias("chunk_id"), "section", "block_type", "text")
+    block = F.when(F.col("block_type") == "heading", F.nullif(F.regexp_replace("text", "^[# :：]+|[# :：]+$", ""), F.lit("")))
+    opened = F.coalesce(block, F.nullif(F.col("section_title"), F.lit("")))
+    whole = F.array(F.struct(F.col("text"), F.lit(None).cast("string").alias("heading")))
+    parts = F.when(F.col("block_type").isin(*ATOMIC), whole).otherwise(F.pandas_udf(_parts, "array<struct<text:string,heading:string>>")("text"))
+    kept = blocks.withColumn("text", text).filter("text <> ''").select("document_id", "place", "block_type", opened.alias("opened"), F.posexplode(parts).alias("part", "p"))
+    w = Window.partitionBy("document_id").orderBy("place", "part")
+    opens = F.coalesce("p.heading", F.when(F.col("part") == 0, F.col("opened")))
+    each = kept.withColumn("section", F.coalesce(F.last(opens, ignorenulls=True).over(w), F.lit(default))).withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    return each.select("document_id", "position", F.concat_ws("-", "document_id", "position").alias("chunk_id"), "section", "block_type", "p.text")
 
 
 def parent_summaries(chunks: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ def test_block_chunks(spark):
     got = index.block_chunks(spark.createDataFrame(rows, "document_id long, place int, block_type string, section_title string, text string")).orderBy("document_id", "position").collect()
     one = [r for r in got if r["document_id"] == 1]
     assert [r["chunk_id"] for r in one] == [f"1-{k}" for k in range(len(one))]
-    assert [r["section"] for r in one][:4] == ["全文", "Raft", "Raft", "Own"] and one[-1]["section"] == "Own" and one[-1]["text"] == "after"
-    assert one[2]["text"] == long and all(len(r["text"]) <= 700 + 5 * 90 for r in one[3:]) and len(one) > 6
+    assert [r["section"] for r in one][:4] == ["全文", "Raft:", "Raft:", "Own"] and one[-1]["section"] == "Own" and one[-1]["text"] == "after"
+    assert one[2]["text"] == long and all(len(r["text"]) <= 700 + 90 for r in one[3:]) and len(one) > 6
     assert (got[-1]["section"], got[-1]["position"]) == ("全文", 0)
 
 

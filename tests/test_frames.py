@@ -10,7 +10,7 @@ from conftest import SF
 
 from gleanmill.operators import frames as V
 from gleanmill.plans.frames import _frames
-from gleanmill.plans.registry import QUERIES
+from gleanmill.plans.catalog import QUERIES
 
 SCHEMA = "video long, frame long, time long, pixels binary, h string, place long"
 
