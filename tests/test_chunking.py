@@ -98,4 +98,4 @@ def test_sections_are_carried(spark):
     assert got[0][:2] == (0, "Raft") and {s for _, s, _ in got} == {"Raft", "结论"}
     rows = [(1, 0, "text", None, "# Raft\nlog"), (1, 1, "code", None, "# no heading"), (1, 2, "text", "Titled", "plain"), (1, 3, "heading", None, "#: "), (1, 4, "text", None, "结论：\n完")]
     blocks = spark.createDataFrame(rows, "document_id long, place int, block_type string, section_title string, text string")
-    assert [r.section for r in index.block_chunks(blocks).orderBy("position").collect()] == ["Raft", "Raft", "Titled", "Titled", "结论"]
+    assert [r.section for r in index.block_chunks(blocks).orderBy("position").collect()] == ["Raft", "Raft", "Titled", "#", "结论"]
