@@ -91,13 +91,13 @@ class _Video:
     """What has to be kept of a video while its frames pass: its groups' hashes and grids, the last event and the slide."""
 
     def __init__(self, video: int):
-        self.video, self.slide, self.hashes, self.grids, self.last, self.at = video, 0, [], [], None, 0
+        self.video, self.slide, self.hashes, self.grids, self.last, self.at = video, 0, np.zeros(64, np.int64), [], None, 0
 
     def event(self, frame: int, time: int, grid: np.ndarray, value: int, keep: int) -> tuple | None:
         if self.last is None:
             self.slide = 1
             return self._told(frame, time, grid, value, "initial_slide", None, None, 1)
-        near = np.bitwise_count((np.array(self.hashes) ^ value).view(np.uint64))
+        near = np.bitwise_count((self.hashes[: len(self.grids)] ^ value).view(np.uint64))
         group = int(near.argmin())
         distance, diff, moved = int(near[group]), _difference(self.grids[group], grid), _difference(self.last, grid)
         if distance <= NEAR and diff <= SAME:
@@ -109,15 +109,17 @@ class _Video:
         return self._told(frame, time, grid, value, "ppt_flip" if flip else "interval" if due else "new_visual", None, distance, self.slide)
 
     def _told(self, frame, time, grid, value, trigger, suspect, distance, slide) -> tuple:
-        self.hashes.append(value)
-        self.grids.append(grid)
+        if len(self.grids) == len(self.hashes):
+            self.hashes = np.append(self.hashes, np.zeros_like(self.hashes))
+        self.hashes[len(self.grids)] = value
+        self.grids.append(grid.astype(np.uint8))
         self.last, self.at = grid, time
-        return (self.video, frame, time, trigger, len(self.hashes), suspect, slide, distance, True)
+        return (self.video, frame, time, trigger, len(self.grids), suspect, slide, distance, True)
 
 
 def _difference(a: np.ndarray, b: np.ndarray) -> float:
     """Mean absolute difference of grey values, of 1."""
-    return round(float(np.abs(a - b).mean()) / 255.0, 6)
+    return round(float(np.abs(a.astype(np.int16) - b).mean()) / 255.0, 6)
 
 
 def visual_events(frames: DataFrame, keep_seconds: int = 30) -> DataFrame:
