@@ -82,18 +82,16 @@ def kept(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], *inputs: C
 
 
 def least_by_hash(rows: DataFrame, salt: str, n: int) -> list[str]:
-    """The texts of the n rows (doc_id, text) with the least hash of their id, or all if there are fewer.
+    """The texts of the n different rows (doc_id, text) with the least hash of both, or all if there are fewer.
 
-    The rows are counted first and a bound on the hash lets about 2 n + 100 of them through, so that what reaches
-    the driver does not grow with the number of tasks.
+    The n-th least hash is found first, over hashes alone; the texts up to it are read then. Repeated rows have one hash and
+    count once, and rows that share an id, or have none, are told apart by their texts, so no table with a row gives an empty sample.
     """
-    total = rows.count()
-    if not total:
+    hashed = rows.select("text", F.xxhash64("doc_id", "text", F.lit(salt)).alias("h"))
+    bound = hashed.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if bound is None:
         return []
-    share = min(1.0, (2 * n + 100) / total)
-    h = F.xxhash64("doc_id", F.lit(salt))
-    few = rows.filter(F.shiftrightunsigned(h, 1) <= int(share * ((1 << 63) - 1024))) if share < 1 else rows
-    return [r["text"] for r in few.select("text", F.shiftrightunsigned(h, 1).alias("h")).orderBy("h", "text").limit(n).collect()]
+    return [r["text"] for r in hashed.filter(F.col("h") <= bound).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,9 @@
 
 Texts are lower-cased and cut into words at white space; a document is the set of its n-grams of words (a text shorter
 than n words: the one n-gram of all its words). Documents with equal sets form one class of copies, of which one goes
-on. Classes that share a band of MinHash values are candidates and meet in the bucket of that band. Where buckets chain
-into a group of few blocks, the group is verified at once and each set is shipped once for each block; a larger group is
+on. Classes that share a band of MinHash values are candidates and meet in the bucket of that band; pairs without a
+shared band are never linked, however they meet. Where buckets chain into a group of few blocks, the group is verified
+at once and each set is shipped once for each block; a larger group is
 verified bucket by bucket, where a pair counts in the first band that it shares, and a bucket whose members all share
 an earlier band is left out. A bucket of any size is dealt to blocks of a bounded number of n-grams, each pair of blocks
 in a task of its own, so no pair is ever a row and a set is shipped as often as its bucket has blocks.
@@ -182,7 +183,8 @@ def _tiles(of: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
 def compare(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, pair: tuple[int, int], threshold: float, bands: np.ndarray | None = None, band: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(links of each set counted in documents, number of the least set that it reaches) for the pairs between two blocks.
 
-    With bands (a row of band keys for each set), pairs that share a band before `band` are left to that band.
+    With bands (a row of band keys for each set), only pairs that share a band count: any band if `band` is negative, else
+    those that share no band before `band`, which the bucket of that band has.
     """
     size, links, joined = np.array([*map(len, sets)], np.float64), np.zeros(len(sets), np.int64), []
     tiles_a, tiles_b = (_tiles(np.flatnonzero(block == p), size) for p in pair)
@@ -194,6 +196,8 @@ def compare(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, pair:
             near = (shared > 0) & (shared >= threshold * (size[i][:, None] + size[j][None, :] - shared) - 1e-6)
             for k in range(band if bands is not None else 0):
                 near &= bands[i, k][:, None] != bands[j, k][None, :]
+            if bands is not None and band < 0 and near.any():
+                near &= reduce(np.logical_or, [a[:, None] == b[None, :] for a, b in zip(bands[i].T, bands[j].T, strict=True)])
             same = pair[0] == pair[1] and start == low
             if same:
                 np.fill_diagonal(near, False)
@@ -215,7 +219,7 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
             if len(held) > 1:
                 node, raw, copies, bands, block = zip(*held, strict=True)
                 node, band = np.array(node), key[1]
-                links, root = compare([np.frombuffer(x, U64) for x in raw], np.array(block), np.array(copies), key[2:], threshold, None if band < 0 else np.array(bands), band)
+                links, root = compare([np.frombuffer(x, U64) for x in raw], np.array(block), np.array(copies), key[2:], threshold, np.array(bands), band)
                 some = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[root][some])], names=["node", "links", "root"])
 
@@ -270,7 +274,7 @@ def _joined(texts: DataFrame, n: int, threshold: float, recall: float) -> DataFr
     nodes = cut(first.withColumnRenamed("doc_id", "node").join(banded.select("node").distinct(), "node", "left_semi").select("node", "n_grams", "n_copies", "bands"), "nodes")
     members = nodes.select("node", "n_copies", "bands").join(_units(banded, nodes.select("node", "n_grams", "bands"), bands), "node")
     sets = _sets(members.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "text", "n_copies", "bands", "units"), n)
-    spread = sets.select("node", "grams", "n_copies", "bands", F.explode("units").alias("u")).select("node", "grams", "n_copies", F.when(F.col("u.band") >= 0, F.col("bands")).alias("bands"), "u.unit", "u.band", "u.blocks")
+    spread = sets.select("node", "grams", "n_copies", "bands", F.explode("units").alias("u")).select("node", "grams", "n_copies", "bands", "u.unit", "u.band", "u.blocks")
     spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("node", "grams", "n_copies", "bands", "unit", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block")
     keys = ["unit", "band", "bi", "bj"]

@@ -3,7 +3,8 @@
 A text is the mean of the embeddings of its byte n-grams, hashed into a fixed number of buckets; a linear layer
 and a softmax give the languages. Training is plain stochastic gradient descent in numpy on the driver, over a
 bounded sample: at most MAX_PER_LANG texts of each language, of at most MAX_BYTES each and chosen by a hash of
-their id, cut into pieces of PIECE bytes. Held-out pieces of the sample calibrate the temperature and the
+id and text, cut into pieces of PIECE bytes (a last piece below LEAST_PIECE bytes is left out unless it is the whole text),
+of which MAX_PIECES of a language at most, chosen by a seeded shuffle, are learned. Held-out pieces of the sample calibrate the temperature and the
 rejection limit. As the model is linear, prediction needs one table of logits for each bucket.
 
 Null texts and texts without a letter are `und` with score 0 and rejected. A text with a letter but no n-gram (one
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, chunks, kept, mix, only
@@ -32,6 +33,7 @@ PIECE = 240
 MAX_PER_LANG = 300
 MAX_BYTES = 20_000
 MAX_PIECES = 3000
+LEAST_PIECE = 20
 EPOCHS = 4
 #: A text is rejected below the score that this share of held-out right answers stays above, or below FLOOR.
 KEEP = 0.999
@@ -69,7 +71,7 @@ def _examples(texts: list[str]) -> list[np.ndarray]:
     for t in texts:
         raw = np.frombuffer(t.lower().encode(), np.uint8)
         for s in range(0, len(raw), PIECE):
-            if len(piece := raw[s : s + PIECE]) >= 20 or s == 0 and len(piece):
+            if len(piece := raw[s : s + PIECE]) >= LEAST_PIECE or s == 0 and len(piece):
                 f, _ = features(piece, np.array([0, len(piece)]))
                 out.append(f[f >= 0])
     return out
@@ -134,17 +136,18 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most MAX_PER_LANG labelled texts of each language, chosen by a hash of their id."""
+    """The MAX_PER_LANG labelled texts of each language with the least hash of id and text, or all if there are fewer.
+
+    Repeated rows have one hash and count once. The bound of each language is found first, over hashes alone, so what is
+    collected is bounded by the languages, and a language with a text always gives one.
+    """
     known = only(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= MAX_BYTES))
-    counts = known.groupBy("lang").count()
-    pick = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30))
-    # About 1.5 MAX_PER_LANG rows of a language pass the bound on the hash, so what is ranked and collected is bounded.
-    passed = known.join(F.broadcast(counts), "lang").filter(pick <= F.least(F.lit(1.0), 1.5 * MAX_PER_LANG / F.col("count")) * (1 << 30))
-    rows = passed.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("langid")).alias("h")).collect()
-    out = []
-    for lang in sorted({r["lang"] for r in rows}):
-        out += [(r["text"], lang) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:MAX_PER_LANG]]
-    return out
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("langid")).alias("h"))
+    # Each task keeps the first rows of a language before the shuffle, as the plan limits a filtered row number early.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    bounds = hashed.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= MAX_PER_LANG).groupBy("lang").agg(F.max("h").alias("bound"))
+    rows = hashed.join(bounds, "lang").filter("h <= bound").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
 def fit(docs: DataFrame) -> Model | None:

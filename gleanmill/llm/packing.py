@@ -4,11 +4,12 @@ Each document is its token ids and an end token; only longer ones are cut, into
 are dealt to groups of bounded size. A group starts from best fit in the order of the table; a swap-based local search
 then moves one or two pieces, or exchanges one for one, one for two or two for one between any two underfull
 sequences, whenever this raises the sum of squared fill, until a full pass over them finds no gain; sequences that
-empty go. Those that stay underfull in their group are packed again, together, in further rounds, until they fit into
-one group or a round fills hardly any more of them.
+empty go. The pieces of those that stay underfull in their group are dealt anew and packed again, in further rounds,
+until they fit into one group or a round gives no fewer sequences, whose packing is then left for the one before.
 
-A null or empty text is the end token alone. Rows with the same doc_id, or none, are packed each on its own. Ties are
-broken by doc_id, piece and checksum, so a rerun gives the same packing. An empty table gives no rows. Columns
+A null or empty text is the end token alone. Rows with the same doc_id, or none, are packed each on its own. A piece is
+dealt by a hash of its row's place in the table of pieces too, so that groups keep their size where rows repeat; in a
+group, ties are broken by doc_id, piece and checksum. A rerun over the same files gives the same packing. An empty table gives no rows. Columns
 besides doc_id and text are ignored.
 """
 
@@ -32,10 +33,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a group: what one task packs.
 GROUP = 2_000
-#: A sequence at least so full is not packed again.
-FULL = 0.995
-#: Rounds go on while the pieces in underfull sequences fall below this share of those of the round before.
-WORTH = 0.9
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long, fill long"
@@ -211,7 +208,7 @@ def pack_group(pdf: pd.DataFrame, capacity: int, group: int) -> pd.DataFrame:
 
 
 def _round(rows: DataFrame, number: int, groups: int, capacity: int) -> DataFrame:
-    key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(number)), F.lit(groups)).cast("int")
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)).cast("int")
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pack_group(pdf, capacity, number << 30 | int(k[0]))
@@ -221,18 +218,22 @@ def _round(rows: DataFrame, number: int, groups: int, capacity: int) -> DataFram
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    rest, parts = cut(pieces(docs, path, capacity), "pieces"), []
+    rest, parts, underfull, before = cut(pieces(docs, path, capacity), "pieces"), [], None, None
     left = rest.count()
     for number in count():
         groups = max(1, -(-left // group))
         placed = cut(_round(rest, number, groups, capacity), "packed")
-        enough = F.col("fill") >= int(FULL * capacity)
-        rest = placed.filter(~enough).drop("sequence_id", "offset", "fill")
-        before, left = left, rest.count() if groups > 1 else 0
-        if not left or left > WORTH * before:
-            parts.append(placed.drop("fill"))
+        begins, is_full = F.col("offset") == 0, F.col("fill") == capacity
+        now, still, left = placed.agg(F.count_if(begins), F.count_if(begins & ~is_full), F.count_if(~is_full)).first()
+        if before is not None and now >= before:
+            parts.append(underfull)
             break
-        parts.append(placed.filter(enough).drop("fill"))
+        underfull, before = placed.filter(~is_full).drop("fill"), still
+        parts.append(placed.filter(is_full).drop("fill"))
+        if not left or groups == 1:
+            parts.append(underfull)
+            break
+        rest = underfull.drop("sequence_id", "offset")
     done = parts[0]
     for part in parts[1:]:
         done = done.unionByName(part)

@@ -95,6 +95,20 @@ def test_jaccard_recall_of_a_query_set(spark):
     assert want > 5 and found >= 0.99 * want
 
 
+def test_jaccard_links_are_the_same_in_groups_and_in_buckets(spark, monkeypatch):
+    r, rows = random.Random(11), []
+    for chain in range(20):  # each text is its predecessor with a few more edits, so a chain has near, far and borderline pairs
+        w = prose(70, 500 + chain).split()
+        for k in range(12):
+            rows.append((chain * 100 + k, " ".join(w)))
+            w[r.randrange(70)] = f"edit{chain}x{k}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: sorted(tuple(r) for r in jaccard.jaccard_join(docs, threshold=0.7, recall=0.9).collect())
+    together = found()
+    monkeypatch.setattr(jaccard, "SMALL_BLOCKS", 0)
+    assert found() == together and sum(r[2] for r in together) > 300
+
+
 def test_jaccard_empty(none):
     assert jaccard.jaccard_join(none).count() == 0
     assert jaccard.keep_one(none).count() == 0
@@ -497,6 +511,52 @@ def test_null_and_repeated_ids_are_judged_by_their_own_text(spark):
     assert langid.accepted(known.withColumn("doc_id", F.lit(None).cast("long")), model).count() == want > 0
 
 
+@pytest.mark.parametrize("key", [None, 1, 2, 7, 11, 13])
+def test_samples_of_tables_with_one_id(spark, key):
+    from gleanmill.llm import common
+
+    rows = spark.range(20_000).select(F.lit(key).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5000).alias("text"), F.lit("en").alias("lang"))
+    for salt in ("pii", "licences"):
+        some = common.least_by_hash(rows, salt, 300)
+        assert len(some) == len(set(some)) == 300
+        assert common.least_by_hash(rows.withColumn("text", F.lit("one text")), salt, 300) == ["one text"]
+        assert common.least_by_hash(rows.limit(0), salt, 300) == []
+    assert len({t for t, _ in langid.sample(rows)}) == langid.MAX_PER_LANG
+    few = langid.sample(rows.withColumn("text", F.lit("one text")).unionByName(spark.createDataFrame([(1, "ein text", "de"), (2, "1 2 3", "xx")], "doc_id long, text string, lang string")))
+    assert few == [("ein text", "de"), ("one text", "en")]
+
+
+def test_fits_on_equal_rows_keep_the_table(spark):
+    docs = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(prose(30, 77)).alias("text"), F.lit("en").alias("lang"))
+    assert langid.accepted(docs, langid.fit(docs)).count() == 20_000
+    assert pii.fit(docs.withColumn("text", F.lit("call +49 170 1234567 now"))) is not None
+
+
+def test_groups_of_pieces_stay_small_where_rows_repeat(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    whole = packing.pack_group
+
+    def watched(pdf, capacity, group):
+        if len(pdf) > 3 * 500:
+            sizes.add(1)
+        return whole(pdf, capacity, group)
+
+    monkeypatch.setattr(packing, "pack_group", watched)
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(prose(9, 5)).alias("text"))
+    packed = packing.pack(docs, capacity=64, group=500).toPandas()
+    assert len(packed) == 4000 and sizes.value == 0
+    per = 64 // packed.length.iloc[0]
+    assert packed.sequence_id.nunique() <= -(-4000 // per) + 4000 // 500  # a group of an odd number leaves one alone
+
+
+def test_rounds_go_on_until_none_gives_fewer_sequences(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    least = lambda packed: -(-packed.length.sum() // 4096)
+    packed = packing.pack(docs, group=40).toPandas()  # small groups leave many underfull sequences
+    assert packed.sequence_id.nunique() <= least(packed) + 1
+    checked(packed, docs_of(docs), 4096)
+
+
 def gains(bins, lengths, capacity):
     """Whether any move or exchange of up to two for one raises the sum of squares, by trying all."""
     groups = lambda b: [(), *((i,) for i in b), *itertools.combinations(b, 2)]
