@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,10 @@ SECTIONS = (
 )
 NEED_EVIDENCE = ("work_experience", "project_experience", "skills", "research")
 
+#: Triggers whose frames no group's quota holds back; shares and lengths of near texts.
+FREE_OF_QUOTA = ("ambiguous_visual", "visual_verification")
+NEAR_PAIRS, HELD_LETTERS = 0.88, 10
+
 
 def cleaned(text: Column) -> Column:
     """The text without added lines, time codes, slogans and subtitle credits; empty if only letters of credits are left."""
@@ -133,49 +139,62 @@ def decoded(content: Column) -> Column:
     return F.coalesce(F.regexp_replace(plain, "^﻿", ""), F.pandas_udf(_decoded, "string")(F.when(plain.isNull(), content)))
 
 
+def _dealt(pdf: pd.DataFrame, budget: int, min_interval: int, per_group: int) -> np.ndarray:
+    """Which frames of a video are taken; pdf is in order of bucket and place in it, the first initial frame has no bucket."""
+    second, initial = pdf["second"].to_numpy(), (pdf["trigger"] == "initial_slide").to_numpy()
+    group = pd.factorize(pdf["quota_group"])[0]
+    taken, blocked, spent = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool), np.zeros(len(pdf) + 1, int)
+
+    def take(i: int) -> None:
+        taken[i] = True
+        blocked[~initial & (np.abs(second - second[i]) < min_interval)] = True
+        if group[i] >= 0:
+            spent[group[i]] += 1
+            blocked[(group == group[i]) & (spent[group[i]] >= per_group)] = True
+
+    bucket = pdf["bucket"].to_numpy()
+    if len(bucket) and bucket[0] < 0:
+        take(0)
+    dealt = np.flatnonzero(bucket >= 0)
+    head = dealt[np.unique(bucket[dealt], return_index=True)[1]]  # of each bucket the first frame not yet seen
+    stop = np.append(head[1:], len(pdf))[: len(head)]
+    gave = True
+    while gave and (left := budget - int(taken.sum())) > 0 and len(filled := np.flatnonzero(head < stop)):
+        gave = False
+        if len(filled) > left:
+            filled = filled[[len(filled) // 2]] if left == 1 else filled[np.unique(np.rint(np.arange(left) * (len(filled) - 1) / (left - 1)).astype(int))]
+        for b in filled:
+            fit = head[b] + np.flatnonzero(~blocked[head[b] : stop[b]])
+            head[b] = fit[0] + 1 if len(fit) else stop[b]
+            if len(fit):
+                take(fit[0])
+                gave = True
+    return taken
+
+
 def frame_budget(frames: DataFrame, budget: int, min_interval: int = 2, per_group: int = 1) -> DataFrame:
-    """frames (video_id, frame, second, group_id, trigger, priority): at most `budget` of each video.
+    """frames (video_id, frame, second, group_id, trigger, priority): at most `budget` of each video, and always its first initial frame.
 
-    The first initial frame is taken; the rest is dealt to time buckets of ceil(span / budget) seconds, and buckets give in
-    turn the frame nearest to their middle that keeps the interval and its group's quota. What was taken decides what may follow, so a video is folded in order.
+    The others are ranked in time buckets of ceil(span / budget) seconds by their distance to the bucket's middle, then by
+    priority, second and frame. In each round every bucket, or an even choice of them if fewer may be taken, gives its
+    first frame that no taken one blocks: other than initial frames, those nearer than min_interval seconds; other than
+    doubtful ones, those of a group that has given per_group. Buckets and ranks are windows of one shuffle by video; what
+    was taken decides what may follow, so the choice itself runs over one video's ranked frames at a time.
     """
+    video = Window.partitionBy("video_id")
+    width = F.greatest(F.lit(1), F.ceil((F.max("second").over(video) - F.min("second").over(video) + 1) / max(1, budget)))
+    initial = F.col("trigger") == "initial_slide"
+    opening = initial & (F.row_number().over(video.orderBy(F.desc(initial), "second", "frame")) == 1)
+    f = frames.select("video_id", "frame", "second", "trigger", "priority", F.when((F.col("group_id") != "") & ~F.col("trigger").isin(*FREE_OF_QUOTA), F.col("group_id")).alias("quota_group"), width.alias("width"), opening.alias("opening"))
+    f = f.withColumn("bucket", F.when(F.col("opening"), -1).otherwise(F.floor(F.col("second") / F.col("width"))))
+    off = F.abs(F.col("second") - (F.col("bucket") + 0.5) * F.col("width"))
+    f = f.withColumn("place", F.row_number().over(Window.partitionBy("video_id", "bucket").orderBy(off, F.desc("priority"), "second", "frame")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["second", "frame"]).itertuples(index=False))
-        free = lambda r: r.trigger in ("ambiguous_visual", "visual_verification")
-        taken = [r for r in rows if r.trigger == "initial_slide"][:1]
-        width = max(1, -(-(rows[-1].second - rows[0].second + 1) // max(1, budget)))
-        buckets: dict[int, list] = {}
-        for r in rows:
-            if not taken or r.frame != taken[0].frame:
-                buckets.setdefault(r.second // width, []).append(r)
-        for b, own in buckets.items():
-            own.sort(key=lambda r, mid=b * width + width / 2: (abs(r.second - mid), -r.priority, r.second, r.frame))
-        used: dict[str, int] = {}
-        for r in taken:
-            if r.group_id and not free(r):
-                used[r.group_id] = used.get(r.group_id, 0) + 1
-        moved = True
-        while moved and buckets and len(taken) < budget:
-            moved, keys, left = False, sorted(buckets), budget - len(taken)
-            if len(keys) > left:
-                keys = [keys[len(keys) // 2]] if left == 1 else [keys[i] for i in sorted({round(i * (len(keys) - 1) / (left - 1)) for i in range(left)})]
-            for b in keys:
-                while buckets[b] and len(taken) < budget:
-                    r = buckets[b].pop(0)
-                    near = r.trigger != "initial_slide" and any(abs(r.second - t.second) < min_interval for t in taken)
-                    if near or (r.group_id and not free(r) and used.get(r.group_id, 0) >= per_group):
-                        continue
-                    taken.append(r)
-                    moved = True
-                    if r.group_id and not free(r):
-                        used[r.group_id] = used.get(r.group_id, 0) + 1
-                    break
-                if not buckets[b]:
-                    del buckets[b]
-        return pd.DataFrame([(r.video_id, r.frame, r.second) for r in sorted(taken, key=lambda r: (r.second, r.frame))], columns=["video_id", "frame", "second"])
-
-    return frames.select("video_id", "frame", "second", "group_id", "trigger", "priority").groupBy("video_id").applyInPandas(fold, "video_id long, frame long, second long")
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "place"], ignore_index=True)
+        return pdf.loc[_dealt(pdf, budget, min_interval, per_group), ["video_id", "frame", "second"]]
+
+    return f.select("video_id", "frame", "second", "trigger", "quota_group", "bucket", "place").groupBy("video_id").applyInPandas(choose, "video_id long, frame long, second long")
 
 
 def visual_ranges(selected: DataFrame, others: DataFrame) -> DataFrame:
@@ -186,23 +205,71 @@ def visual_ranges(selected: DataFrame, others: DataFrame) -> DataFrame:
     return met.select("video_id", "frame", "second", "group_id", F.coalesce(F.when(F.col("_first"), F.col("times")), F.array().cast("array<string>")).alias("times"))
 
 
+def _alike(sets: DataFrame, least: float) -> DataFrame:
+    """sets (document_id, at, n, pairs) that may have a share of `least` in common: (document_id, at, later), repeats among them.
+
+    Two such sets differ in at most (1 - least) / least * n elements, n the smaller number. Dealt by a hash to one part more
+    than that, they agree in a whole part, so sets are joined by the fingerprint of a part. Sizes go by classes that grow by
+    1 / least: the parts follow from the class of the smaller set, so each set is dealt for its own class and the one below.
+    """
+    own = F.ceil(F.log("n") / -math.log(least) - 1e-9)
+    parts = (F.floor((1 - least) / least * F.pow(F.lit(1 / least), F.col("level")) + 1e-6) + 1).cast("long")
+    dealt = sets.select("document_id", "at", "n", "pairs", own.alias("own"), F.explode(F.array(own, own - 1)).alias("level")).filter("level >= 0").withColumn("k", parts)
+    some = F.transform("pairs", lambda x: F.struct(F.pmod(F.xxhash64(x), F.col("k")).alias("part"), F.xxhash64(x, F.lit(1)).alias("h")))
+    none = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.struct(j.alias("part"), F.lit(0).cast("long").alias("h")))
+    each = dealt.select("document_id", "at", "n", "level", (F.col("own") == F.col("level")).alias("mine"), F.explode(F.concat(some, none)).alias("x"))
+    marks = each.groupBy("document_id", "at", "n", "level", "mine", "x.part").agg(F.bit_xor("x.h").alias("mark"))
+    other = marks.select("document_id", "level", "part", "mark", F.col("at").alias("later"), F.col("n").alias("m"), F.col("mine").alias("its"))
+    met = marks.join(other, ["document_id", "level", "part", "mark"]).filter((F.col("at") < F.col("later")) & (F.col("mine") | F.col("its")))
+    return met.filter(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9).select("document_id", "at", "later")
+
+
+def _holding(texts: DataFrame, held: int) -> DataFrame:
+    """texts (document_id, at, key) of which one may hold the other: the longer has that run of `held` letters of the shorter that fewest texts of the document have."""
+    runs = texts.filter(F.length("key") >= held).select("document_id", "at", F.explode(_grams(F.col("key"), held)).alias("run"))
+    met = runs.groupBy("document_id", "run").agg(F.count("*").alias("n"))
+    anchor = runs.join(met, ["document_id", "run"]).groupBy("document_id", "at").agg(F.min(F.struct("n", "run")).alias("x")).select("document_id", "at", "x.run")
+    both = anchor.join(runs.withColumnRenamed("at", "later"), ["document_id", "run"]).filter(F.col("at") != F.col("later"))
+    return both.select("document_id", F.least("at", "later").alias("at"), F.greatest("at", "later").alias("later"))
+
+
+def _grams(text: Column, width: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(text, i, width)))
+
+
+def near_pairs(texts: DataFrame, least: float = NEAR_PAIRS, held: int = HELD_LETTERS) -> DataFrame:
+    """texts (document_id, at, key; at orders a document's texts and names them, keys have two letters or more): (document_id, at, later) of the near ones, each pair once.
+
+    Near is a text held in another, from `held` letters, or a share of `least` of both texts' character pairs in common.
+    Two joins find what may be near, and exact sets and texts decide.
+    """
+    whole = texts.select("document_id", "at", "key", _grams(F.col("key"), 2).alias("pairs"))
+    met = _alike(whole.withColumn("n", F.size("pairs")), least).unionByName(_holding(texts, held)).distinct()
+    both = met.join(whole, ["document_id", "at"]).join(whole.select("document_id", F.col("at").alias("later"), F.col("key").alias("other"), F.col("pairs").alias("others")), ["document_id", "later"])
+    shared = F.size(F.array_intersect("pairs", "others"))
+    is_held = (F.least(F.length("key"), F.length("other")) >= held) & (F.contains("key", "other") | F.contains("other", "key"))
+    return both.filter(is_held | (shared / (F.size("pairs") + F.size("others") - shared) >= least)).select("document_id", "at", "later")
+
+
 def without_near_candidates(candidates: DataFrame) -> DataFrame:
-    """candidates (document_id, start, end, text) in order without those near one kept before: held in it (from 10 characters),
-    or with 0.88 of their character pairs in common. Which were kept decides, so a document is folded in order."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for r in pdf.sort_values(["start", "end"]).itertuples(index=False):
-            pairs = {r.key[i : i + 2] for i in range(len(r.key) - 1)}
-            near = False
-            for other, own, _ in kept:
-                short, long = sorted((r.key, other), key=len)
-                if r.key and other and ((len(short) >= 10 and short in long) or (pairs and own and len(pairs & own) / len(pairs | own) >= 0.88)):
-                    near = True
-                    break
-            if not near:
-                kept.append((r.key, pairs, r))
-        return pd.DataFrame([(r.document_id, r.start, r.end) for *_, r in kept], columns=["document_id", "start", "end"])
+    """candidates (document_id, start, end, text) in order of start, end and letters, without those near a kept one before.
 
+    Of equal texts the first counts; a text of less than two letters is near none. Near texts are found by a join, and only
+    those of a document that are near any other go to the pass that decides in order which of them are dropped.
+    """
     keyed = candidates.select("document_id", "start", "end", dedupe_key(F.coalesce("text", F.lit(""))).alias("key"))
-    return keyed.groupBy("document_id").applyInPandas(fold, "document_id long, start long, end long")
+    firsts = keyed.filter(F.length("key") >= 2).groupBy("document_id", "key").agg(F.min(F.struct("start", "end")).alias("_s"))
+    firsts = firsts.select("document_id", F.struct("_s.start", "_s.end", F.xxhash64("key").alias("h")).alias("at"), "key")
+    near = near_pairs(firsts).select("document_id", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("at", "later") for c in ("start", "end", "h")])
+
+    def dropped(pdf: pd.DataFrame) -> pd.DataFrame:
+        later = ["later_start", "later_end", "later_h"]
+        gone: set[tuple] = set()
+        for node, before in pdf.sort_values(later).groupby(later, sort=True):
+            if not gone.issuperset(zip(before["at_start"], before["at_end"], before["at_h"], strict=True)):
+                gone.add(node)
+        return pd.DataFrame([(pdf["document_id"].iloc[0], *n) for n in gone], columns=["document_id", "start", "end", "h"])
+
+    out = near.groupBy("document_id").applyInPandas(dropped, "document_id long, start long, end long, h long")
+    named = firsts.select("document_id", "at.*").join(out, ["document_id", "start", "end", "h"], "left_anti").select("document_id", "start", "end")
+    return named.unionByName(keyed.filter(F.length("key") < 2).select("document_id", "start", "end"))

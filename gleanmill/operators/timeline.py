@@ -98,17 +98,17 @@ def frame_clusters(frames: DataFrame, gap: int = 180, near: float = 0.86, short:
 
 def merged_cues(cues: DataFrame, overlap: int = 2, back: int = 6) -> DataFrame:
     """cues (document_id, start, end, text) in order without those that repeat one of the last `back` kept: equal or held
-    texts that start within max(2, overlap) seconds. Which were kept decides, so a document is folded in order.
+    texts that start within max(2, overlap) seconds. Cues go by start, end and text (null first); a null or blank text
+    repeats nothing. Which were kept decides, so a document's cues are one array, folded natively; a cue lasts 0.2 seconds or more.
     """
+    said = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", ""))
+    cue = F.struct("start", "end", "text", said.alias("said"))
+    in_order = cues.groupBy("document_id").agg(F.array_sort(F.collect_list(cue)).alias("cues"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "text"])
-        kept: list[tuple] = []
-        for row in pdf.itertuples(index=False):
-            mine = (row.text or "").strip().lower()
-            near = (k for k in kept[-back:] if abs(k[1] - row.start) <= max(2, overlap))
-            if not any(mine and k[3] and (mine in k[3] or k[3] in mine) for k in near):
-                kept.append((row.document_id, row.start, max(row.start + 0.2, row.end), mine, row.text))
-        return pd.DataFrame([(k[0], n, k[1], k[2], k[4]) for n, k in enumerate(kept, 1)], columns=["document_id", "cue", "start", "end", "text"])
-
-    return cues.select("document_id", "start", "end", "text").groupBy("document_id").applyInPandas(fold, "document_id long, cue int, start double, end double, text string")
+    def step(kept: Column, c: Column) -> Column:
+        repeats = lambda k: (k["said"] != "") & (F.abs(k["start"] - c["start"]) <= max(2, overlap)) & (F.contains(k["said"], c["said"]) | F.contains(c["said"], k["said"]))
+        last = F.slice(kept, F.greatest(F.size(kept) - back + 1, F.lit(1)), back)
+        return F.when((c["said"] != "") & F.exists(last, repeats), kept).otherwise(F.concat(kept, F.array(c)))
+
+    kept = F.aggregate("cues", F.slice("cues", 1, 0), step)
+    return in_order.select("document_id", F.posexplode(kept).alias("n", "c")).select("document_id", (F.col("n") + 1).alias("cue"), "c.start", F.greatest(F.col("c.start") + 0.2, F.col("c.end")).alias("end"), "c.text")

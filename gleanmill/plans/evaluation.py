@@ -63,11 +63,18 @@ def _adjacent(spark, d):
     return c.withColumnRenamed("text", "a").join(c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
 
 
-@query("jn10_repeated_cues")
+@query("jn10_repeated_cues", r"""
+with recursive c as (select conv_id as document_id, turn * 3.0::double as start, turn * 3.0::double + 3 as "end", text from conversations where text is not null),
+a as (select * from c union all select document_id, start + 1.5, "end", substr(text, 5) from c where start % 2 = 0),
+o as (select *, lower(trim(text, E' \\t\\n\\r')) as said, row_number() over (partition by document_id order by start, "end", text) as rn from a),
+f as (select document_id, rn, true as keep, [{'start': start, 'said': said}] as last from o where rn = 1
+ union all select document_id, rn, keep, case when keep then list_append(last, {'start': start, 'said': said})[-6:] else last end from
+  (select o.*, f.last, said = '' or len(list_filter(f.last, lambda k: k.said <> '' and abs(k.start - o.start) <= 2 and (contains(k.said, o.said) or contains(o.said, k.said)))) = 0 as keep from f join o on o.document_id = f.document_id and o.rn = f.rn + 1))
+select document_id, row_number() over (partition by document_id order by rn)::int as cue, start, greatest(start + 0.2, "end") as "end", text from f join o using (document_id, rn) where keep""")
 def jn10(spark, d):
-    """Cues of two recordings that overlap; the fold over what was kept has no plain SQL, the tests hold it against a loop."""
-    c = table(spark, d, "conversations").filter("text is not null").select(F.col("conv_id").alias("document_id"), (F.col("turn") * 3.0).alias("start"), (F.col("turn") * 3.0 + 3).alias("end"), F.substring("text", 1, 80).alias("text"))
-    again = c.filter(F.col("start") % 2 == 0).withColumn("start", F.col("start") + 1.5).withColumn("text", F.substring("text", 5, 40))
+    """Cues of two recordings that overlap: every turn's whole text, and of every other turn a second cue that lacks its start."""
+    c = table(spark, d, "conversations").filter("text is not null").select(F.col("conv_id").alias("document_id"), (F.col("turn") * 3.0).alias("start"), (F.col("turn") * 3.0 + 3).alias("end"), "text")
+    again = c.filter(F.col("start") % 2 == 0).withColumn("start", F.col("start") + 1.5).withColumn("text", F.expr("substring(text, 5)"))
     return timeline.merged_cues(c.unionByName(again))
 
 

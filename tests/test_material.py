@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from gleanmill.operators import material as M
+from gleanmill.plans.material import _frames
 
 
 def each(spark, f, texts):
@@ -54,3 +59,70 @@ def test_near_candidates(spark):
     rows = [(1, 0, 5, "the leader of a cluster"), (1, 3, 8, "leader of a cluster"), (1, 9, 12, "other words here"), (1, 13, 15, "the leader of a clusteR!"), (2, 0, 5, "leader of a cluster"), (2, 6, 7, "")]
     got = M.without_near_candidates(spark.createDataFrame(rows, "document_id long, start long, end long, text string")).collect()
     assert sorted((r["document_id"], r["start"]) for r in got) == [(1, 0), (1, 9), (2, 0), (2, 6)]
+
+
+def plain_budget(rows, budget, min_interval, per_group):
+    """By the stated rule: each time all frames of a bucket that nothing taken blocks, the best of them."""
+    rows = sorted(rows, key=lambda r: (r["second"], r["frame"]))
+    width = max(1, math.ceil((rows[-1]["second"] - rows[0]["second"] + 1) / budget))
+    quota = lambda r: r["group_id"] if r["trigger"] not in M.FREE_OF_QUOTA else None
+    rank = lambda r: (abs(r["second"] - (r["second"] // width + 0.5) * width), -r["priority"], r["second"], r["frame"])
+    taken = [r for r in rows if r["trigger"] == "initial_slide"][:1]
+    seen = {b: [] for b in sorted({r["second"] // width for r in rows if r not in taken})}
+    waiting = {b: sorted((r for r in rows if r not in taken and r["second"] // width == b), key=rank) for b in seen}
+
+    def fits(r):
+        apart = r["trigger"] == "initial_slide" or all(abs(r["second"] - t["second"]) >= min_interval for t in taken)
+        return apart and (not quota(r) or sum(quota(t) == quota(r) for t in taken) < per_group)
+
+    while (left := budget - len(taken)) > 0:
+        some, n = [b for b in waiting if waiting[b]], len(taken)
+        if len(some) > left:
+            some = [some[len(some) // 2]] if left == 1 else [some[k] for k in sorted({round(i * (len(some) - 1) / (left - 1)) for i in range(left)})]
+        for b in some:
+            good = [r for r in waiting[b] if fits(r)]
+            taken += good[:1]
+            waiting[b] = waiting[b][waiting[b].index(good[0]) + 1 :] if good else []
+        if len(taken) == n:
+            break
+    return {(r["video_id"], r["frame"]) for r in taken}
+
+
+@pytest.mark.parametrize(("budget", "interval", "per_group"), [(12, 600, 1), (5, 40, 2), (1, 2, 1), (60, 5000, 3)])
+def test_frame_budget_of_the_whole_table(spark, budget, interval, per_group):
+    frames = _frames(spark, SF)
+    by_video = {}
+    for r in frames.collect():
+        by_video.setdefault(r["video_id"], []).append(r)
+    want = set().union(*[plain_budget(rows, budget, interval, per_group) for rows in by_video.values()])
+    got = M.frame_budget(frames, budget, interval, per_group).collect()
+    assert len(got) == len(want) and {(r["video_id"], r["frame"]) for r in got} == want
+
+
+def test_near_candidates_against_all_pairs(spark):
+    r, rows = random.Random(5), []
+    for doc in range(6):
+        base = ["".join(r.choice("abcde") for _ in range(r.choice((1, 2, 6, 12, 60)))) for _ in range(12)]
+        for k in range(40):
+            t = r.choice(base)
+            cut, at = r.randrange(3), r.randrange(len(t))
+            rows.append((doc, k // 2, k % 3, r.choice((t, t[cut:], t[:at] + "x" + t[at + 1 :], t + " " + r.choice(base), t.upper(), "", None))))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "document_id long, start long, end long, text string")
+    key = lambda t: "".join(ch for ch in (t or "").lower() if ch.isalnum())
+    want, kept = [], {}
+    for d, s, e, k in sorted((d, s, e, key(t)) for d, s, e, t in rows):
+        pairs = {k[i : i + 2] for i in range(len(k) - 1)}
+        near = lambda o: (min(len(o[0]), len(k)) >= 10 and (o[0] in k or k in o[0])) or (o[1] and pairs and len(o[1] & pairs) >= 0.88 * len(o[1] | pairs))  # noqa: B023, E731
+        if not any(near(o) for o in kept.setdefault(d, [])):
+            kept[d].append((k, pairs))
+            want.append((d, s, e))
+    assert sorted(tuple(x) for x in M.without_near_candidates(df).collect()) == sorted(want) and len(want) < len(rows) * 0.8
+    assert M.without_near_candidates(df.filter("false")).count() == 0
+
+
+def test_near_candidates_of_one_long_document(spark):
+    """10^5 candidates of one document, most of them different: no pair of them all is made."""
+    text = F.concat(F.sha2((F.col("id") % 60_000).cast("string"), 256), F.when(F.col("id") >= 90_000, "q").otherwise(""))
+    df = spark.range(100_000).select(F.lit(1).cast("long").alias("document_id"), F.col("id").alias("start"), F.col("id").alias("end"), text.alias("text"))
+    assert M.without_near_candidates(df).agg(F.min("start"), F.max("start"), F.count("*")).first() == (0, 59_999, 60_000)
