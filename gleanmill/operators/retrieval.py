@@ -24,6 +24,10 @@ class Fusion:
     blend: float = 0.15
     original: float = 1.2
 
+#: Channels whose evidences crowd a context, and the tokens of a snippet.
+VISUAL_CHANNELS = ("frame_ocr", "video_segment_summary")
+SNIPPET_TOKEN = "[\u4e00-\u9fff]|[a-zA-Z0-9_+#.-]+"
+
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length)."""
@@ -161,6 +165,53 @@ def diversify(hits: DataFrame, top_k: int, per_group: int = 1) -> DataFrame:
     return chosen.select("query_id", "item", "rank", place.alias("place"), "refilled")
 
 
+def evidence_channel(channel: Column, start: Column, block_type: Column) -> Column:
+    """The channel that an evidence names, else one told by whether it has a time and is a picture."""
+    timed = F.coalesce(start, F.lit("")) != ""
+    return F.when(channel != "", channel).when(timed & (block_type == "image"), "frame_ocr").when(timed, "subtitle").otherwise("text")
+
+
+def snippet_hash(text: Column) -> Column:
+    """Of the lower-cased words and single Chinese characters; empty if there is none."""
+    tokens = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(SNIPPET_TOKEN), F.lit(0)), " ")
+    return F.when(tokens == "", "").otherwise(F.sha2(tokens, 256))
+
+
+def context_group(document: Column, channel: Column, occurrence: Column, group: Column, parent: Column, frame_groups: Column, text_hash: Column) -> Column:
+    """What evidences of a channel repeat each other by: a frame's occurrence, its group in a parent, a group, the groups of its frames, or its words."""
+    head, frame = F.concat_ws(":", document.cast("string"), channel), channel == "frame_ocr"
+    named = lambda *parts: F.concat_ws(":", head, *parts)
+    own = F.when(frame & (occurrence != ""), named(F.lit("occurrence"), occurrence)).when(frame & (parent != "") & (group != ""), named(F.lit("parent"), parent, F.lit("group"), group)).when(group != "", named(group))
+    return F.coalesce(own, F.when(F.size(frame_groups) > 0, named(F.array_join(frame_groups, ","))), F.when(text_hash != "", named(text_hash)))
+
+
+def diverse_context(hits: DataFrame, top_k: int, per_window: int = 1, window: int = 120) -> DataFrame:
+    """(query_id, item, place, refilled): what a question's context takes from its reranked evidences, in order of rank.
+
+    hits: (query_id, item, rank, document_id, channel, seconds, group_key, text_hash), an item once for each question. A frame
+    or summary is passed over if its group was taken, or per_window of its document, channel and window of seconds were; a
+    subtitle if the last one taken was a subtitle of the same words. If fewer than top_k are taken, those passed over
+    follow by rank. A null group or time (0) holds nothing back by group. What was taken decides, so a question's
+    evidences, a bounded list, are one array, folded natively; questions are independent.
+    """
+    visual = F.col("channel").isin(*VISUAL_CHANNELS)
+    of_window = F.concat_ws(":", F.col("document_id").cast("string"), F.floor(F.coalesce("seconds", F.lit(0)) / window).cast("string"), "channel")
+    hit = F.struct("rank", "item", F.when(visual, F.col("group_key")).alias("group"), F.when(visual, of_window).alias("window"), F.when(F.col("channel") == "subtitle", F.col("text_hash")).alias("said"))
+    asked = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+
+    def step(taken: Column, h: Column) -> Column:
+        same_group = F.exists(taken, lambda x: x["group"] == h["group"])
+        in_window = F.size(F.filter(taken, lambda x: x["window"] == h["window"]))
+        repeats = F.get(taken, F.size(taken) - 1)["said"] == h["said"]
+        held = (F.size(taken) >= top_k) | F.coalesce(same_group, F.lit(False)) | (in_window >= per_window) | F.coalesce(repeats, F.lit(False))
+        return F.when(held, taken).otherwise(F.concat(taken, F.array(h)))
+
+    chosen = asked.withColumn("taken", F.aggregate("hits", F.slice("hits", 1, 0), step)).withColumn("n", F.size("taken"))
+    rest = F.filter("hits", lambda h: ~F.exists("taken", lambda x: x["item"] == h["item"]))
+    context = F.concat("taken", F.slice(rest, F.lit(1), F.greatest(F.lit(top_k) - F.col("n"), F.lit(0))))
+    return chosen.select("query_id", "n", F.posexplode(context).alias("k", "h")).select("query_id", "h.item", (F.col("k") + 1).alias("place"), (F.col("k") >= F.col("n")).alias("refilled"))
+
+
 def retrieval_metrics(hits: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = (1, 3, 5), counts: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank, recall and NDCG per question over documents as first seen; null without judgements.
 

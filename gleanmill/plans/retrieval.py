@@ -140,6 +140,30 @@ def diversity(spark, d):
     return R.diversify(h, 5).select("query_id", "item", "place", "refilled")
 
 
+@query("set9_context_diversity", f"""with recursive {_BM25}, d as (select doc_id, coalesce(source, '') as document_id, coalesce(n_chars, 0) % 600 as seconds, ['frame_ocr', 'subtitle', 'video_segment_summary', 'text'][doc_id % 4 + 1] as channel,
+  case when doc_id % 3 = 0 then 'g' || doc_id % 5 end as dup, case when doc_id % 6 = 0 then 'p' || doc_id % 2 end as parent, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\u4e00-\u9fff]|[a-zA-Z0-9_+#.-]+'), ' ') as words from documents),
+e as (select *, case when words = '' then '' else sha256(words) end as hash from d),
+g as (select *, document_id || ':' || channel || ':' || case when channel = 'frame_ocr' and parent is not null and dup is not null then 'parent:' || parent || ':group:' || dup else coalesce(dup, nullif(hash, '')) end as key from e),
+h as (select item_id as query_id, doc_id as item, row_number() over (partition by item_id order by rank, doc_id) as rn, document_id || ':' || seconds // 120 || ':' || channel as w, channel in ('frame_ocr', 'video_segment_summary') as visual, channel = 'subtitle' as sub, hash, key from bm join g using (doc_id) where rank <= 12),
+fo as (select query_id, item, rn, true as keep, case when visual then [key] else [] end as keys, case when visual then [w] else [] end as ws, case when sub then hash end as said, 1 as n from h where rn = 1
+ union all select query_id, item, rn, keep, case when keep and visual then list_append(keys, key) else keys end, case when keep and visual then list_append(ws, w) else ws end, case when keep then case when sub then hash end else said end, n + keep::int from
+  (select h.*, fo.keys, fo.ws, fo.said, fo.n, fo.n < 5 and not (visual and (coalesce(list_contains(fo.keys, h.key), false) or list_contains(fo.ws, h.w))) and not coalesce(sub and h.hash = fo.said, false) as keep from fo join h on h.query_id = fo.query_id and h.rn = fo.rn + 1)),
+o as (select query_id, item, keep, row_number() over (partition by query_id order by keep desc, rn)::int as place from fo)
+select query_id, item, place, not keep as refilled from o where place <= 5""")
+def context_diversity(spark, d):
+    """Reranked documents as evidences of four channels, with groups, parents and times that follow from their columns."""
+    k = F.col("doc_id")
+    channel = R.evidence_channel(F.get(F.array(F.lit("frame_ocr"), F.lit(""), F.lit("video_segment_summary"), F.lit("")), (k % 4).cast("int")), F.when(k % 4 == 1, "00:00:01"), F.lit("text"))
+    e = table(spark, d, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("document_id"), channel.alias("channel"), (F.coalesce("n_chars", F.lit(0)) % 600).alias("seconds"), R.snippet_hash(F.col("text")).alias("text_hash"),
+        F.when(k % 3 == 0, F.concat(F.lit("g"), k % 5)).alias("dup"), F.when(k % 6 == 0, F.concat(F.lit("p"), k % 2)).alias("parent"),
+    )
+    none = F.lit(None).cast("string")
+    e = e.withColumn("group_key", R.context_group(F.col("document_id"), F.col("channel"), none, F.col("dup"), F.col("parent"), F.array().cast("array<string>"), F.col("text_hash")))
+    h = _bm25(spark, d, 12).select(F.col("item_id").alias("query_id"), "doc_id", "rank").join(e, "doc_id").withColumnRenamed("doc_id", "item")
+    return R.diverse_context(h, 5)
+
+
 @query("agg17_retrieval_metrics", f"""with {_VEC}, h as (select query_id, vec_id as doc_id, rank from vr where rank <= 10),
 j as (select q.vec_id as query_id, v.vec_id as doc_id from embeddings q join embeddings v on v.label = q.label where q.vec_id % 100 = 0),
 n as (select query_id, count(*) as n from j group by 1), g as (select h.query_id, rank from h join j using (query_id, doc_id)),

@@ -104,3 +104,29 @@ def test_vector_topk_takes_any_number_of_queries(spark, monkeypatch):
     whole = ask()
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 7)
     assert ask() == whole and len(whole) == 30 * 4
+
+
+def test_diverse_context(spark):
+    frame, sub, text = "frame_ocr", "subtitle", "text"
+    rows = [
+        (1, 10, 1, 7, frame, 5, "a", "h1"), (1, 11, 2, 7, frame, 300, "a", "h2"), (1, 12, 3, 7, frame, 119, "b", "h3"), (1, 13, 4, 7, frame, 120, "b", "h3"), (1, 14, 5, 7, sub, 1, "c", "same"), (1, 15, 6, 7, sub, 2, "c", "same"),
+        (1, 16, 7, 7, text, 0, "c", "same"), (1, 17, 8, 7, sub, 3, "c", "same"), (1, 18, 9, 7, frame, 500, None, "h4"), (1, 19, 10, 8, frame, 5, None, "h5"),
+        (2, 10, 1, 7, frame, 5, "a", "h1"), (2, 11, 2, 7, frame, 6, "b", "h2"), (2, 12, 3, 8, sub, None, None, ""), (2, 13, 4, 8, sub, None, None, ""),
+    ]
+    df = spark.createDataFrame(rows, "query_id long, item long, rank int, document_id long, channel string, seconds int, group_key string, text_hash string")
+    got = lambda k, **kw: {q: [(r["item"], r["refilled"]) for r in retrieval.diverse_context(df, k, **kw).filter(f"query_id = {q}").orderBy("place").collect()] for q in (1, 2)}
+    five = got(5)
+    assert five[1] == [(10, False), (13, False), (14, False), (16, False), (17, False)]  # 11: group, 12: window, 15: the words just said
+    assert five[2] == [(10, False), (12, False), (11, True), (13, True)]  # those passed over follow
+    assert [i for i, _ in got(20)[1]] == [10, 13, 14, 16, 17, 18, 19, 11, 12, 15]
+    assert got(3, per_window=2)[2] == [(10, False), (11, False), (12, False)]
+    assert retrieval.diverse_context(df.filter("false"), 5).count() == 0
+
+
+def test_context_groups(spark):
+    rows = [("frame_ocr", "o", "g", "p", [], "h"), ("frame_ocr", None, "g", "p", [], "h"), ("subtitle", "o", "g", "p", ["x"], "h"), ("text", None, None, None, ["x", "y"], "h"), ("text", None, "", None, [], "h"), ("text", None, None, None, None, "")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, c string, o string, g string, p string, f array<string>, h string")
+    keys = df.orderBy("k").select(retrieval.context_group(F.lit(3), *[F.col(x) for x in "cogpfh"]).alias("x")).collect()
+    assert [r["x"] for r in keys] == ["3:frame_ocr:occurrence:o", "3:frame_ocr:parent:p:group:g", "3:subtitle:g", "3:text:x,y", "3:text:h", None]
+    told = spark.createDataFrame([("own", "", ""), (None, "00:01", "image"), ("", "00:01", None), (None, None, "image")], "c string, s string, b string")
+    assert [r["x"] for r in told.select(retrieval.evidence_channel(F.col("c"), F.col("s"), F.col("b")).alias("x")).collect()] == ["own", "frame_ocr", "subtitle", "text"]
