@@ -146,7 +146,8 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     # Each task keeps the first rows of a language before the shuffle, as the plan limits a filtered row number early.
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     bounds = hashed.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= MAX_PER_LANG).groupBy("lang").agg(F.max("h").alias("bound"))
-    rows = hashed.join(bounds, "lang").filter("h <= bound").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    # One row for each language, as many as the model has: broadcast, so that no text is shuffled by its language.
+    rows = hashed.join(F.broadcast(bounds), "lang").filter("h <= bound").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
