@@ -17,6 +17,11 @@ CHUNK_BYTES = 1 << 18
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 
+#: Rows of one key that a join brings together in one task, about.
+HOT_ROWS = 100_000
+#: Keys that a join treats as frequent, at most.
+HOT_KEYS = 4096
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -60,6 +65,21 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, sal
     return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right: a key with more than `rows` rows in left goes to as many tasks as its count asks for, by other columns.
+
+    left is read for the counts first, so it should be a written table. A frequent key has more than the HOT_KEYS-th part of
+    left too, so there are fewer than HOT_KEYS of them whatever the input; these alone are broadcast. Null keys join nothing.
+    """
+    limit = max(rows, -(-left.count() // HOT_KEYS))
+    salts = F.ceil(F.col("count") / limit).cast("int").alias("__salts")
+    hot = cut(left.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys, salts), "hot")
+    n = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), n).cast("int")).drop("__salts")
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__salts")
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; other columns, whatever their names, play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -8,7 +8,8 @@ side at the hit's shift, and the best run is kept if it is long and similar enou
 A bitmap of fixed size with the benchmark's hashes goes to the tasks and lets only windows through that may have a
 partner, and with them the words of their documents; the join decides. So training text is read once, whatever the size
 of the benchmark, only documents with hits are shuffled, and neither side is gathered in one place. A row of the join
-carries the part of the document that lies beside the item.
+carries the part of the document that lies beside the item. Seeds and items that many documents hit are counted first
+and dealt to as many tasks as their counts ask for; the rows they give are the documents and items that share them.
 
 Null and empty texts never match. Items with fewer words than a mask are sought as a whole. Every row of either table is
 reported on its own, repeated rows and rows without an id too. Ties between runs go to the one with more equal words,
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, chunks, cut, mix, only, salted_join, signed, word_hashes
+from .common import HOT_ROWS, U64, bounded_batches, chunks, counted_join, cut, mix, only, signed, word_hashes
 
 #: Fixed masks: 1 is read, 0 is ignored.
 MASKS = ("11101011", "1101001101", "110010100101", "1010110001011")
@@ -176,8 +177,8 @@ def _verified(beside: DataFrame) -> DataFrame:
     return beside.mapInArrow(run, "hit long, item long, doc_id long, row long, item_id long, n_equal int, doc_start int, item_start int, n_words int")
 
 
-def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The best run of each document and item, with the document's key `row`."""
+def _found(docs: DataFrame, benchmark: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """The best run of each document and item, with the document's key `row`. Seeds and items found more than `hot` times go to several tasks."""
     bounded_batches(docs.sparkSession)
     items = _items(benchmark)
     n_words = (F.octet_length("tokens") / 8).cast("int")
@@ -188,10 +189,12 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = _hit_documents(docs, _bitmap(tested), masks) if masks else None
     if hit is None:
         return docs.sparkSession.createDataFrame([], FOUND + ", row long")
-    pairs = hit.select("hit", F.explode("hits").alias("h")).select("hit", "h.seed", "h.doc_at").join(tested, "seed").select("hit", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    seen = cut(hit.select("hit", F.explode("hits").alias("h")).select("hit", "h.seed", "h.doc_at"), "seen")
+    met = counted_join(seen, tested, ["seed"], ["hit", "doc_at"], hot)
+    pairs = cut(met.select("hit", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct(), "pairs")
     of_item = items.select("item", "item_id", F.col("tokens").alias("b"), n_words.alias("n_item"))
     of_doc = hit.select("hit", "doc_id", "row", F.col("tokens").alias("a"), n_words.alias("n_doc"))
-    beside = salted_join(pairs, of_item, ["item"], "hit").join(of_doc, "hit")
+    beside = counted_join(pairs, of_item, ["item"], ["hit", "shift"], hot).join(of_doc, "hit")
     low = F.greatest(F.lit(0), -F.col("shift"))
     beside = beside.withColumn("low", low).withColumn("m", F.least("n_item", F.col("n_doc") - F.col("shift")) - F.col("low")).filter("m > 0")
     part, other = F.expr("substring(a, 8 * (low + shift) + 1, 8 * m)"), F.expr("substring(b, 8 * low + 1, 8 * m)")
@@ -201,9 +204,9 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "item_id", (-F.col("best.back")).alias("doc_start"), "best.item_start", "best.n_words", "best.n_equal", (F.col("best.n_equal") / F.col("best.n_words")).alias("share"), "row")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """A row for each document and item with a common run: where it starts, its words, and how many are equal."""
-    return _found(docs, benchmark).drop("row")
+    return _found(docs, benchmark, hot).drop("row")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
