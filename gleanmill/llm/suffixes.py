@@ -13,8 +13,8 @@ is found twice, all do; only rows with a repeated core and a span of their own g
 
 In each pass Spark samples splitters and range-partitions the suffixes by their leading tokens; each bucket is sorted
 by a multikey quicksort and neighbours are compared; the first and last suffix of every bucket decide about runs that
-cross a boundary. The last keys are row and place, so a suffix shared by any number of texts spreads over as many
-buckets as it needs.
+cross a boundary. The last keys are row, place and copy (a number of its own for each row of the table), so a suffix
+shared by any number of texts, or of repeated rows of one text, spreads over as many buckets as it needs.
 
 Null text is empty. Texts below WINDOW bytes are kept whole. A row is told by its doc_id and text together: rows that
 share a doc_id (or have none) are judged each by its own text, and repeated rows count as documents of their own, so
@@ -44,7 +44,7 @@ BUCKET = 200_000
 SMALL = 2048
 
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_NAMES = ["lead", "core", "span", "row", "place"]
+_NAMES = ["lead", "core", "span", "row", "place", "copy"]
 _SUFFIX = ", ".join(f"{n} long" for n in _NAMES)
 _FLAGS = ["core_again", "span_again", "first", "open", "edge"]
 
@@ -100,13 +100,13 @@ def multikey_quicksort(words: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _batch(rows: pa.Array, lead: np.ndarray, core: np.ndarray, span: np.ndarray, place: np.ndarray, raw: pa.Array | None = None) -> pa.RecordBatch:
-    columns = [pa.array(lead), pa.array(signed(core)), pa.array(signed(span)), rows, pa.array(place), *([] if raw is None else [raw])]
+def _batch(rows: pa.Array, copy: pa.Array, lead: np.ndarray, core: np.ndarray, span: np.ndarray, place: np.ndarray, raw: pa.Array | None = None) -> pa.RecordBatch:
+    columns = [pa.array(lead), pa.array(signed(core)), pa.array(signed(span)), rows, pa.array(place), copy, *([] if raw is None else [raw])]
     return pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "raw"][: len(columns)])
 
 
 def anchor_suffixes(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """A suffix for each anchor. place: first window, distance of the anchor, windows, and 1."""
+    """texts: (row, text, copy). A suffix for each anchor. place: first window, distance of the anchor, windows, and 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,13 +117,14 @@ def anchor_suffixes(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     doc = np.searchsorted(at, start, "right") - 1
                     span = mix(span_hash(prefix, start, start + n - 1 + window) + (anchor - start).astype(U64), 3)
                     place = ((start - at[doc]) << 24 | (anchor - start) << 12 | n) << 1 | 1
-                    yield _batch(batch.column(0).take(pa.array(first + doc)), _lead(data, anchor), span_hash(prefix, anchor, anchor + gram), span, place)
+                    here = pa.array(first + doc)
+                    yield _batch(batch.column(0).take(here), batch.column(2).take(here), _lead(data, anchor), span_hash(prefix, anchor, anchor + gram), span, place)
 
     return texts.mapInArrow(run, _SUFFIX)
 
 
 def cell_suffixes(asked: DataFrame, window: int, gram: int, cell: int) -> DataFrame:
-    """asked: (row, text, places). The cells of the anchors at these places, with the bytes of their windows.
+    """asked: (row, text, places, copy). The cells of the anchors at these places, with the bytes of their windows.
 
     place: first window, windows, and whether an answer is needed. Cells of different anchors lie at the same distances
     from them, so equal windows are in like cells, and all windows of a cell hold its core.
@@ -150,13 +151,14 @@ def cell_suffixes(asked: DataFrame, window: int, gram: int, cell: int) -> DataFr
                 core = mix(span_hash(prefix, core_start, core_end) + c.astype(U64), 5)
                 span = mix(span_hash(prefix, s, e - 1 + window) + (s - base[who]).astype(U64), 6)
                 raw = pa.array([data[a:b].tobytes() for a, b in zip(s, e - 1 + window, strict=True)], pa.binary())
-                yield _batch(batch.column(0).take(pa.array(first + doc[who])), _lead(data, core_start), core, span, ((s - at[doc[who]]) << 12 | e - s) << 1 | need[who], raw)
+                here = pa.array(first + doc[who])
+                yield _batch(batch.column(0).take(here), batch.column(3).take(here), _lead(data, core_start), core, span, ((s - at[doc[who]]) << 12 | e - s) << 1 | need[who], raw)
 
     return asked.mapInArrow(run, _SUFFIX + ", raw binary")
 
 
 def window_suffixes(cells: DataFrame, window: int) -> DataFrame:
-    """cells: (row, place, raw). A suffix for each window of a cell. place: window, and whether an answer is needed."""
+    """cells: (row, place, raw, copy). A suffix for each window of a cell. place: window, and whether an answer is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +168,9 @@ def window_suffixes(cells: DataFrame, window: int) -> DataFrame:
                 who = np.repeat(np.arange(len(n)), n)
                 inner = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
                 packed = batch.column(1).slice(first, len(n)).to_numpy()[who]
-                here = at[who] + inner
+                here, cell = at[who] + inner, pa.array(first + who)
                 value = span_hash(prefix, here, here + window)
-                yield _batch(batch.column(0).take(pa.array(first + who)), _lead(data, here), value, value, ((packed >> 13) + inner) << 1 | packed & 1)
+                yield _batch(batch.column(0).take(cell), batch.column(3).take(cell), _lead(data, here), value, value, ((packed >> 13) + inner) << 1 | packed & 1)
 
     return cells.mapInArrow(run, _SUFFIX)
 
@@ -212,11 +214,11 @@ def neighbours(suffixes: DataFrame, buckets: int) -> DataFrame:
 
 
 def across(flagged: DataFrame) -> DataFrame:
-    """Runs that cross a boundary, judged by the edges: two rows a bucket, whatever the input."""
+    """Runs that cross a boundary, judged by the edges: two rows a bucket. They are written, so that Spark joins them by their size."""
     edges = flagged.filter("edge")
-    cores = edges.groupBy("lead", "core").agg((F.count("*") > 1).alias("core_cross")).filter("core_cross")
-    spans = edges.groupBy("lead", "core", "span").agg((F.count("*") > 1).alias("span_cross")).filter("span_cross")
-    out = flagged.join(F.broadcast(cores), ["lead", "core"], "left").join(F.broadcast(spans), ["lead", "core", "span"], "left")
+    cores = cut(edges.groupBy("lead", "core").agg((F.count("*") > 1).alias("core_cross")).filter("core_cross"), "cores")
+    spans = cut(edges.groupBy("lead", "core", "span").agg((F.count("*") > 1).alias("span_cross")).filter("span_cross"), "spans")
+    out = flagged.join(cores, ["lead", "core"], "left").join(spans, ["lead", "core", "span"], "left")
     crossing = F.coalesce("core_cross", F.lit(False))
     rest = [c for c in flagged.columns if c not in (*_NAMES[:3], *_FLAGS)]
     return out.select(*rest, (F.col("core_again") | crossing).alias("core_again"), (F.col("span_again") | F.coalesce("span_cross", F.lit(False))).alias("span_again"), "first", (F.col("open") | crossing).alias("open"))
@@ -256,18 +258,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cell
         raise ValueError("gram must have 8 bytes and a cell fewer windows than a window has bytes")
     bounded_batches(docs.sparkSession)
     spark, bits = docs.sparkSession, lambda n: F.lit((1 << n) - 1).cast("long")
-    texts = only(docs, "doc_id", "text").filter(F.octet_length("text") >= window).select(row_key().alias("row"), "text")
+    texts = only(docs, "doc_id", "text").filter(F.octet_length("text") >= window).select(row_key().alias("row"), "text", F.monotonically_increasing_id().alias("copy"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors_found = across(cut(neighbours(anchor_suffixes(texts, window, gram), _buckets(spark, 2 * size // (window - gram + 1))), "anchors"))
     start, n = F.shiftright("place", 25), F.shiftright("place", 1).bitwiseAND(bits(12))
     whole = anchors_found.filter(_needed()).select("row", start.alias("s"), (start + n - 1 + window).alias("e"))
     listed = _left_open(anchors_found).groupBy("row").agg(F.collect_set("place").alias("places"))
-    asked = texts.join(listed, "row").select("row", "text", "places")
+    asked = texts.join(listed, "row").select("row", "text", "places", "copy")
     cells = cut(cell_suffixes(asked, window, gram, cell), "cells")
     cells_found = across(cut(neighbours(cells, _buckets(spark, cells.count())), "cells-found"))
     start, n = F.shiftright("place", 13), F.shiftright("place", 1).bitwiseAND(bits(12))
     of_cells = cells_found.filter(_needed()).select("row", start.alias("s"), (start + n - 1 + window).alias("e"))
-    finer = _left_open(cells_found).select("row", "place", "raw")
+    finer = _left_open(cells_found).select("row", "place", "raw", "copy")
     count = finer.agg(F.sum(n)).first()[0] or 0
     windows_found = across(cut(neighbours(window_suffixes(finer, window), _buckets(spark, count)), "windows-found"))
     start = F.shiftright("place", 1)

@@ -16,7 +16,7 @@ from conftest import SF
 from compare import rows
 from pyspark.sql import functions as F
 
-from gleanmill.llm import components, decontam, hosts, jaccard, langid, licences, packing, pii, queries, rules, slots, suffixes, tokens
+from gleanmill.llm import common, components, decontam, hosts, jaccard, langid, licences, packing, pii, queries, rules, slots, suffixes, tokens
 
 _R = random.Random(4)
 _WORDS = ["".join(_R.choice("abcdefgh") for _ in range(_R.randint(2, 7))) for _ in range(400)]
@@ -195,6 +195,21 @@ def test_suffixes(odd, none, monkeypatch, cell):
         assert suffixes.deduplicate(none).count() == 0
 
 
+def test_suffixes_of_repeated_rows_are_parted(spark, monkeypatch):
+    """Rows that repeat id and text spread over buckets and remove each other."""
+    monkeypatch.setattr(suffixes, "BUCKET", 200)
+    base, own = prose(150, 31), prose(150, 32)
+    docs = spark.createDataFrame([(1, base)] * 300 + [(2, own), (3, own[:90] + base + own[90:])], "doc_id long, text string").repartition(4)
+    texts = docs.select(suffixes.row_key().alias("row"), "text", F.monotonically_increasing_id().alias("copy"))
+    found = suffixes.anchor_suffixes(texts, suffixes.WINDOW, suffixes.GRAM)
+    n = found.count()
+    sizes = found.repartitionByRange(n // 200, *suffixes._NAMES).groupBy(F.spark_partition_id()).count()
+    assert n > 2000 and sizes.agg(F.max("count")).first()[0] < 1000
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.deduplicate(docs).collect())
+    assert got == cleaned(docs_of(docs), 200)
+    assert {k[0]: k[2] for k in got}[1] == len(base) and sum(got.values()) == 302
+
+
 @pytest.mark.parametrize("bucket", [suffixes.BUCKET, 500])
 def test_suffixes_of_one_anchor_in_thousands_of_contexts(spark, monkeypatch, bucket):
     monkeypatch.setattr(suffixes, "BUCKET", bucket)
@@ -365,6 +380,31 @@ def test_decontamination_brute_force(spark):
     assert Counter((x["doc_id"], x["item_id"], x["doc_start"], x["item_start"], x["n_words"], x["n_equal"]) for x in got) == want
 
 
+def test_decontamination_of_a_passage_in_every_document(spark):
+    """One seed and one item hold nearly all rows: dealt to several tasks, they give the same rows."""
+    item = prose(30, 77)
+    docs = [(k, f"{prose(8, 300 + k)} {item}" if k % 5 else prose(40, 300 + k)) for k in range(120)]
+    items = [(1, item), (1, item), (2, item + " " + prose(5, 78)), (None, prose(20, 79))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = spaced(docs, items)
+    assert len(want) == 192
+    for hot in (5, 100_000):
+        got = Counter((x["doc_id"], x["item_id"], x["doc_start"], x["item_start"], x["n_words"], x["n_equal"]) for x in decontam.overlaps(d, b, hot).collect())
+        assert got == want
+
+
+def test_counted_join_parts_a_hot_key(spark):
+    left = spark.range(4000).select(F.when(F.col("id") % 40 < 39, 7).when(F.col("id") % 80 == 39, F.col("id")).alias("k"), "id")
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (39, "c"), (None, "d"), (5, "e")], "k long, v string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = common.counted_join(left, right, ["k"], ["id"], 300).select("k", "id", "v", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["k"], r["id"], r["v"]) for r in got) == sorted(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
+    assert max(Counter(r["task"] for r in got if r["k"] == 7).values()) < 5000 < len(got)
+
+
 def test_language_held_out(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs.filter(~langid.held_out()))
