@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cards as K
 from ..operators import curation as C
+from ..operators import merges as M
 from ..session import table
 from .registry import query
 
@@ -70,3 +72,67 @@ def fm17(spark, d):
     cards = said.select(F.col("conv_id").alias("material"), F.col("turn").alias("card"), question.alias("question"), T.collapsed(F.col("before")).alias("hint"), F.col("text").alias("answer"), F.array(name(-1), name(1)).alias("evidence_ids"), units.alias("unit_ids"))
     asked = c.filter("role <> 'assistant'").select(F.col("conv_id").alias("material"), name(0).alias("id"), F.col("text").alias("snippet"))
     return K.gate(cards, asked.withColumnRenamed("id", "evidence_id"), asked.select("material", F.col("id").alias("unit_id"), F.array("id").alias("evidence_ids")), relaxed=True)
+
+
+_MERGES = r"""with t as (select conv_id as candidate, turn, text, lag(text) over (partition by conv_id order by turn) as before,
+  lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) as k from conversations where text is not null),
+c as (select candidate, (row_number() over (partition by candidate order by turn))::int as card, substr(text, 1, 60) as question, before as hint, text as answer, k, turn from t),
+g as (select candidate, list(card order by card) as cards from c where k <> '' group by candidate, 'first ' || k[1:1] having count(*) > 1
+  union all select candidate, list(card order by card) from c where k <> '' group by candidate, 'last ' || k[-1:] having count(*) > 1),
+p as (select *, (row_number() over (partition by candidate order by cards))::int as grp from g),
+x as (select candidate, grp, unnest(cards) as card from p),
+claims as (select candidate, card, lower(regexp_replace(substr(regexp_replace(regexp_replace(s, '^\s*(?:[-*+>] |\d+[.)]\s*)', ''), '^\s+|\s+$', '', 'g'), 1, 1200), '[^\p{L}\p{N}]+', '', 'g')) as claim
+  from (select candidate, card, unnest(regexp_split_to_array(answer, '[。！？!?；;\n]+')) as s from c)),
+o as (select candidate, grp, bool_or(grp > low) as again from (select *, min(grp) over (partition by candidate, card) as low from x) group by 1, 2),
+m as (select candidate, grp, min(card) as head, substr(string_agg(answer, chr(10) order by card), 1, 1200) as answer, arg_min(question, card) as question, arg_min(coalesce(hint, ''), card) as hint, list(card order by card) as cards from x join c using (candidate, card) group by 1, 2),
+l as (select candidate, grp, bool_or(not contains(lower(regexp_replace(m.answer, '[^\p{L}\p{N}]+', '', 'g')), claim)) as lost from x join claims using (candidate, card) join m using (candidate, grp) where claim <> '' group by 1, 2),
+f as (select m.*, case when again then 1 when lost or trim(hint) = '' then 3 end as stage, case when again then 'overlap' when lost then 'claim_lost' when trim(hint) = '' then 'no_hint' end as fault from m join o using (candidate, grp) left join l using (candidate, grp)),
+v as (select candidate, count(fault) = 0 as accepted, min({'s': stage, 'g': grp, 'f': fault}) filter (fault is not null) as z from f group by 1)
+"""
+
+
+def _merge_plan(spark, d):
+    """Turns as cards; cards of a conversation that begin, or end, with one letter shall become one card."""
+    t = table(spark, d, "conversations").filter("text is not null").select(F.col("conv_id").alias("candidate"), "turn", "text")
+    by_turn = Window.partitionBy("candidate").orderBy("turn")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.length(x) > 0))
+    t = t.select(
+        "candidate", F.row_number().over(by_turn).alias("card"), F.substring("text", 1, 60).alias("question"), F.lag("text").over(by_turn).alias("hint"),
+        F.col("text").alias("answer"), words.alias("unit_ids"), F.array(F.col("turn").cast("string")).alias("evidence_ids"), M.key(F.col("text")).alias("k"),
+    )
+    cards = t.withColumn("question_keys", F.array(M.key(F.col("question"))))
+    ends = F.explode(F.array(F.concat(F.lit("first "), F.substring("k", 1, 1)), F.concat(F.lit("last "), F.substring("k", -1, 1))))
+    held = F.array_sort(F.collect_list(F.struct("card", "question", F.coalesce("hint", F.lit("")).alias("hint"), "answer", "unit_ids", "evidence_ids", "question_keys")))
+    g = cards.filter("k <> ''").withColumn("end", ends).groupBy("candidate", "end").agg(held.alias("h")).filter(F.size("h") > 1)
+    union = lambda name: F.array_distinct(F.flatten(F.col("h." + name)))
+    first = lambda name: F.col("h")[0][name]
+    merged = F.struct(
+        first("question").alias("question"), first("hint").alias("hint"), F.substring(F.array_join("h.answer", "\n"), 1, 1200).alias("answer"),
+        union("unit_ids").alias("unit_ids"), union("evidence_ids").alias("evidence_ids"), union("question_keys").alias("question_keys"),
+    )
+    claims = F.flatten(F.transform("h.answer", lambda a: F.split(a, M.CLAIM_ENDS)))
+    claims = F.transform(claims, lambda x: F.regexp_replace(x, M.CLAIM_MARK, ""))
+    plan = g.select(
+        "candidate", "end", F.col("h.card").alias("card_indexes"), F.col("end").alias("topic"), F.col("end").alias("reason"), first("question").alias("target"),
+        F.array("end").alias("hint_topics"), union("unit_ids").alias("unit_ids"), union("evidence_ids").alias("evidence_ids"), claims.alias("claims"), merged.alias("merged"),
+    )
+    return cards.drop("k"), plan.withColumn("group", F.row_number().over(Window.partitionBy("candidate").orderBy("card_indexes", "end"))).drop("end")
+
+
+@query("fm12_merge_verdicts", _MERGES + "select candidate, accepted, z.f as fault, z.g as fault_group from v")
+def fm12_verdicts(spark, d):
+    return M.verdicts(*_merge_plan(spark, d))
+
+
+@query("fm12_merged_cards", _MERGES + """, a as (select f.* from f join v using (candidate) where accepted)
+select candidate, card, c.question, c.hint, c.answer, false as merged from c where not exists (select 1 from a where a.candidate = c.candidate and list_contains(a.cards, c.card))
+union all select candidate, head, question, hint, answer, true from a""")
+def fm12_cards(spark, d):
+    return M.applied(*_merge_plan(spark, d)).select("candidate", "card", "question", "hint", "answer", "merged")
+
+
+@query("fm12_fingerprints", _MERGES + r""", i as (select candidate, 'question:' || lower(regexp_replace(question, '[^\p{L}\p{N}]+', '', 'g')) as v from c union
+  select candidate, 'unit:' || w from (select candidate, unnest(regexp_split_to_array(lower(answer), '[^\p{L}\p{N}]+')) as w from c) where w <> '' union select candidate, 'evidence:' || turn from c)
+select candidate, count(*) as n_items, sum(('0x' || substr(md5(v), 1, 15))::bigint)::varchar as item_sum from i where v <> 'question:' group by 1""")
+def fm12_fingerprints(spark, d):
+    return M.fingerprints(_merge_plan(spark, d)[0])
