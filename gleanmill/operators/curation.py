@@ -96,7 +96,7 @@ def question_key(question: Column) -> Column:
     q = F.substring(T.collapsed(F.coalesce(question, F.lit(""))), 1, 180)
     for pattern in (SPOKEN_PREFIX, SPOKEN_FILLER, SPOKEN_TURN):
         q = F.regexp_replace(q, pattern, "")
-    parts = F.filter(F.transform(F.split(q, "[，,、]"), F.trim), lambda x: F.length(x) > 0)
+    parts = F.filter(F.transform(F.split(q, "[，,、]"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     head, tail = F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 1)
     repeated = (F.size(parts) >= 2) & (F.length(T.dedupe_key(head)) >= 4) & F.contains(T.dedupe_key(tail), T.dedupe_key(head))
     return T.dedupe_key(F.regexp_replace(F.when(repeated, tail).otherwise(q), FINAL_PARTICLES, ""))
