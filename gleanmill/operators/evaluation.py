@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
+from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ REASONS = (
     "LangExtract 重复率高于当前方案", "LangExtract Token 成本超过当前方案的 1.5 倍", "未同时覆盖结构化问题资料和陈述式课程资料",
 )
 CATEGORIES = ("structured_questions", "declarative_course")
+#: The shortest block that is found by diagonals, and the letter pairs compared at once.
+RUN, CELLS = 3, 1 << 23
 
 
 def gate(cases: DataFrame, metrics: tuple[str, ...] = ("reciprocal_rank", "recall_at_5")) -> DataFrame:
@@ -78,13 +83,84 @@ def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float])
     return reduce(lambda a, b: a.join(b, key), parts)
 
 
-def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([None if not isinstance(a, str) or not isinstance(b, str) else SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of RUN or more equal letters on the diagonals of a against b: their starts in a, in b, and their lengths."""
+    n, m = len(a), len(b)
+    a = np.append(a, a.dtype.type(1))  # letters are 2 and more: 0 and 1 equal nothing and end every diagonal
+    padded = np.concatenate([np.zeros(n, b.dtype), b, np.zeros(n + 1, b.dtype)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, n + 1)[1 : n + m]
+    step, found = max(1, CELLS // (n + 1)), []
+    for low in range(0, len(windows), step):  # a bounded number of cells at a time
+        same = (windows[low : low + step] == a).ravel()
+        long = np.zeros(-(-len(same) // 8) * 8, bool)  # whole words, of which few have a run
+        inner = long[: max(0, len(same) - RUN + 1)]
+        inner[:] = same[: len(inner)]
+        for k in range(1, RUN):
+            inner &= same[k : len(inner) + k]
+        word = np.flatnonzero(long.view(np.uint64))
+        at = (word[:, None] * 8 + np.arange(8))[long.reshape(-1, 8)[word]]
+        first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        begin, size = at[first], np.diff(first, append=len(at)) + RUN - 1
+        found.append((begin // (n + 1) + low, begin % (n + 1), size))
+    row, i, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, i + row - (n - 1), size
+
+
+def _alike(a: str, b: str, least: float) -> bool:
+    """Whether SequenceMatcher(None, a, b, autojunk=False).ratio() >= least, by the same blocks.
+
+    The longest block splits both texts into what is before and after it. Runs of equal letters are found once and clipped
+    to the parts; parts whose longest block is shorter than RUN are matched by difflib. The larger parts go first, and it ends
+    as soon as what is matched is enough, or all that is left to match is not.
+    """
+    total = len(a) + len(b)
+    enough = lambda matched: not total or 2.0 * matched / total >= least
+    if a == b:
+        return enough(len(a))
+    shared = sum((Counter(a) & Counter(b)).values())
+    if not shared or not enough(shared):
+        return enough(0)
+    codes = np.unique(np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1] + 2
+    codes = codes.astype(np.uint8 if codes.max() < 256 else np.uint32)
+    matched, left = 0, min(len(a), len(b))
+    parts = [(-left, 0, len(a), 0, len(b), *_runs(codes[: len(a)], codes[len(a) :]))]
+    while parts:
+        most, alo, ahi, blo, bhi, i, j, size = heappop(parts)
+        left += most
+        cut = np.maximum(np.maximum(alo - i, blo - j), 0)
+        i, j, size = i + cut, j + cut, size - cut
+        size = np.minimum(size, np.minimum(ahi - i, bhi - j))
+        keep = size >= RUN
+        i, j, size = i[keep], j[keep], size[keep]
+        if not len(size):
+            matched += sum(x.size for x in SequenceMatcher(None, a[alo:ahi], b[blo:bhi], autojunk=False).get_matching_blocks())
+        else:
+            k = int(size.max())
+            longest = np.flatnonzero(size == k)
+            x = longest[np.lexsort((j[longest], i[longest]))[0]]
+            x, y = int(i[x]), int(j[x])
+            matched += k
+            for lo, hi, low, high, own in ((alo, x, blo, y, (i < x) & (j < y)), (x + k, ahi, y + k, bhi, (i + size > x + k) & (j + size > y + k))):
+                if lo < hi and low < high:
+                    heappush(parts, (-min(hi - lo, high - low), lo, hi, low, high, i[own], j[own], size[own]))
+                    left += min(hi - lo, high - low)
+        if enough(matched):
+            return True
+        if not enough(matched + left):
+            return False
+    return enough(matched)
+
+
+def similar(left: Column, right: Column, least: float) -> Column:
+    """Whether the Ratcliff-Obershelp ratio of two texts, which Spark has no function for, is `least` or more; null with null.
+
+    Python functions run for every row, also within a condition: rows that need no ratio should pass null.
+    """
 
+    def judged(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if not isinstance(x, str) or not isinstance(y, str) else _alike(x, y, least) for x, y in zip(a, b, strict=True)], dtype=object)
 
-def similarity(left: Column, right: Column) -> Column:
-    """The Ratcliff-Obershelp ratio of two texts, which Spark has no function for; null with null."""
-    return F.pandas_udf(_ratios, "double")(left, right)
+    return F.pandas_udf(judged, "boolean")(left, right)
 
 
 def _shorter(a: Column, b: Column) -> tuple[Column, Column]:
@@ -96,17 +172,20 @@ def same_question(left: Column, right: Column) -> Column:
     a, b = dedupe_key(F.coalesce(left, F.lit(""))), dedupe_key(F.coalesce(right, F.lit("")))
     short, long = _shorter(a, b)
     held = (F.length(short) >= 10) & F.contains(long, short) & (F.length(short) / F.length(long) >= 0.72)
-    return F.when((a == "") | (b == ""), False).when((a == b) | held, True).otherwise(similarity(a, b) >= 0.86)
+    known = F.when((a == "") | (b == ""), False).when((a == b) | held, True)
+    return F.coalesce(known, similar(F.when(known.isNull(), a), b, 0.86))
 
 
 def near_texts(left: Column, right: Column) -> Column:
     """Equal keys, one within the other at 0.58 of its length, or (from 10 characters) a ratio of 0.82."""
     short, long = _shorter(left, right)
     held = (F.length(short) >= 8) & F.contains(long, short) & (F.length(short) / F.length(long) >= 0.58)
-    return F.when((left == right) | held, True).when(F.length(short) < 10, False).otherwise(similarity(left, right) >= 0.82)
+    known = F.when((left == right) | held, True).when(F.length(short) < 10, False)
+    return F.coalesce(known, similar(F.when(known.isNull(), left), right, 0.82))
 
 
 def safe_correction(before: Column, after: Column) -> Column:
     """A correction of a recognised text is taken if its length stays within 0.55 to 1.45 and the ratio is 0.55 or more."""
     ratio = F.length(after) / F.greatest(F.length(before), F.lit(1))
-    return F.when(F.coalesce(F.trim(after), F.lit("")) == "", False).when(~ratio.between(0.55, 1.45), False).otherwise(similarity(before, after) >= 0.55)
+    known = F.when((F.coalesce(F.trim(after), F.lit("")) == "") | ~ratio.between(0.55, 1.45), False)
+    return F.coalesce(known, similar(F.when(known.isNull(), before), after, 0.55))

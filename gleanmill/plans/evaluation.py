@@ -55,7 +55,8 @@ def set11(spark, d):
 @query("sf44_safe_correction")
 def sf44(spark, d):
     c = table(spark, d, "conversations").filter("text is not null").withColumn("after", F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 40)).when(F.col("turn") % 3 == 1, F.reverse("text")).otherwise(F.regexp_replace("text", "e", "a")))
-    return c.select("conv_id", "turn", V.safe_correction(F.col("text"), F.col("after")).alias("safe"))
+    dealt = c.repartition(4 * spark.sparkContext.defaultParallelism)  # a small file is one task, and texts take long
+    return dealt.select("conv_id", "turn", V.safe_correction(F.col("text"), F.col("after")).alias("safe"))
 
 
 def _adjacent(spark, d):
