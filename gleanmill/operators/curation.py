@@ -109,14 +109,14 @@ def first_card(cards: DataFrame, order: list[str]) -> DataFrame:
     return cards.withColumn("_k", F.sha2(key, 256)).filter("_k is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_k", "_n")
 
 
-def question_fault(question: Column) -> Column:
-    """The first rule that a review question breaks, else null."""
+def question_fault(question: Column, noise: bool = True) -> Column:
+    """The first rule that a review question breaks, else null; `noise`: whether repeated n-grams are a rule, which SF51's SQL leaves to SF26."""
     q = T.collapsed(F.coalesce(question, F.lit("")))
     return (
         F.when(~F.length(T.dedupe_key(q)).between(8, 180), "length")
         .when(F.regexp_count(q, F.lit("[？?]")) > 1, "several_questions")
         .when(q.rlike(ANSWER_IN_QUESTION), "answer_in_question")
-        .when(repeated_ngram(q), "noise")
+        .when(repeated_ngram(q) if noise else F.lit(False), "noise")
         .when(q.rlike(POINTING_START), "pointing_start")
         .when(q.rlike(TASK_START), "task")
         .when(~(q.rlike(QUESTION_FORM) | q.rlike(RECALL_FORM)), "no_question_form")
