@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import coverage, tokens
+from ..functions.text import TOKEN, coverage, tokens
 
 K1, B = 1.5, 0.75
 
@@ -26,6 +26,8 @@ class Fusion:
 
 #: Channels whose evidences crowd a context, and the tokens of a snippet.
 VISUAL_CHANNELS = ("frame_ocr", "video_segment_summary")
+#: Stands for a term that every document has; no token is empty.
+EVERY = ""
 SNIPPET_TOKEN = "[\u4e00-\u9fff]|[a-zA-Z0-9_+#.-]+"
 
 
@@ -35,33 +37,120 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return terms.select(key, F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
+def asked_terms(queries: DataFrame, text: str = "text", query_id: str = "item_id") -> DataFrame:
+    """(query_id, term, times)."""
+    return queries.select(query_id, F.explode(tokens(F.col(text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+
+
+def asked_postings(docs: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, length, term, tf) of the terms that questions have, dealt by key, so that what follows by key needs no shuffle.
+
+    Other terms go before anything is shuffled or counted. Each document also has the term EVERY once, so that statistics
+    of all documents need no second pass over the texts.
+    """
+    raw = docs.select(key, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)).alias("t"))
+    each = raw.select(key, F.size("t").cast("long").alias("length"), F.explode(F.concat("t", F.array(F.lit(EVERY)))).alias("term")).withColumn("term", F.lower("term"))
+    kept = asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit(EVERY).alias("term"))).distinct()
+    return each.join(kept, "term", "left_semi").repartition(key).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def matches(held: DataFrame, asked: DataFrame, key: str = "doc_id", query_id: str = "item_id", k: int | None = None) -> DataFrame:
+    """(key, query_id, n, value, asked) of documents and questions with a common term: n terms in common, value the sum of the
+    terms' x times their times in the question, asked the question's distinct terms.
+
+    held: (key, term, x), a term once for each document, dealt by key; terms that no question has are let through to here. A document's terms become one row; a block of at most
+    MOST_QUERIES questions travels to the documents, whose terms meet the questions' lists in arrays of bounded size. With k
+    only each batch's k best by value (nine decimals), then key, with a value above 0 come out, which hold the best of all.
+    """
+    docs = held.groupBy(key).agg(F.collect_list(F.struct("term", "x")).alias("terms"))
+    n = max(1, -(-asked.select(query_id).distinct().count() // MOST_QUERIES))
+    parts = [_block_matches(docs, asked.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == b) if n > 1 else asked, key, query_id, k) for b in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _block_matches(docs: DataFrame, asked: DataFrame, key: str, query_id: str, k: int | None) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    block = asked.select(query_id, "term", "times").orderBy("term").toArrow().combine_chunks()  # a block of bounded size
+    names, terms = (pc.dictionary_encode(pa.concat_arrays(block.column(c).chunks) if block.num_rows else pa.array([], block.schema[c].type), null_encoding="encode") for c in (0, 1))
+    vocabulary, which = terms.dictionary, terms.indices.to_numpy()
+    starts = np.searchsorted(which, np.arange(len(vocabulary) + 1))
+    ids, asking, times = names.dictionary, names.indices.to_numpy(), block.column(2).to_numpy()
+    sizes = np.bincount(asking, minlength=len(ids))
+    shared = asked.sparkSession.sparkContext.broadcast((vocabulary, starts, asking, times, ids, sizes))
+
+    def run(batches):
+        vocabulary, starts, asking, times, ids, sizes = shared.value
+        wide = max(1, len(ids))
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(0), null_placement="at_start"))
+            lists = batch.column(1)
+            flat, doc = lists.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            term = pc.index_in(flat.field(0), value_set=vocabulary).fill_null(-1).to_numpy()
+            x = flat.field(1).to_numpy(zero_copy_only=False)[term >= 0]
+            doc, term = doc[term >= 0], term[term >= 0]
+            many = starts[term + 1] - starts[term]
+            step = max(1, CELLS // wide)
+            for low in range(0, batch.num_rows, step):
+                a, b = np.searchsorted(doc, (low, low + step))
+                count = many[a:b]
+                place = np.arange(count.sum()) + np.repeat(starts[term[a:b]] - np.cumsum(count) + count, count)
+                cell = np.repeat((doc[a:b] - low) * wide, count) + asking[place]
+                size = min(step, batch.num_rows - low) * wide
+                met, value = np.bincount(cell, minlength=size), np.bincount(cell, np.repeat(x[a:b], count) * times[place], size).astype(np.float64)  # whole numbers of no weights
+                at = np.flatnonzero(met)
+                if k is not None:
+                    at = at[value[at] > 0]
+                    order = np.lexsort((at, -np.round(value[at], 9), at % wide))
+                    own = at[order] % wide
+                    first = np.flatnonzero(np.diff(own, prepend=-1))
+                    at = at[order][np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own))) < k]
+                q = at % wide
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at // wide + low)), ids.take(pa.array(q)), pa.array(met[at]), pa.array(value[at]), pa.array(sizes[q])], names=[key, query_id, "n", "value", "asked"])
+
+    of = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    return docs.mapInArrow(run, f"{of(docs, key)}, {of(asked, query_id)}, n long, value double, asked long")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_id: str = "item_id", k: int = 10) -> DataFrame:
     """The top k of every question: (query_id, key, score, rank). A term that a question repeats counts repeatedly.
 
-    Statistics cover the documents given; ties go to the smaller key. Postings are reduced to the questions' terms
-    before anything is scored, so what is shuffled follows the matches and not the corpus.
+    Statistics cover the documents given; ties go to the smaller key. Postings are reduced to the questions' terms before
+    anything is shuffled, documents meet questions where their postings are, and only the best of a batch leave it.
     """
-    asked = queries.select(query_id, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
-    stats = docs.agg(F.count("*").alias("n"), F.greatest(F.avg(F.size(tokens(F.col(text)))), F.lit(1.0)).alias("mean"))
-    p = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    asked = asked_terms(queries, "text", query_id)
+    p = asked_postings(docs, asked, key, text)
+    own = F.when(F.col("term") == EVERY, F.col("tf"))  # no filter, which would be pushed into a read of its own
+    stats = p.agg(F.sum(own).alias("n"), F.greatest(F.sum(own * F.col("length")) / F.sum(own), F.lit(1.0)).alias("mean"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     scored = p.join(df, "term").join(F.broadcast(stats))  # stats: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = scored.select(key, "term", weight.alias("w")).join(asked, "term").groupBy(query_id, key).agg(F.sum(F.col("w") * F.col("times")).alias("score")).filter("score > 0")
+    hits = matches(scored.select(key, "term", weight.alias("x")), asked, key, query_id, k).select(query_id, key, F.col("value").alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), key))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_id: str = "item_id") -> DataFrame:
+def term_matches(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_id: str = "item_id") -> DataFrame:
+    """(query_id, key, n_terms, tf) of every question and document with n_terms distinct terms in common, which the document has tf times."""
+    asked = asked_terms(queries, "text", query_id)
+    own = asked_postings(docs, asked, key, text).groupBy(key, "term").agg(F.sum("tf").cast("double").alias("x"))
+    found = matches(own, asked.withColumn("times", F.lit(1).cast("long")), key, query_id)
+    return found.select(query_id, key, F.col("n").alias("n_terms"), F.col("value").cast("long").alias("tf"))
+
+
+def shared_terms(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_id: str = "item_id", k: int | None = None) -> DataFrame:
     """(query_id, key, shared, coverage) of every question and document that share a term; all other pairs have coverage 0.
 
-    Distinct terms meet in one equi-join, so no pair without a common term is a row. Both keys are unique.
+    Distinct terms meet where the documents' postings are, so no pair without a common term is a row. Both keys are unique.
+    With k the rows hold the k pairs of each question that share most, ties by the smaller key, and some others.
     """
-    q = queries.select(query_id, F.array_distinct(tokens(F.col("text"))).alias("q"))
-    asked = q.select(query_id, F.size("q").alias("n"), F.explode("q").alias("term"))
-    held = docs.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    return held.join(asked, "term").groupBy(query_id, key, "n").agg(F.count("*").alias("shared")).select(query_id, key, "shared", (F.col("shared") / F.col("n")).alias("coverage"))
+    asked = asked_terms(queries, "text", query_id)
+    own = asked_postings(docs, asked, key, text).groupBy(key, "term").agg((F.max("length") > 0).cast("double").alias("x"))  # 1; so the postings are those of bm25
+    found = matches(own, asked.withColumn("times", F.lit(1).cast("long")), key, query_id, k)
+    return found.select(query_id, key, F.col("n").alias("shared"), (F.col("n") / F.col("asked")).alias("coverage"))
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -104,7 +193,8 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double").filter("score > 0")
 
 
-MOST_QUERIES = 20_000
+#: Questions of a block, and pairs of documents and questions that are in memory at once.
+MOST_QUERIES, CELLS = 20_000, 1 << 21
 
 
 def scaled(score: Column, group: list[str], tie: str) -> Column:

@@ -40,8 +40,7 @@ def sf22(spark, d):
 with p as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOK}) as term from documents) group by all), q as (select distinct item_id, unnest({_TOK}) as term from benchmark)
 select item_id, doc_id, count(*) as n_terms, sum(tf)::bigint as tf from p join q using (term) group by 1, 2""")
 def jn8(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return R.postings(table(spark, d, "documents"), "doc_id", "text").join(q, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("tf"))
+    return R.term_matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 @query("top1_bm25_order", f"""with {_BM25}, sn as (select doc_id, row_number() over (order by n_chars desc, doc_id) as scan from documents),

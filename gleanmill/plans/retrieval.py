@@ -84,14 +84,14 @@ fused as (select query_id, doc_id, sum(weight * case when variant = 0 then 1.2 e
 _RUNS = f"{_BM25},{_BY_TERM}{_FUSED}"
 
 
-def _by_term(spark, d):
-    c = R.shared_terms(table(spark, d, "documents"), table(spark, d, "benchmark"))
+def _by_term(spark, d, k=None):
+    c = R.shared_terms(table(spark, d, "documents"), table(spark, d, "benchmark"), k=k)
     return c.select(F.col("item_id").alias("query_id"), "doc_id", F.col("shared").cast("double").alias("score"))
 
 
 def _runs(spark, d):
     first = _bm25(spark, d, 20).select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), F.lit("bm25").alias("source"), F.lit(1.0).alias("weight"), "doc_id", "score", "rank")
-    c = _by_term(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
+    c = _by_term(spark, d, 20).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter("rank <= 20")
     second = c.select("query_id", F.lit(1).alias("variant"), F.lit("overlap").alias("source"), F.lit(0.8).alias("weight"), "doc_id", "score", "rank")
     return first.unionByName(second)
 
