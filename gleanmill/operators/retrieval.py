@@ -157,7 +157,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     """Exact cosine top k of every query: vectors (vec_id, embedding), queries (query_id, embedding).
 
     Queries are dealt by a hash of their id to blocks of about MOST_QUERIES at most. A block travels with each batch
-    of vectors as one matrix, all vectors meet all blocks; each batch keeps its k best of a query and a window merges them.
+    of vectors as one matrix, all vectors meet all blocks; each task keeps the k best of a query, compares at most CELLS
+    pairs at once, and a window merges what the tasks have kept.
     """
     asked = queries.select("query_id", "embedding")
     n = max(1, -(-asked.count() // MOST_QUERIES))
@@ -168,7 +169,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
 
 
 def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each batch of vectors for each query of one block."""
+    """(query_id, vec_id, score): the k best of each task's vectors for each query of one block."""
     import numpy as np
     import pyarrow as pa
 
@@ -178,22 +179,41 @@ def _block_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     shared = queries.sparkSession.sparkContext.broadcast((ids, q))
 
+    def best_of(score, key, of, at, low):
+        """The k best of each query among the scores at (query, key) that are not below what it has (low), and the best so far."""
+        of = np.concatenate([of, np.repeat(np.arange(len(low)), k)])
+        key, score = np.concatenate([key, at[0].ravel()]), np.concatenate([score, at[1].ravel()])
+        order = np.lexsort((key, -np.round(score, 9), of))
+        chosen = order[np.arange(len(order)) - np.searchsorted(of[order], of[order]) < k]
+        return key[chosen].reshape(-1, k), score[chosen].reshape(-1, k)
+
     def run(batches):
         names, m = shared.value
+        keys, scores = np.zeros((len(names), k), np.int64), np.full((len(names), k), -np.inf)
         for batch in batches:
             if not batch.num_rows or not len(names):
                 continue
             v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
             key = batch.column(0).to_numpy()
-            s = m @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            order = np.lexsort((np.broadcast_to(key, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-            at = np.arange(len(names))[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(key[order].ravel()), pa.array(s[at, order].ravel())], names=["query_id", "vec_id", "score"])
+            v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
+            step = max(1, CELLS // batch.num_rows)
+            for a in range(0, len(names), step):  # a bounded number of scores at a time
+                s = m[a : a + step] @ v
+                low = np.maximum(scores[a : a + step].min(axis=1), 0.0)
+                if np.count_nonzero(s >= low[:, None]) > 4 * k * len(s) and s.shape[1] > k:
+                    low = np.maximum(low, np.partition(s, -k, axis=1)[:, -k])
+                of, which = np.nonzero(s >= low[:, None] - 2e-9)  # what may be equal by nine decimals stays
+                keys[a : a + step], scores[a : a + step] = best_of(s[of, which], key[which], of, (keys[a : a + step], scores[a : a + step]), low)
+        found = scores > 0
+        at = np.nonzero(found)[0]
+        for a in range(0, len(at), MOST_QUERIES):
+            b = slice(a, a + MOST_QUERIES)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at[b]]), pa.array(keys[found][b]), pa.array(scores[found][b])], names=["query_id", "vec_id", "score"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double").filter("score > 0")
 
 
-#: Questions of a block, and pairs of documents and questions that are in memory at once.
+#: Questions of a block, and pairs of questions and documents or vectors that are in memory at once.
 MOST_QUERIES, CELLS = 20_000, 1 << 21
 
 
