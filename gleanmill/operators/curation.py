@@ -56,16 +56,18 @@ def repeated_ngram(text: Column) -> Column:
     """True if an n-gram of 3 to 12 characters occurs three times or more and makes up 60 % of the text without spaces and marks.
 
     Each width sorts its n-grams; one with m copies equals the one m - 1 places further. Null and short texts: false.
+    The first three characters of such an n-gram occur as often, so texts without three characters that occur as often as
+    the longest n-grams must have none, and are told by one width.
     """
 
-    def wide(chars: Column, w: Column) -> Column:
-        least = F.greatest(F.lit(NOISE_COUNT), F.ceil(F.size(chars) * NOISE_SHARE / (100.0 * w)).cast("int"))
+    def wide(chars: Column, w: Column, share: Column | None = None) -> Column:
+        least = F.greatest(F.lit(NOISE_COUNT), F.ceil(F.size(chars) * NOISE_SHARE / (100.0 * (w if share is None else share))).cast("int"))
         repeated = lambda s: F.exists(F.transform(s, lambda x, i: F.coalesce(x == F.get(s, i + least - 1), F.lit(False))), lambda x: x)
         return (F.size(chars) >= 3 * w) & _let(F.sort_array(_windows(chars, w)), repeated)
 
     widths = F.array(*[F.lit(w) for w in NOISE_WIDTHS])
     key = F.regexp_replace(F.coalesce(text, F.lit("")), NOISE_MARKS, "")
-    return _let(_chars(key), lambda chars: (F.size(chars) >= NOISE_LEAST) & F.exists(widths, lambda w: wide(chars, w)))
+    return _let(_chars(key), lambda chars: (F.size(chars) >= NOISE_LEAST) & wide(chars, F.lit(min(NOISE_WIDTHS)), F.lit(max(NOISE_WIDTHS))) & F.exists(widths, lambda w: wide(chars, w)))
 
 
 def claims(answer: Column) -> Column:
@@ -189,8 +191,8 @@ def keyword_hits(pieces: DataFrame, terms: DataFrame, key: str, order: str, text
     numbered = pieces.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
     by_key = terms.filter(F.length("term") > 0).groupBy(key).agg(F.collect_set("term").alias("_terms"))  # the words of one question
     body = T.dedupe_key(F.col(text))
-    times = lambda t: F.floor((F.length(body) - F.length(F.replace(body, t, F.lit("")))) / F.length(t))
-    score = F.aggregate("_terms", F.lit(0).cast("long"), lambda a, t: a + F.least(F.lit(4), times(t)) * F.least(F.lit(8), F.length(t)))
+    times = lambda b, t: F.floor((F.length(b) - F.length(F.replace(b, t, F.lit("")))) / F.length(t))
+    score = _let(body, lambda b: F.aggregate("_terms", F.lit(0).cast("long"), lambda a, t: a + F.least(F.lit(4), times(b, t)) * F.least(F.lit(8), F.length(t))))
     scored = numbered.join(by_key, key).withColumn("score", score).filter("score > 0")
     top = scored.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "place"))).filter(F.col("_r") <= k)
     near = top.select(key, F.explode(F.sequence(F.greatest(F.col("place") - 1, F.lit(0)), F.col("place") + 1)).alias("place")).distinct()
