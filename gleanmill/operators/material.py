@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, collapsed, compact, dedupe_key
+from ..session import work_table
 from .curation import question_fault, question_key
 
 #: Lines and marks that screens, subtitles and indexes add to a text.
@@ -41,6 +42,10 @@ NEED_EVIDENCE = ("work_experience", "project_experience", "skills", "research")
 #: Triggers whose frames no group's quota holds back; shares and lengths of near texts.
 FREE_OF_QUOTA = ("ambiguous_visual", "visual_verification")
 NEAR_PAIRS, HELD_LETTERS = 0.88, 10
+#: Up to so many candidates of a document are compared with each other; classes of windows; so many letters are marked at a time.
+FEW, SPAN_CLASSES, MARKED_LETTERS = 1_000, 7, 200_000
+NAME, SKETCH = ["start", "end", "place"], ["n", "s0", "s1", "s2", "s3"]
+PAIR = ["document_id", *NAME, *[f"later_{c}" for c in NAME]]
 
 
 def cleaned(text: Column) -> Column:
@@ -205,71 +210,200 @@ def visual_ranges(selected: DataFrame, others: DataFrame) -> DataFrame:
     return met.select("video_id", "frame", "second", "group_id", F.coalesce(F.when(F.col("_first"), F.col("times")), F.array().cast("array<string>")).alias("times"))
 
 
-def _alike(sets: DataFrame, least: float) -> DataFrame:
-    """sets (document_id, at, n, pairs) that may have a share of `least` in common: (document_id, at, later), repeats among them.
+def _spread(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all bits, by the last steps of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Two such sets differ in at most (1 - least) / least * n elements, n the smaller number. Dealt by a hash to one part more
-    than that, they agree in a whole part, so sets are joined by the fingerprint of a part. Sizes go by classes that grow by
-    1 / least: the parts follow from the class of the smaller set, so each set is dealt for its own class and the one below.
+
+def _letters(key: str) -> np.ndarray:
+    return np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _pairs(key: str) -> np.ndarray:
+    a = _letters(key)
+    return _spread(np.unique(a[:-1] << np.uint64(32) | a[1:]))
+
+
+def _sketched(keys: pd.Series) -> pd.DataFrame:
+    """How many character pairs a text has, and for 256 classes of them whether their number is odd."""
+    n, bits = np.empty(len(keys), np.int32), np.empty((len(keys), 256), np.uint8)
+    for k, key in enumerate(keys):
+        p = _pairs(key)
+        n[k], bits[k] = len(p), np.bincount(p >> np.uint64(56), minlength=256) & 1
+    s = np.packbits(bits, axis=1).view(np.int64)
+    return pd.DataFrame({"n": n, **{f"s{i}": s[:, i] for i in range(4)}})
+
+
+def _sketch(key: Column) -> Column:
+    return F.pandas_udf(_sketched, "n int, s0 long, s1 long, s2 long, s3 long")(key)
+
+
+def _alike_marks(key: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the parts of a text's character pairs, and which of them are of its own class.
+
+    Two sets that have a share of `least` in common differ in at most (1 - least) / least * n elements, n the smaller number.
+    Dealt by a hash to one part more than that, they agree in a whole part. Sizes go by classes that grow by 1 / least: the
+    parts follow from the class of the smaller set, so each set is dealt for its own class and the one below.
+    """
+    p = _pairs(key)
+    own, h, marks, mine = math.ceil(math.log(len(p)) / -math.log(least) - 1e-9), _spread(p + np.uint64(1)), [], []
+    for level in range(own, max(own - 2, -1), -1):
+        k = math.floor((1 - least) / least * (1 / least) ** level + 1e-6) + 1
+        z = np.zeros(k, np.uint64)
+        np.bitwise_xor.at(z, (p % np.uint64(k)).astype(np.int64), h)
+        marks.append(_spread(z ^ _spread(np.arange(k, dtype=np.uint64) + np.uint64((level + 1) << 32))))
+        mine.append(np.full(k, level == own))
+    return np.concatenate(marks).view(np.int64), np.concatenate(mine)
+
+
+def _span_class(length: int, held: int) -> int:
+    return min((length // held).bit_length() - 1, SPAN_CLASSES - 1)
+
+
+def _held_marks(key: str, held: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least run of `held` letters in each window, for each class of windows that `classes` has as a bit, and which are of the text's own class.
+
+    Windows have `held` letters, twice as many and so on, and a text's own are the longest that fit. The windows of a text are windows
+    of each text that holds it, so all its marks of its own class are marks of the other.
     """
-    own = F.ceil(F.log("n") / -math.log(least) - 1e-9)
-    parts = (F.floor((1 - least) / least * F.pow(F.lit(1 / least), F.col("level")) + 1e-6) + 1).cast("long")
-    dealt = sets.select("document_id", "at", "n", "pairs", own.alias("own"), F.explode(F.array(own, own - 1)).alias("level")).filter("level >= 0").withColumn("k", parts)
-    some = F.transform("pairs", lambda x: F.struct(F.pmod(F.xxhash64(x), F.col("k")).alias("part"), F.xxhash64(x, F.lit(1)).alias("h")))
-    none = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.struct(j.alias("part"), F.lit(0).cast("long").alias("h")))
-    each = dealt.select("document_id", "at", "n", "level", (F.col("own") == F.col("level")).alias("mine"), F.explode(F.concat(some, none)).alias("x"))
-    marks = each.groupBy("document_id", "at", "n", "level", "mine", "x.part").agg(F.bit_xor("x.h").alias("mark"))
-    other = marks.select("document_id", "level", "part", "mark", F.col("at").alias("later"), F.col("n").alias("m"), F.col("mine").alias("its"))
-    met = marks.join(other, ["document_id", "level", "part", "mark"]).filter((F.col("at") < F.col("later")) & (F.col("mine") | F.col("its")))
-    return met.filter(F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9).select("document_id", "at", "later")
+    a, own, marks, mine = _letters(key), _span_class(len(key), held), [], []
+    h = np.zeros(len(a) - held + 1, np.uint64)
+    for j in range(held):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + a[j : j + len(h)]
+    h = _spread(h)
+    for c in (c for c in range(own + 1) if classes >> c & 1):
+        low, size, width = h, 1, (held << c) - held + 1
+        while 2 * size <= width:
+            low, size = np.minimum(low[:-size], low[size:]), 2 * size
+        low = np.unique(np.minimum(low[: len(low) - (width - size)], low[width - size :]))
+        marks.append(_spread(low + np.uint64(c)))
+        mine.append(np.full(len(low), c == own))
+    return np.concatenate(marks).view(np.int64), np.concatenate(mine)
+
+
+def _marked(texts: DataFrame, columns: list[str], each) -> DataFrame:
+    """A row (columns, mark, mine) for each mark that `each` gives a row of texts, passed on after every MARKED_LETTERS letters."""
+
+    def rows(frames):
+        for pdf in frames:
+            for _, some in pdf.groupby(pdf["key"].str.len().cumsum() // MARKED_LETTERS):
+                got = [each(r) for r in some.itertuples(index=False)]
+                out = some[columns].iloc[np.repeat(np.arange(len(some)), [len(m) for m, _ in got])]
+                yield out.assign(mark=np.concatenate([m for m, _ in got]), mine=np.concatenate([o for _, o in got]))
+
+    kinds = dict(texts.dtypes)
+    return texts.mapInPandas(rows, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", mark long, mine boolean")
+
+
+def _grams(text: Column) -> Column:
+    letters = F.split(text, "")
+    return F.array_distinct(F.zip_with(F.slice(letters, 1, F.size(letters) - 1), F.slice(letters, 2, F.size(letters) - 1), lambda x, y: F.concat(x, y)))
+
 
+def _met(texts: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts beside the others of equal keys, whose columns are named later_."""
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys])
+    later = [F.col(f"b.{c}").alias(f"later_{c}") for c in others.columns if c not in keys]
+    return texts.alias("a").join(others.alias("b"), same).select(*[F.col(f"a.{c}") for c in texts.columns], *later)
 
-def _holding(texts: DataFrame, held: int) -> DataFrame:
-    """texts (document_id, at, key) of which one may hold the other: the longer has that run of `held` letters of the shorter that fewest texts of the document have."""
-    runs = texts.filter(F.length("key") >= held).select("document_id", "at", F.explode(_grams(F.col("key"), held)).alias("run"))
-    met = runs.groupBy("document_id", "run").agg(F.count("*").alias("n"))
-    anchor = runs.join(met, ["document_id", "run"]).groupBy("document_id", "at").agg(F.min(F.struct("n", "run")).alias("x")).select("document_id", "at", "x.run")
-    both = anchor.join(runs.withColumnRenamed("at", "later"), ["document_id", "run"]).filter(F.col("at") != F.col("later"))
-    return both.select("document_id", F.least("at", "later").alias("at"), F.greatest("at", "later").alias("later"))
 
+def _order(side: str = "") -> Column:
+    return F.struct(*[F.col(f"{side}{c}").alias(c) for c in NAME])
 
-def _grams(text: Column, width: int) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(text, i, width)))
+
+def _may_be_alike(least: float) -> Column:
+    """Sketches differ in no more classes than sets in elements; sets with a share of `least` in common differ in at most (1 - least) / (1 + least) of the sum of their sizes."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"later_s{i}"))) for i in range(4)])
+    close = F.least("n", "later_n") >= least * F.greatest("n", "later_n") - 1e-9
+    return close & (apart <= (1 - least) / (1 + least) * (F.col("n") + F.col("later_n")) + 1e-6)
+
+
+def _is_held(held: int) -> Column:
+    return (F.least("letters", "later_letters") >= held) & (F.contains("key", "later_key") | F.contains("later_key", "key"))
+
+
+def _judged(both: DataFrame, least: float, held: int) -> DataFrame:
+    """Of pairs of texts the names of the near ones."""
+    shared = F.size(F.array_intersect(_grams(F.col("key")), _grams(F.col("later_key"))))
+    alike = shared / (F.col("n") + F.col("later_n") - shared) >= least
+    return both.filter(F.when(_is_held(held), True).when(_may_be_alike(least), alike)).select(*PAIR)
 
 
 def near_pairs(texts: DataFrame, least: float = NEAR_PAIRS, held: int = HELD_LETTERS) -> DataFrame:
-    """texts (document_id, at, key; at orders a document's texts and names them, keys have two letters or more): (document_id, at, later) of the near ones, each pair once.
+    """texts (document_id, NAME, key, letters, and n and s0 to s3 by _sketch; NAME orders a document's texts, keys have two letters or more): PAIR of the near ones, each once.
 
     Near is a text held in another, from `held` letters, or a share of `least` of both texts' character pairs in common.
-    Two joins find what may be near, and exact sets and texts decide.
+    All texts of a document meet, so this is for few in each. Lengths and sketches leave few pairs whose sets are compared.
     """
-    whole = texts.select("document_id", "at", "key", _grams(F.col("key"), 2).alias("pairs"))
-    met = _alike(whole.withColumn("n", F.size("pairs")), least).unionByName(_holding(texts, held)).distinct()
-    both = met.join(whole, ["document_id", "at"]).join(whole.select("document_id", F.col("at").alias("later"), F.col("key").alias("other"), F.col("pairs").alias("others")), ["document_id", "later"])
-    shared = F.size(F.array_intersect("pairs", "others"))
-    is_held = (F.least(F.length("key"), F.length("other")) >= held) & (F.contains("key", "other") | F.contains("other", "key"))
-    return both.filter(is_held | (shared / (F.size("pairs") + F.size("others") - shared) >= least)).select("document_id", "at", "later")
+    return _judged(_met(texts, texts, ["document_id"]).filter(_order() < _order("later_")), least, held)
+
 
+def near_pairs_of_many(texts: DataFrame, least: float = NEAR_PAIRS, held: int = HELD_LETTERS) -> DataFrame:
+    """The same for documents of many texts: no pair of them all is made.
 
-def without_near_candidates(candidates: DataFrame) -> DataFrame:
+    Sets may be alike if they share the mark of a part. A text may be held in those that have that mark of it which fewest
+    texts of the document have. Two joins on marks give these pairs, and exact sets and texts decide.
+    """
+    name, mark = ["document_id", *NAME], ["document_id", "mark"]
+    parts = work_table(_marked(texts, [*name, *SKETCH], lambda r: _alike_marks(r.key, least)), "parts")
+    alike = _met(parts, parts, mark).filter((_order() < _order("later_")) & (F.col("mine") | F.col("later_mine")) & _may_be_alike(least))
+
+    long = texts.filter(F.col("letters") >= held)
+    own = reduce(Column.__add__, [(F.col("letters") >= held << c).cast("int") for c in range(1, SPAN_CLASSES)])
+    classes = long.groupBy("document_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), own)).alias("classes"))
+    runs = work_table(_marked(long.join(classes, "document_id"), [*name, "letters"], lambda r: _held_marks(r.key, held, r.classes)), "runs")
+    having = runs.groupBy(mark).agg(F.count("*").alias("having"))
+    rare = runs.filter("mine").join(having, mark).groupBy(*name, "letters").agg(F.min(F.struct("having", "mark")).alias("x")).select(*name, "letters", "x.mark")
+    met = _met(rare, runs, mark).filter((F.col("letters") <= F.col("later_letters")) & (_order() != _order("later_")))
+    first, last = F.least(_order(), _order("later_")), F.greatest(_order(), _order("later_"))
+    holding = met.select("document_id", *[first[c].alias(c) for c in NAME], *[last[c].alias(f"later_{c}") for c in NAME])
+
+    pairs = alike.select(*PAIR).unionByName(holding).distinct().join(texts, name)
+    return _judged(pairs.join(texts.select("document_id", *[F.col(c).alias(f"later_{c}") for c in texts.columns if c != "document_id"]), ["document_id", *[f"later_{c}" for c in NAME]]), least, held)
+
+
+def _dropped(frames):
+    """PAIR of near texts by document and later one: the later ones that are near one not dropped before. It holds one document's dropped names."""
+    doc, gone = None, set()
+    for pdf in frames:
+        out = []
+        for d, *both in pdf[PAIR].itertuples(index=False, name=None):
+            at, later = tuple(both[: len(NAME)]), tuple(both[len(NAME) :])
+            if d != doc:
+                doc, gone = d, set()
+            if later not in gone and at not in gone:
+                gone.add(later)
+                out.append((d, *later))
+        yield pd.DataFrame(out, columns=["document_id", *NAME])
+
+
+def _firsts(keyed: DataFrame) -> DataFrame:
+    """The first of a document's equal texts; those of the same start and end are told apart by the place of their letters."""
+    firsts = keyed.groupBy("document_id", "key", "letters", "x").agg(F.min(F.struct("start", "end")).alias("_s"))
+    placed = firsts.select("document_id", "_s.start", "_s.end", "key", "letters", "x.*")
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("document_id", "start", "end").orderBy("key")))
+
+
+def without_near_candidates(candidates: DataFrame, few: int = FEW) -> DataFrame:
     """candidates (document_id, start, end, text) in order of start, end and letters, without those near a kept one before.
 
-    Of equal texts the first counts; a text of less than two letters is near none. Near texts are found by a join, and only
-    those of a document that are near any other go to the pass that decides in order which of them are dropped.
+    Of equal texts the first counts; a text of less than two letters is near none. The texts of a document meet each other if
+    they are at most `few`, else by joins on marks. Near texts in order decide in one pass which of them are dropped.
     """
-    keyed = candidates.select("document_id", "start", "end", dedupe_key(F.coalesce("text", F.lit(""))).alias("key"))
-    firsts = keyed.filter(F.length("key") >= 2).groupBy("document_id", "key").agg(F.min(F.struct("start", "end")).alias("_s"))
-    firsts = firsts.select("document_id", F.struct("_s.start", "_s.end", F.xxhash64("key").alias("h")).alias("at"), "key")
-    near = near_pairs(firsts).select("document_id", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("at", "later") for c in ("start", "end", "h")])
-
-    def dropped(pdf: pd.DataFrame) -> pd.DataFrame:
-        later = ["later_start", "later_end", "later_h"]
-        gone: set[tuple] = set()
-        for node, before in pdf.sort_values(later).groupby(later, sort=True):
-            if not gone.issuperset(zip(before["at_start"], before["at_end"], before["at_h"], strict=True)):
-                gone.add(node)
-        return pd.DataFrame([(pdf["document_id"].iloc[0], *n) for n in gone], columns=["document_id", "start", "end", "h"])
-
-    out = near.groupBy("document_id").applyInPandas(dropped, "document_id long, start long, end long, h long")
-    named = firsts.select("document_id", "at.*").join(out, ["document_id", "start", "end", "h"], "left_anti").select("document_id", "start", "end")
-    return named.unionByName(keyed.filter(F.length("key") < 2).select("document_id", "start", "end"))
+    keyed = candidates.select("document_id", "start", "end", dedupe_key(F.coalesce("text", F.lit(""))).alias("key")).withColumn("x", _sketch("key"))
+    keyed = work_table(keyed.withColumn("letters", F.length("key")), "candidates")
+    some = keyed.filter("letters >= 2")
+    crowded = some.groupBy("document_id").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("document_id")
+    texts = _firsts(some.join(crowded, "document_id", "left_anti").repartition("document_id"))
+    near = near_pairs(texts)
+    if not crowded.isEmpty():
+        tasks = 4 * candidates.sparkSession.sparkContext.defaultParallelism  # a text gives many marks, so few bytes are much work
+        large = work_table(_firsts(some.join(crowded, "document_id", "left_semi")).repartition(tasks), "texts")
+        near, texts = near.unionByName(near_pairs_of_many(large)), texts.unionByName(large)
+    near = near.repartition("document_id").sortWithinPartitions("document_id", *[f"later_{c}" for c in NAME])
+    out = near.mapInPandas(_dropped, "document_id long, start long, end long, place int")
+    name = ["document_id", *NAME]
+    named = texts.select(*name).join(out, name, "left_anti").select("document_id", "start", "end")
+    return named.unionByName(keyed.filter("letters < 2").select("document_id", "start", "end"))

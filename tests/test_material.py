@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from conftest import SF
@@ -126,3 +127,38 @@ def test_near_candidates_of_one_long_document(spark):
     text = F.concat(F.sha2((F.col("id") % 60_000).cast("string"), 256), F.when(F.col("id") >= 90_000, "q").otherwise(""))
     df = spark.range(100_000).select(F.lit(1).cast("long").alias("document_id"), F.col("id").alias("start"), F.col("id").alias("end"), text.alias("text"))
     assert M.without_near_candidates(df).agg(F.min("start"), F.max("start"), F.count("*")).first() == (0, 59_999, 60_000)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_near_candidates_by_marks_and_by_pairs(spark, few):
+    """Texts of all classes of length, many of them of one start and end, whose letters give the order."""
+    r, rows = random.Random(9), []
+    for doc in range(4):
+        base = ["".join(r.choice("abcdefgh选举𝒜é") for _ in range(r.choice((2, 5, 9, 10, 19, 20, 41, 90, 333, 1500)))) for _ in range(10)]
+        for k in range(60):
+            t = r.choice(base)
+            cut, at = r.randrange(4), r.randrange(len(t))
+            rows.append((doc, k // 12, 7, r.choice((t, t[cut:], t[: -cut or None], t[:at] + "x" + t[at + 1 :], t + " " + r.choice(base), r.choice(base) + t + r.choice(base)))))
+    key = lambda t: "".join(ch for ch in t.lower() if ch.isalnum())
+    want, kept = [], {}
+    for d, s, e, k in sorted((d, s, e, key(t)) for d, s, e, t in rows):
+        pairs = {k[i : i + 2] for i in range(len(k) - 1)}
+        near = lambda o: (min(len(o[0]), len(k)) >= 10 and (o[0] in k or k in o[0])) or (o[1] and pairs and len(o[1] & pairs) >= 0.88 * len(o[1] | pairs))  # noqa: B023, E731
+        if not any(near(o) for o in kept.setdefault(d, [])):
+            kept[d].append((k, pairs))
+            want.append((d, s, e))
+    df = spark.createDataFrame(rows, "document_id long, start long, end long, text string")
+    assert sorted(tuple(x) for x in M.without_near_candidates(df, few).collect()) == sorted(want) and len(want) < len(rows) * 0.8
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_near_candidates_of_long_texts(spark, few):
+    """Work grows with the letters of a text, not with their square."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3_999)), lambda i: F.sha2((F.col("id") * 10_000 + i).cast("string"), 256)), "")
+    whole = spark.range(4).select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("start"), text.alias("text")).localCheckpoint()
+    part = whole.withColumn("start", F.col("start") + 1).withColumn("text", F.expr("substring(text, 2)"))
+    turned = whole.withColumn("start", F.col("start") + 2).withColumn("text", F.reverse("text"))
+    df = whole.unionByName(part).unionByName(turned).withColumn("end", F.col("start"))
+    began = time.perf_counter()
+    got = M.without_near_candidates(df, few).collect()
+    assert sorted((x["document_id"], x["start"]) for x in got) == [(k, 0) for k in range(4)] and time.perf_counter() - began < 60
